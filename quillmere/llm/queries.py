@@ -2,16 +2,38 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmere.llm import mixing, near_vectors, secrets, text_join
-from quillmere.llm.common import table
+from quillmere.llm import byte_quality, decontaminate, main_text, mixing, near_vectors, secrets, text_join, token_files, toxicity
+from quillmere.llm.common import new_path, table
+
+def categories() -> dict:
+    """The labelled table has one toxicity label; the chain's first category is low quality, which it also marks."""
+    return {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
 
 
 def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_tokens(spark, path, manifest)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.fit_chain(docs, table(spark, sf_dir, "labels"), categories())
+    return toxicity.score_chain(docs, chain).withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -20,9 +42,20 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op7_byte_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    net = byte_quality.fit_quality(docs, table(spark, sf_dir, "labels"), F.col("quality"), ~held_out)
+    scored = byte_quality.score_quality(docs, net)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op5_mix, op6_secrets, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_main_text, op3_token_files, op4_toxicity, op5_mix, op6_secrets, op7_byte_quality, op9_decontaminate, op10_jaccard_join)}
 ORACLES: dict[str, str] = {}
