@@ -171,7 +171,8 @@ def jaccard_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, recall: f
             yield pd.DataFrame({"key": x["key"], "set": [shingle(t).tobytes() for t in x["text"]]})
 
     wanted = maybe.select(F.col("key"), F.col("rep.doc_id").alias("d"), F.col("rep.thash").alias("h"))
-    found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("thash")).join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("thash") == F.col("h")))
+    # what is wanted grows with the input, so it is never broadcast
+    found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("thash")).join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("thash") == F.col("h")))
     found = stage(found.select("key", "text").mapInPandas(sets, "key binary, set binary").dropDuplicates(["key"]), "shingles")
 
     def link(x: pd.DataFrame) -> np.ndarray:
