@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import byte_quality, decontaminate, main_text, mixing, near_vectors, secrets, text_join, token_files, toxicity
+from quillmere.llm import byte_quality, decontaminate, main_text, mixing, near_vectors, secrets, suffix_dedup, text_join, token_files, toxicity
 from quillmere.llm.common import new_path, table
 
 def categories() -> dict:
@@ -49,6 +49,10 @@ def op7_byte_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,5 +61,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_main_text, op3_token_files, op4_toxicity, op5_mix, op6_secrets, op7_byte_quality, op9_decontaminate, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_main_text, op3_token_files, op4_toxicity, op5_mix, op6_secrets, op7_byte_quality, op8_suffix_dedup, op9_decontaminate, op10_jaccard_join)}
 ORACLES: dict[str, str] = {}
