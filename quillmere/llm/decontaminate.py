@@ -75,38 +75,142 @@ def _read(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(some).astype(np.int64), np.cumsum([0, *map(len, some[:-1])])
 
 
-def contaminated(docs: DataFrame, items: DataFrame, cosine: float = 0.4, copied: float = 0.8, paraphrased: float = 0.6, answered: float = 0.8, rank: int = 256, common: float = 0.05, items_at_once: int = 4000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str | None = None, seed: int = 5) -> DataFrame:
+@dataclass
+class Searcher:
+    """A block of benchmark items, ready to be looked for in one document after another."""
+
+    terms: dict[str, int]
+    items: list[Item]
+    mine: np.ndarray
+    faces: np.ndarray
+    idf: np.ndarray
+    other: float
+    cosine: float
+    copied: float
+    paraphrased: float
+    answered: float
+
+    def __post_init__(self) -> None:
+        self.masks = [(places(it.words), places(it.answer)) for it in self.items]
+        self.weight2 = np.append(self.idf**2, self.other**2)
+        # a window about as long as each item, moved by a quarter
+        self.widths = sorted({max(8, 1 << round(np.log2(len(it.words)))) for it in self.items})
+
+    def code(self, text: str | None) -> np.ndarray:
+        return coded(self.terms, text)
+
+    def near(self, ids: np.ndarray) -> dict[int, list[tuple[int, int, float]]]:
+        """For each item the windows (start, end, cosine) that come near it."""
+        mass = self.weight2[ids]
+        known = np.where(ids >= 0, mass, 0)
+        out: dict[int, list[tuple[int, int, float]]] = {}
+        if not known.any():
+            return out
+        all_, own = np.r_[0, np.cumsum(mass)], np.r_[0, np.cumsum(known)]
+        for width in self.widths:
+            start = np.arange(0, max(1, len(ids) - width + width // 4), width // 4)
+            stop = np.minimum(start + width, len(ids))
+            have, of = own[stop] - own[start], all_[stop] - all_[start]
+            # a projection is no longer than what it projects, so this bounds the cosine
+            for k in np.flatnonzero((have > 0) & (have >= self.cosine**2 * of)):
+                some = ids[start[k] : stop[k]]
+                t, c = np.unique(some[some >= 0], return_counts=True)
+                w = (1 + np.log(c)).astype(np.float32)
+                rest = of[k] - have[k] + float(((w * self.idf[t]) ** 2).sum())
+                cos = self.mine @ (w @ self.faces[t]) / np.sqrt(rest)
+                for j in np.flatnonzero(cos >= self.cosine):
+                    out.setdefault(int(j), []).append((int(start[k]), int(stop[k]), float(cos[j])))
+        return out
+
+    def hits(self, ids: np.ndarray) -> dict[int, tuple[float, float, float]]:
+        """For each item that the document holds: (cosine, shared, answer_shared)."""
+        out = {}
+        for j, at in self.near(ids).items():
+            it, (rows, answer) = self.items[j], self.masks[j]
+            n, best, merged = len(it.words), (0.0, 0.0), []
+            for a, b in sorted((max(0, a - n), min(len(ids), b + n)) for a, b, _ in at):
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = max(b, merged[-1][1])
+                else:
+                    merged.append([a, b])
+            for a, b in merged:
+                for s in range(a, max(a + 1, b - n), max(1, n // 2)):  # stretches of twice the item's length
+                    some = ids[s : min(b, s + 2 * n)].tolist()
+                    best = max(best, (lcs(it.words, some, rows) / n, lcs(it.answer, some, answer) / max(1, len(it.answer))))
+            if best[0] >= self.copied or best[0] >= self.paraphrased and best[1] >= self.answered:
+                out[j] = max(c for _, _, c in at), *best
+        return out
+
+
+def coded(terms: dict[str, int], text: str | None) -> np.ndarray:
+    """Numbers of the words of a whole text; words that no item has are -1."""
+    return np.fromiter(map(lambda w: terms.get(w, -1), WORDS.findall((text or "").lower())), np.int32)
+
+
+def _blocks(items: DataFrame, at_once: int, item_id: str, item_text: str, answer: str | None) -> list[DataFrame]:
+    bench = items.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("t"), (F.col(answer) if answer else F.lit(None)).cast("string").alias("a"))
+    n = max(1, -(-bench.count() // at_once))
+    return [bench if n == 1 else bench.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k) for k in range(n)]
+
+
+def _named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, items_at_once: int = 4000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str | None = None, **how) -> DataFrame:
     """(doc_id, item_id, cosine, shared, answer_shared) for every document and item of which the document holds a passage.
 
     shared is the longest common subsequence over the item's words, answer_shared the same for the answer. A pair is returned
-    when shared >= copied, or shared >= paraphrased and answer_shared >= answered. Terms in more than `common` of all passages
-    get no weight. Items of fewer than five words, null or blank texts give no pairs; a null id takes part; rows that repeat a
-    doc_id give one pair with the best figures. Benchmarks of more than items_at_once items are searched in blocks of that size.
+    when shared >= copied, or shared >= paraphrased and answer_shared >= answered (see fit). Items of fewer than five words,
+    null or blank texts give no pairs; a null id takes part; rows that repeat a doc_id give one pair with the best figures.
+    Benchmarks of more than items_at_once items are searched in blocks of about that size.
     """
-    bench = items.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("t"), (F.col(answer) if answer else F.lit(None)).cast("string").alias("a"))
-    n = bench.count()
+    id_kind, item_kind = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     out = None
-    for k in range(max(1, -(-n // items_at_once))):
-        part = bench if n <= items_at_once else bench.where(F.pmod(F.xxhash64("t"), F.lit(-(-n // items_at_once))) == k)
-        got = _search(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), part, cosine, copied, paraphrased, answered, rank, common, seed)
+    for part in _blocks(items, items_at_once, item_id, item_text, answer):
+        rows, searcher = fit(_named(docs, doc_id, text), part, **how)
+
+        def search(frames: Iterator[pd.DataFrame], searcher: Searcher = searcher) -> Iterator[pd.DataFrame]:
+            for x in frames:
+                found = [(d, searcher.items[j].item_id, *v) for d, b in zip(x["doc_id"], x["ids"], strict=True) for j, v in searcher.hits(np.frombuffer(b, np.int32)).items()]
+                yield pd.DataFrame(found, columns=["doc_id", "item_id", "cosine", "shared", "answer_shared"])
+
+        got = rows.mapInPandas(search, f"doc_id {id_kind}, item_id {item_kind}, cosine double, shared double, answer_shared double")
         out = got if out is None else out.union(got)
-    return out.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max(F.struct("shared", "answer_shared")).alias("s")).select("doc_id", "item_id", "cosine", "s.shared", "s.answer_shared")
+    best = out.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max(F.struct("shared", "answer_shared")).alias("s"))
+    return best.select("doc_id", "item_id", "cosine", "s.shared", "s.answer_shared")
+
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, items_at_once: int = 4000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str | None = None, **how) -> DataFrame:
+    """docs without the rows that hold a passage of an item; the other columns stay as they are."""
+    out = docs
+    for part in _blocks(items, items_at_once, item_id, item_text, answer):
+        _, searcher = fit(_named(docs, doc_id, text), part, **how)
 
-def _search(docs: DataFrame, bench: DataFrame, cosine: float, copied: float, paraphrased: float, answered: float, rank: int, common: float, seed: int) -> DataFrame:
-    id_kind, item_kind = (x.schema[c].dataType.simpleString() for x, c in ((docs, "doc_id"), (bench, "item_id")))
+        def kept(frames: Iterator[pd.DataFrame], searcher: Searcher = searcher) -> Iterator[pd.DataFrame]:
+            for x in frames:
+                yield x[[not searcher.hits(searcher.code(t)) for t in x[text]]]
+
+        out = out.mapInPandas(kept, docs.schema)
+    return out
+
+
+def fit(docs: DataFrame, bench: DataFrame, cosine: float = 0.4, copied: float = 0.8, paraphrased: float = 0.6, answered: float = 0.8, rank: int = 256, common: float = 0.05, seed: int = 5) -> tuple[DataFrame, Searcher]:
+    """(the documents' words as numbers, staged; a searcher) from all passages of docs (doc_id, text) and the items (item_id, t, a).
+
+    Terms in more than `common` of all passages get no weight.
+    """
     raw = [(r[0], WORDS.findall(r[1].lower()), WORDS.findall((r[2] or answer_of(r[1])).lower())) for r in bench.collect()]
     raw = sorted((r for r in raw if len(r[1]) >= 5), key=lambda r: str(r[0]))
     terms = {w: i for i, w in enumerate(sorted({w for _, a, b in raw for w in [*a, *b]}))}
     size = len(terms)
     things = [Item(i, [terms[w] for w in a], [terms[w] for w in b]) for i, a, b in raw]
 
-    def coded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = lambda w: terms.get(w, -1)
+    def numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            yield pd.DataFrame({"doc_id": x["doc_id"], "ids": [np.fromiter(map(get, WORDS.findall((t or "").lower())), np.int32).tobytes() for t in x["text"]]})
+            yield pd.DataFrame({"doc_id": x["doc_id"], "ids": [coded(terms, t).tobytes() for t in x["text"]]})
 
-    rows = stage(docs.mapInPandas(coded, f"doc_id {id_kind}, ids binary"), "passages").where(F.length("ids") > 0)
+    rows = stage(docs.mapInPandas(numbered, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary"), "passages").where(F.length("ids") > 0)
 
     def seen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, passages = np.zeros(size, np.int64), 0
@@ -170,53 +274,7 @@ def _search(docs: DataFrame, bench: DataFrame, cosine: float, copied: float, par
     length = np.linalg.norm(mine, axis=1, keepdims=True)
     mine = np.divide(mine, length, out=np.zeros_like(mine), where=length > 0).astype(np.float32)
     faces = (basis * idf[:, None]).astype(np.float32)
-    masks = [(places(it.words), places(it.answer)) for it in things]
-    weight2 = np.append(idf**2, other**2)
-    widths = sorted({max(8, 1 << round(np.log2(len(it.words)))) for it in things})  # a window about as long as each item, moved by a quarter
-
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            found: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for i, blob in enumerate(x["ids"]):
-                ids = np.frombuffer(blob, np.int32)
-                mass = weight2[ids]
-                known = np.where(ids >= 0, mass, 0)
-                if not known.any():
-                    continue
-                all_, own_ = np.r_[0, np.cumsum(mass)], np.r_[0, np.cumsum(known)]
-                near: dict[int, list[tuple[int, int, float]]] = {}
-                for width in widths:
-                    start = np.arange(0, max(1, len(ids) - width + width // 4), width // 4)
-                    stop = np.minimum(start + width, len(ids))
-                    have, of = own_[stop] - own_[start], all_[stop] - all_[start]
-                    # a projection is no longer than what it projects, so this bounds the cosine
-                    for k in np.flatnonzero((have > 0) & (have >= cosine**2 * of)):
-                        t, c = np.unique(ids[start[k] : stop[k]][ids[start[k] : stop[k]] >= 0], return_counts=True)
-                        w = ((1 + np.log(c))).astype(np.float32)
-                        rest = of[k] - have[k] + float(((w * idf[t]) ** 2).sum())
-                        cos = mine @ (w @ faces[t]) / np.sqrt(rest)
-                        for j in np.flatnonzero(cos >= cosine):
-                            near.setdefault(int(j), []).append((int(start[k]), int(stop[k]), float(cos[j])))
-                for j, at in near.items():
-                    it, (rows_, rows_answer) = things[j], masks[j]
-                    n, best = len(it.words), (0.0, 0.0)
-                    edges = sorted((max(0, a - n), min(len(ids), b + n)) for a, b, _ in at)
-                    merged = [list(edges[0])]
-                    for a, b in edges[1:]:
-                        if a <= merged[-1][1]:
-                            merged[-1][1] = max(b, merged[-1][1])
-                        else:
-                            merged.append([a, b])
-                    for a, b in merged:
-                        for s in range(a, max(a + 1, b - n), max(1, n // 2)):  # stretches of twice the item's length
-                            some = ids[s : min(b, s + 2 * n)].tolist()
-                            best = max(best, (lcs(it.words, some, rows_) / n, lcs(it.answer, some, rows_answer) / max(1, len(it.answer))))
-                    if best[0] >= copied or best[0] >= paraphrased and best[1] >= answered:
-                        found[i, j] = max(c for _, _, c in at), *best
-            keys = list(found)
-            yield pd.DataFrame({"doc_id": x["doc_id"].iloc[[i for i, _ in keys]].to_numpy(), "item_id": [things[j].item_id for _, j in keys], "cosine": [found[k][0] for k in keys], "shared": [found[k][1] for k in keys], "answer_shared": [found[k][2] for k in keys]})
-
-    return rows.mapInPandas(search, f"doc_id {id_kind}, item_id {item_kind}, cosine double, shared double, answer_shared double")
+    return rows, Searcher(terms, things, mine, faces, idf, other, cosine, copied, paraphrased, answered)
 
 
 def _leading(z: np.ndarray, test: np.ndarray) -> np.ndarray:

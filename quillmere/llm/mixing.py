@@ -93,3 +93,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     plan = thresholds(sized, targets(sized, weights, share, cap)).withColumnRenamed("source", "s")
     copies = F.col("whole") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)
     return sized.join(plan, sized.source.eqNullSafe(plan.s)).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def repeated(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, with docs' own columns."""
+    sized = stage(docs.select(F.col(source).alias("source"), words(text).alias("size"), hash60(doc_id).alias("h")), "mix-sizes")
+    plan = thresholds(sized, targets(sized, weights, share, cap)).select(F.col("source").alias("__source"), "whole", "below")
+    copies = F.col("whole") + F.when(hash60(doc_id) < F.col("below"), 1).otherwise(0)
+    taken = docs.join(plan, docs[source].eqNullSafe(plan["__source"])).withColumn("__copies", copies.cast("int")).where("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])

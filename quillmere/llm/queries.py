@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,11 +10,6 @@ from pyspark.sql import functions as F
 from quillmere.llm import byte_quality, decontaminate, main_text, mixing, near_vectors, secrets, suffix_dedup, text_join, token_files, toxicity
 from quillmere.llm.common import new_path, table
 
-def categories() -> dict:
-    """The labelled table has one toxicity label; the chain's first category is low quality, which it also marks."""
-    return {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
-
-
 def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -30,7 +26,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    chain = toxicity.fit_chain(docs, table(spark, sf_dir, "labels"), categories())
+    chain = toxicity.fit_chain(docs, table(spark, sf_dir, "labels"), toxicity.labels_categories())
     return toxicity.score_chain(docs, chain).withColumn("toxic", F.col("p_toxic") >= 0.5)
 
 
@@ -61,5 +57,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_main_text, op3_token_files, op4_toxicity, op5_mix, op6_secrets, op7_byte_quality, op8_suffix_dedup, op9_decontaminate, op10_jaccard_join)}
-ORACLES: dict[str, str] = {}
+QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_near_vectors, op2_main_text, op3_token_files, op4_toxicity, op5_mix, op6_secrets, op7_byte_quality, op8_suffix_dedup, op9_decontaminate, op10_jaccard_join)}
+ORACLES: dict[str, str] = {} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

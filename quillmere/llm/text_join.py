@@ -192,3 +192,9 @@ def jaccard_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, recall: f
     out = rows.select("doc_id", "key").join(classes, "key", "left")
     out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """docs with one document of each group of linked ones, that of the least doc_id; rows that repeat it are left once."""
+    kept = jaccard_join(docs, doc_id=doc_id, text=text, **how).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept.hint("merge"), docs[doc_id].eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates([doc_id, text])

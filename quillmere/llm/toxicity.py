@@ -27,6 +27,11 @@ def features(word: str) -> list[str]:
     return [f"w:{word}", *(f"{k}:{word[:k]}" for k in BEGINNINGS if len(word) >= k)]
 
 
+def labels_categories() -> dict[str, Column]:
+    """The chain for the table labels: it has one toxicity label; the first category is low quality, which it also marks."""
+    return {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+
+
 def logit(p: np.ndarray) -> np.ndarray:
     p = np.clip(p, 1e-4, 1 - 1e-4)
     return np.log(p / (1 - p))
@@ -138,3 +143,15 @@ def score_chain(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInPandas(scored, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names))
+
+
+def drop_toxic(docs: DataFrame, chain: Chain, category: str = "toxic", threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """docs without the rows whose probability of category reaches threshold; other columns stay as they are."""
+    k = chain.categories.index(category)
+
+    def kept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = Finder(chain.vocabulary)
+        for x in frames:
+            yield x[chain.score([find(t) for t in x[text]])[:, k] < threshold]
+
+    return docs.mapInPandas(kept, docs.schema)
