@@ -15,11 +15,12 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 from urllib.parse import urlparse
 
 import numpy as np
@@ -34,7 +35,9 @@ from quillmere.llm.common import stage
 
 MAGIC = b"QMTOKEN1"
 NULL_ID = -(1 << 63)
-CACHE = 300_000
+CACHE = 800_000
+#: What keeps a text from being lower-cased and parted at full stops and commas before it is encoded.
+UNEVEN = re.compile("[\x1c-\x1f\u0130\u0250-\U0010ffff]|[^\\w\\s][.,]|_[.,]|<\\|")
 
 
 class _Files:
@@ -71,44 +74,66 @@ class _Files:
 
 
 class Encoder:
-    """ids of whole texts by the tokenizers library; what blanks part is encoded once and remembered.
+    """ids of whole texts by the tokenizers library, as little-endian bytes; what blanks part is encoded once and remembered.
 
-    The tokenizer never joins across a blank, so a text's ids are those of its pieces in order. A piece of letters with one full
-    stop or comma behind it, or with ASCII capitals, shares the entry of the bare lower-case word.
+    The tokenizer never joins across a blank, so a text's ids are those of its pieces in order. It also lower-cases letter by
+    letter and splits signs from letters and digits, so a text of plain Latin letters is lower-cased first and parted before
+    full stops and commas that follow no other sign. A worker keeps its encoder from task to task.
     """
 
+    kept: dict[str, Encoder] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        if path not in cls.kept:
+            cls.kept[path] = cls(path)
+        return cls.kept[path]
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.wide = self.tok.get_vocab_size() > 1 << 16
+        self.known: dict[str, bytes] = {}
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool)  # ids that end a word, where the vocabulary marks them
+        self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
+        self.kind = np.dtype("<u4" if self.tok.get_vocab_size() > 1 << 16 else "<u2")
 
     def _learn(self, pieces: set[str]) -> None:
-        plain: dict[str, tuple[str, str]] = {}
-        for w in pieces:
-            bare, end = (w[:-1], w[-1]) if w[-1:] in (".", ",") and w[:-1].isalpha() else (w, "")
-            plain[w] = (bare.lower() if bare.isascii() and bare.isalpha() else bare), end
-        need = list(({b for b, _ in plain.values()} | {e for _, e in plain.values()}) - self.known.keys())
-        self.known.update((w, tuple(e.ids)) for w, e in zip(need, self.tok.encode_batch_fast(need, add_special_tokens=False), strict=True))
-        self.known.update((w, self.known[b] + self.known[e]) for w, (b, e) in plain.items() if w not in self.known)
-
-    def __call__(self, texts: list[str | None], end: list[int]) -> list[np.ndarray]:
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
+        words = [w for w in pieces if w.isalpha()]
+        for i in range(0, len(words), 4096):
+            self._words(words[i : i + 4096])
+        rest = list(pieces - self.known.keys())
+        self.known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+
+    @staticmethod
+    def _pieces(text: str) -> list[str]:
+        if not UNEVEN.search(text):
+            text = text.lower().replace(".", " .").replace(",", " ,")
+        return text.replace("\n", " ").split(" ")
+
+    def _words(self, words: list[str]) -> None:
+        """Words of letters, encoded in one go: each ends with the only id that ends a word. If the ends don't tally, nothing is learned."""
+        ids = np.array(self.tok.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
+        if len(ids) and len(cut := np.flatnonzero(self.ends[ids]) + 1) == len(words) and cut[-1] == len(ids):
+            data, size = ids.tobytes(), self.kind.itemsize
+            self.known.update((w, data[i * size : j * size]) for w, i, j in zip(words, [0, *cut[:-1].tolist()], cut.tolist(), strict=True))
+
+    def __call__(self, texts: list[str | None], end: list[int]) -> list[bytes]:
+        parts = [self._pieces(t or "") for t in texts]
+        if len(self.known) > CACHE:  # the older half goes
+            self.known = dict(islice(self.known.items(), CACHE // 2, None))
         if new := set(chain.from_iterable(parts)) - self.known.keys():
             self._learn(new)
-        get = self.known.__getitem__
-        return [np.fromiter(chain(chain.from_iterable(map(get, p)), end), np.uint32 if self.wide else np.uint16) for p in parts]
+        get, last = self.known.__getitem__, np.array(end, self.kind).tobytes()
+        return [b"".join(map(get, p)) + last for p in parts]
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, samples: int, sample_chars: int, size: int) -> bytes:
     """A dictionary from the serialized ids of at most `samples` documents of at most `sample_chars` characters, those of the least hash; empty when there are too few."""
     short = docs.where(F.col("text").isNotNull() & (F.length("text") <= sample_chars) & (F.length("text") > 0))
     texts = [r[0] for r in short.select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(samples).select("text").collect()]
-    data = [a.tobytes() for a in Encoder(tokenizer)(texts, [end_id])]
+    data = Encoder(tokenizer)(texts, [end_id])
     if sum(map(len, data)) < 8 * size or len(data) < 64:
         return b""
     return zstandard.train_dictionary(size, data).as_bytes()
@@ -128,18 +153,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, sa
     files.write("format.json", json.dumps({"dictionary_sha256": digest.hex(), "end_id": end_id}).encode())
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder(tokenizer)
+        encode = Encoder.of(tokenizer)
         pack = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(words) if words else None)
-        body = bytearray(MAGIC + digest + bytes([4 if encode.wide else 2]))
+        body = bytearray(MAGIC + digest + bytes([encode.kind.itemsize]))
         ids, counts, offsets = [], [], []
         for x in frames:
-            for i in range(0, len(x), 256):
-                part = x.iloc[i : i + 256]
+            for i in range(0, len(x), 1024):
+                part = x.iloc[i : i + 1024]
                 for d, a in zip(part["doc_id"], encode(list(part["text"]), [end_id]), strict=True):
                     offsets.append(len(body))
-                    body += pack.compress(a.tobytes())
+                    body += pack.compress(a)
                     ids.append(NULL_ID if pd.isna(d) else int(d))
-                    counts.append(len(a))
+                    counts.append(len(a) // encode.kind.itemsize)
         if ids:
             n = TaskContext.get().partitionId()
             at = len(body)
