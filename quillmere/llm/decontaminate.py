@@ -70,6 +70,53 @@ def in_passages(ids: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.nda
     return key >> 32, key & 0xFFFFFFFF, count
 
 
+class Gram:
+    """The sum of x x' over passages x scaled to length 1: dense for few terms, else as sorted pairs of terms."""
+
+    DENSE, MOST = 1 << 24, 1 << 22
+
+    def __init__(self, size: int) -> None:
+        self.size, self.keys, self.values, self.held = size, [], [], 0
+        self.dense = np.zeros(size * size) if size * size <= self.DENSE else None
+
+    def add(self, passage: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        if not len(passage):
+            return
+        first = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
+        count = np.diff(np.r_[first, len(passage)])
+        weight = weight / np.sqrt(np.repeat(np.add.reduceat(weight * weight, first), count))
+        for k in np.unique(count):  # at most as many as a passage has words
+            at = first[count == k, None] + np.arange(k)
+            t, w = term[at], weight[at]
+            key, value = (t[:, :, None] * self.size + t[:, None, :]).ravel(), (w[:, :, None] * w[:, None, :]).ravel()
+            if self.dense is not None:
+                np.add.at(self.dense, key, value)
+            else:
+                self.keys.append(key)
+                self.values.append(value)
+                self.held += len(key)
+        if self.held > 2 * self.MOST:
+            self._sum()
+
+    def _sum(self) -> None:
+        if self.keys:
+            key, back = np.unique(np.concatenate(self.keys), return_inverse=True)
+            self.keys, self.values, self.held = [key], [np.bincount(back, np.concatenate(self.values))], 0
+
+    def times(self, test: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, their rows of the product with test)."""
+        if self.dense is not None:
+            gram = self.dense.reshape(self.size, self.size)
+            on = np.flatnonzero(gram.diagonal())
+            return on, gram[np.ix_(on, on)] @ test[on]
+        self._sum()
+        if not self.keys:
+            return np.zeros(0, np.int64), np.zeros((0, test.shape[1]))
+        row, col, value = self.keys[0] // self.size, self.keys[0] % self.size, self.values[0]
+        cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        return row[cut], np.stack([value[a:b] @ test[col[a:b]] for a, b in zip(cut, [*cut[1:], len(row)], strict=True)])
+
+
 def _read(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     some = [np.frombuffer(b, np.int32) for b in blobs]
     return np.concatenate(some).astype(np.int64), np.cumsum([0, *map(len, some[:-1])])
@@ -81,8 +128,7 @@ class Searcher:
 
     terms: dict[str, int]
     items: list[Item]
-    mine: np.ndarray
-    faces: np.ndarray
+    against: np.ndarray  # what each term adds to the inner product with each item in the latent space
     idf: np.ndarray
     other: float
     cosine: float
@@ -99,34 +145,48 @@ class Searcher:
     def code(self, text: str | None) -> np.ndarray:
         return coded(self.terms, text)
 
-    def near(self, ids: np.ndarray) -> dict[int, list[tuple[int, int, float]]]:
-        """For each item the windows (start, end, cosine) that come near it."""
+    def near(self, ids: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+        """(document, item, start, end, cosine) for every window that comes near an item; ids of some documents, first place of each."""
+        size = np.diff(np.r_[first, len(ids)])
         mass = self.weight2[ids]
-        known = np.where(ids >= 0, mass, 0)
-        out: dict[int, list[tuple[int, int, float]]] = {}
-        if not known.any():
-            return out
-        all_, own = np.r_[0, np.cumsum(mass)], np.r_[0, np.cumsum(known)]
+        all_, own = np.r_[0, np.cumsum(mass)], np.r_[0, np.cumsum(np.where(ids >= 0, mass, 0))]
         for width in self.widths:
-            start = np.arange(0, max(1, len(ids) - width + width // 4), width // 4)
-            stop = np.minimum(start + width, len(ids))
+            step = width // 4
+            count = np.maximum(1, -(-(size - width) // step) + 1)
+            doc = np.repeat(np.arange(len(first)), count)
+            start = first[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * step
+            stop = np.minimum(start + width, (first + size)[doc])
             have, of = own[stop] - own[start], all_[stop] - all_[start]
             # a projection is no longer than what it projects, so this bounds the cosine
-            for k in np.flatnonzero((have > 0) & (have >= self.cosine**2 * of)):
-                some = ids[start[k] : stop[k]]
-                t, c = np.unique(some[some >= 0], return_counts=True)
+            on = np.flatnonzero((have > 1e-6) & (have >= self.cosine**2 * of))
+            for i in range(0, len(on), 2048):
+                k = on[i : i + 2048]
+                at = start[k, None] + np.arange(width)
+                some = np.where(at < stop[k, None], ids[np.minimum(at, len(ids) - 1)], -1)
+                row, col = np.nonzero((some >= 0) & (self.idf[some] > 0))
+                key, c = np.unique(row * len(self.idf) + some[row, col], return_counts=True)
+                row, t = key // len(self.idf), key % len(self.idf)
                 w = (1 + np.log(c)).astype(np.float32)
-                rest = of[k] - have[k] + float(((w * self.idf[t]) ** 2).sum())
-                cos = self.mine @ (w @ self.faces[t]) / np.sqrt(rest)
-                for j in np.flatnonzero(cos >= self.cosine):
-                    out.setdefault(int(j), []).append((int(start[k]), int(stop[k]), float(cos[j])))
-        return out
-
-    def hits(self, ids: np.ndarray) -> dict[int, tuple[float, float, float]]:
-        """For each item that the document holds: (cosine, shared, answer_shared)."""
-        out = {}
-        for j, at in self.near(ids).items():
-            it, (rows, answer) = self.items[j], self.masks[j]
+                cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                k = k[row[cut]]
+                rest = of[k] - have[k] + np.add.reduceat((w * self.idf[t]) ** 2, cut)
+                cos = np.add.reduceat(w[:, None] * self.against[t], cut, axis=0) / np.sqrt(rest)[:, None]
+                for r, j in zip(*np.nonzero(cos >= self.cosine), strict=True):
+                    d = int(doc[k[r]])
+                    yield d, int(j), int(start[k[r]] - first[d]), int(stop[k[r]] - first[d]), float(cos[r, j])
+
+    def hits(self, blobs: list[np.ndarray]) -> list[dict[int, tuple[float, float, float]]]:
+        """For each document, given by its words, the items that it holds: (cosine, shared, answer_shared)."""
+        out: list[dict[int, tuple[float, float, float]]] = [{} for _ in blobs]
+        full = [d for d, x in enumerate(blobs) if len(x)]
+        if not full or not self.items:
+            return out
+        found: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
+        ids = np.concatenate([blobs[d] for d in full]).astype(np.int64)
+        for d, j, a, b, cos in self.near(ids, np.cumsum([0, *(len(blobs[d]) for d in full[:-1])])):
+            found.setdefault((full[d], j), []).append((a, b, cos))
+        for (d, j), at in found.items():
+            it, (rows, answer), ids = self.items[j], self.masks[j], blobs[d]
             n, best, merged = len(it.words), (0.0, 0.0), []
             for a, b in sorted((max(0, a - n), min(len(ids), b + n)) for a, b, _ in at):
                 if merged and a <= merged[-1][1]:
@@ -138,7 +198,7 @@ class Searcher:
                     some = ids[s : min(b, s + 2 * n)].tolist()
                     best = max(best, (lcs(it.words, some, rows) / n, lcs(it.answer, some, answer) / max(1, len(it.answer))))
             if best[0] >= self.copied or best[0] >= self.paraphrased and best[1] >= self.answered:
-                out[j] = max(c for _, _, c in at), *best
+                out[d][j] = max(c for _, _, c in at), *best
         return out
 
 
@@ -172,7 +232,8 @@ def contaminated(docs: DataFrame, items: DataFrame, items_at_once: int = 4000, d
 
         def search(frames: Iterator[pd.DataFrame], searcher: Searcher = searcher) -> Iterator[pd.DataFrame]:
             for x in frames:
-                found = [(d, searcher.items[j].item_id, *v) for d, b in zip(x["doc_id"], x["ids"], strict=True) for j, v in searcher.hits(np.frombuffer(b, np.int32)).items()]
+                hits = [h for i in range(0, len(x), 128) for h in searcher.hits([np.frombuffer(b, np.int32) for b in x["ids"].iloc[i : i + 128]])]
+                found = [(d, searcher.items[j].item_id, *v) for d, h in zip(x["doc_id"], hits, strict=True) for j, v in h.items()]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "cosine", "shared", "answer_shared"])
 
         got = rows.mapInPandas(search, f"doc_id {id_kind}, item_id {item_kind}, cosine double, shared double, answer_shared double")
@@ -189,13 +250,14 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, items_at_once: int = 40
 
         def kept(frames: Iterator[pd.DataFrame], searcher: Searcher = searcher) -> Iterator[pd.DataFrame]:
             for x in frames:
-                yield x[[not searcher.hits(searcher.code(t)) for t in x[text]]]
+                hits = [h for i in range(0, len(x), 128) for h in searcher.hits([searcher.code(t) for t in x[text].iloc[i : i + 128]])]
+                yield x[[not h for h in hits]]
 
         out = out.mapInPandas(kept, docs.schema)
     return out
 
 
-def fit(docs: DataFrame, bench: DataFrame, cosine: float = 0.4, copied: float = 0.8, paraphrased: float = 0.6, answered: float = 0.8, rank: int = 256, common: float = 0.05, seed: int = 5) -> tuple[DataFrame, Searcher]:
+def fit(docs: DataFrame, bench: DataFrame, cosine: float = 0.45, copied: float = 0.8, paraphrased: float = 0.6, answered: float = 0.8, rank: int = 256, common: float = 0.05, seed: int = 5) -> tuple[DataFrame, Searcher]:
     """(the documents' words as numbers, staged; a searcher) from all passages of docs (doc_id, text) and the items (item_id, t, a).
 
     Terms in more than `common` of all passages get no weight.
@@ -237,29 +299,18 @@ def fit(docs: DataFrame, bench: DataFrame, cosine: float = 0.4, copied: float =
     norm = np.linalg.norm(own, axis=1, keepdims=True)
     own = np.divide(own, norm, out=np.zeros_like(own), where=norm > 0)
     r = max(1, min(rank, size, len(things) + 16))
-    test = np.random.default_rng(seed).standard_normal((size, r)).astype(np.float32)
+    test = np.random.default_rng(seed).standard_normal((size, r))
 
     def sketched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z = np.zeros((size, r))
+        gram = Gram(size)
         for x in frames:
             for i in range(0, len(x), 512):
                 ids, starts = _read(list(x["ids"].iloc[i : i + 512]))
                 p, t, c = in_passages(ids, starts, PASSAGE)
-                w = (1 + np.log(c)) * idf[t]
-                keep = w > 0
-                p, t, w = p[keep], t[keep], w[keep].astype(np.float32)
-                if not len(p):
-                    continue
-                first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-                row = np.cumsum(np.r_[False, p[1:] != p[:-1]])
-                length = np.add.reduceat(w * w, first) + 1e-9
-                y = np.add.reduceat(test[t] * w[:, None], first, axis=0) / length[:, None]  # rows of unit length, applied on both sides
-                order = np.argsort(t, kind="stable")
-                t = t[order]
-                cut = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-                z[t[cut]] += np.add.reduceat(y[row[order]] * w[order, None], cut, axis=0)
-        on = np.flatnonzero(z.any(1))
-        yield pd.DataFrame({"term": on, "z": pd.Series([z[k] for k in on], dtype=object)})
+                keep = idf[t] > 0
+                gram.add(p[keep], t[keep], (1 + np.log(c[keep])) * idf[t[keep]])
+        on, z = gram.times(test)
+        yield pd.DataFrame({"term": on, "z": pd.Series(list(z), dtype=object)})
 
     z = np.zeros((size, r))
     if size:
@@ -269,12 +320,12 @@ def fit(docs: DataFrame, bench: DataFrame, cosine: float = 0.4, copied: float =
             z[row[0]] = row[1:]
     boost = max(1.0, np.linalg.norm(z) / max(np.linalg.norm(own.T @ (own @ test)), 1e-9)) if len(things) else 1.0
     z += boost * (own.T @ (own @ test))  # the items' rows weigh as much as all passages, so the leading vectors tell them apart
-    basis = _leading(z, test.astype(np.float64))
+    basis = _leading(z, test)
     mine = own @ basis
     length = np.linalg.norm(mine, axis=1, keepdims=True)
-    mine = np.divide(mine, length, out=np.zeros_like(mine), where=length > 0).astype(np.float32)
-    faces = (basis * idf[:, None]).astype(np.float32)
-    return rows, Searcher(terms, things, mine, faces, idf, other, cosine, copied, paraphrased, answered)
+    mine = np.divide(mine, length, out=np.zeros_like(mine), where=length > 0)
+    against = ((basis * idf[:, None]) @ mine.T).astype(np.float32)
+    return rows, Searcher(terms, things, against, idf, other, cosine, copied, paraphrased, answered)
 
 
 def _leading(z: np.ndarray, test: np.ndarray) -> np.ndarray:
