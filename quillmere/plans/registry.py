@@ -1,4 +1,11 @@
-"""Registered queries of the reference-derived operators, and the SQL that gives the same rows."""
+"""Registered queries of the corpus, retrieval, evaluation and record operators, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from quillmere.plans import corpus, evaluation, records, retrieval
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+for part in (corpus, retrieval, evaluation, records):
+    QUERIES |= part.QUERIES
+    ORACLES |= part.ORACLES
