@@ -37,13 +37,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def segments(docs: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(all bytes, minimiser's 48-bit hash, first and last start of a 50-byte string that has it, document) in order of the text."""
+def segments(docs: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(all bytes, minimiser's 48-bit hash, its place, first and last start of a 50-byte string that has it, document) in order of the text."""
     flat = b"".join(docs)
     n = len(flat)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return flat, none.astype(np.uint64), none, none, none
+        return flat, none.astype(np.uint64), none, none, none, none
     words = np.ndarray((n - GRAM + 1 + 16,), "<u8", flat + bytes(8), 0, (1,))
     m = n - GRAM + 1
     with np.errstate(over="ignore"):
@@ -65,7 +65,7 @@ def segments(docs: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarr
     start = np.flatnonzero(doc[: n - LENGTH + 1] == doc[LENGTH - 1 :])
     at = (low[start] & PLACE).astype(np.int64)
     cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else none
-    return flat, h[at[cut]] >> np.uint64(16), start[cut], start[np.r_[cut[1:] - 1, len(start) - 1]] if len(cut) else none, doc[start[cut]]
+    return flat, h[at[cut]] >> np.uint64(16), at[cut], start[cut], start[np.r_[cut[1:] - 1, len(start) - 1]] if len(cut) else none, doc[start[cut]]
 
 
 def _rows(x: pd.DataFrame) -> tuple[list, list[bytes]]:
@@ -89,10 +89,10 @@ def _chunked(ids: list, texts: list[bytes]) -> Iterator[tuple[list[int], tuple]]
         yield at, segments([texts[j] for j in at])
 
 
-def _minimisers(ids: list, texts: list[bytes], buckets: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def _minimisers(ids: list, chunks: list[tuple[list[int], tuple]], buckets: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(bucket, sorted hashes, which of them two ids of this batch share)."""
     hashes, owners = [], []
-    for at, (_, h, _, _, doc) in _chunked(ids, texts):
+    for at, (_, h, _, _, _, doc) in chunks:
         hashes.append(h)
         owners.append(np.array([ids[j] for j in at], np.int64)[doc])
     if not hashes:
@@ -121,60 +121,88 @@ def _from_six(b: bytes) -> np.ndarray:
 
 
 def suffix_order(text: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of one shard, each up to its string's end (symbol 0, ends ordered by place). By prefix doubling."""
-    rank = text.astype(np.int64)
-    rank[end] = np.arange(len(end))
-    rank[text > 0] += len(end)
-    step = 1
+    """Order of all suffixes of one shard, each up to its string's end (symbol 0); equal ones by place. By eight symbols, then prefix doubling."""
+    n = len(text)
+    left = np.repeat(end, np.diff(np.r_[-1, end])) - np.arange(n)  # symbols before the string's end
+    wide = 8 if text.max(initial=0) < 256 else 4
+    padded = np.r_[text, np.zeros(8, text.dtype)].astype(">u1" if wide == 8 else ">u2").tobytes()
+    key = np.ndarray((n,), ">u8", padded, 0, (8 // wide,)).astype(np.uint64)
+    cut = np.maximum(wide - left, 0).astype(np.uint64) * np.uint64(64 // wide)
+    key = np.where(left > 0, key >> np.minimum(cut, np.uint64(63)) << np.minimum(cut, np.uint64(63)), np.uint64(0))
+    step = wide
     while True:
-        order = np.argsort(rank, kind="stable")
-        r = rank[order]
-        new = np.r_[True, r[1:] != r[:-1]]
-        if new.all():
-            return order
-        dense = np.empty(len(rank), np.int64)
-        dense[order] = np.cumsum(new)
-        after = np.zeros(len(rank), np.int64)
-        after[:-step] = dense[step:]
-        rank = dense * (len(rank) + 1) + after
+        order = np.argsort(key)
+        k = key[order]
+        new = np.r_[True, k[1:] != k[:-1]]
+        rank = np.empty(n, np.uint64)
+        rank[order] = np.cumsum(new)
+        if step > left.max(initial=0):
+            return np.argsort(rank * np.uint64(n) + np.arange(n, dtype=np.uint64))
+        after = np.zeros(n, np.uint64)
+        inside = np.flatnonzero(left >= step)
+        after[inside] = rank[inside + step]
+        key = rank * np.uint64(n + 1) + after
         step *= 2
 
 
 def merge(shards: list[tuple[np.ndarray, np.ndarray]], depth: int = LENGTH) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Merge shards' transforms. A shard is (text, ends): symbols from 1 up, 0 at each string's end.
+    """Merge shards' transforms, two symbols a step. A shard is (text, ends): symbols from 1 up, 0 at each string's end.
 
     Returns (suffix order of each shard, interleave, prefix): interleave lists suffixes, as place in their shard's order plus
-    the sizes of the shards before, ordered by their first `depth` symbols; prefix says how many symbols each shares with the
-    one before it, `depth` at most (a string's end counts as a symbol that all ends share).
+    the sizes of the shards before, ordered by their first `depth` symbols (an even number); prefix says how many symbols, in
+    twos, each shares with the one before it, `depth` at most. A string's end counts as a symbol that all ends share.
     """
-    orders, before, follows, dollars, size = [], [], [], [], 0
+    orders, keys, follows, short, size = [], [], [], [], 0
+    base = np.int64(1 + max(int(text.max(initial=0)) for text, _ in shards))
     for text, end in shards:
         sa = suffix_order(text, end)
-        rank = np.empty(len(sa), np.int64)
-        rank[sa] = np.arange(len(sa))
-        last = np.r_[0, text[:-1]]  # the symbol before each suffix: the transform, in the shard's order
+        n = len(sa)
+        rank = np.empty(n, np.int64)
+        rank[sa] = np.arange(n)
+        begin = np.repeat(np.r_[0, end[:-1] + 1], np.diff(np.r_[-1, end]))
+        place = np.arange(n)
+        left = np.repeat(end, np.diff(np.r_[-1, end])) - place
+        key = text.astype(np.int64) * base + np.where(left > 0, np.r_[text[1:], 0], 0)
+        two = np.where(place - 2 >= begin, rank[np.maximum(place - 2, 0)] + size, -1)  # the suffix that begins two symbols earlier
         orders.append(sa)
-        before.append(last[sa])
-        follows.append(rank[np.maximum(sa - 1, 0)] + size)
-        dollars.append(np.arange(len(end)) + size)
-        size += len(text)
-    symbol, to, dollar = np.concatenate(before), np.concatenate(follows), np.concatenate(dollars)
-    symbol = symbol.astype(np.uint8 if symbol.max(initial=0) < 256 else np.uint16)
-    line = np.arange(size)
-    block, prefix = np.zeros(size, np.int64), np.full(size, depth, np.int64)
-    for k in range(depth):
-        c = symbol[line]
+        keys.append(key[sa])
+        follows.append(two[sa])
+        short.append(np.flatnonzero(left[sa] < 2) + size)
+        size += n
+    key, to, first = np.concatenate(keys), np.concatenate(follows), np.concatenate(short)
+    kind = np.uint16 if base * base <= 1 << 16 else np.uint32
+    key, to, first = key.astype(kind), to.astype(np.int32), first.astype(np.int32)
+    line = np.arange(size, dtype=np.int32)
+    block, prefix = np.zeros(size, np.int32), np.full(size, depth, np.int64)
+    none = np.zeros(len(first), np.int32)
+    for k in range(0, depth, 2):
+        onto = to[line]
+        on = onto >= 0  # what stands in the first two places of a string has nothing two symbols before it
+        line = np.concatenate([first, onto[on]])
+        of = np.concatenate([none, block[on]])
+        c = key[line]
         order = np.argsort(c, kind="stable")
-        order = order[int((c == 0).sum()) :]  # what starts a string has no suffix before it
-        c, of = c[order], block[order]
-        new = np.r_[c[:1] > 0, (c[1:] != c[:-1]) | (of[1:] != of[:-1])]
-        line = np.r_[dollar, to[line[order]]]
-        fresh = np.r_[np.arange(len(dollar)) == 0, new]
+        line, of, c = line[order], of[order], c[order]
+        fresh = np.ones(size, bool)
+        fresh[1:] = (c[1:] != c[:-1]) | (of[1:] != of[:-1])
         prefix[fresh & (prefix == depth)] = k
-        block = np.cumsum(fresh)
+        block = np.cumsum(fresh, dtype=np.int32)
     return orders, line, prefix
 
 
+def apart(group: list[tuple[bytes, int]]) -> list[bytes]:
+    """Of segments with one minimiser (text, its place), those that may share 50 bytes with another.
+
+    Around the minimiser 26 more bytes are shared, so the 13 before it or the 13 after it are.
+    """
+    before, after, half = {}, {}, (LENGTH - GRAM) // 2
+    sides = [(s[o - half : o] if o >= half else None, s[o + GRAM : o + GRAM + half] if len(s) >= o + GRAM + half else None) for s, o in group]
+    for x, y in sides:
+        before[x] = before.get(x, 0) + 1
+        after[y] = after.get(y, 0) + 1
+    return [s for (s, _), (x, y) in zip(group, sides, strict=True) if x is not None and before[x] > 1 or y is not None and after[y] > 1]
+
+
 def least_ids(strings: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
     """For each string and each of its starts, the least id of the strings that hold the same 50 bytes."""
     values = np.unique(np.frombuffer(b"".join(strings), np.uint8))
@@ -220,7 +248,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
     rows = raw.withColumn("batch", F.pmod(F.xxhash64("doc_id", "data"), F.lit(batches)).cast("int")).repartition(batches, "batch")
 
     def first(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        got = _minimisers(*_rows(x), buckets)
+        ids, texts = _rows(x)
+        got = _minimisers(ids, [(at, (b"", *rest)) for at, (_, *rest) in _chunked(ids, texts)], buckets)
         return pd.DataFrame({"bucket": [b for b, _, _ in got], "batch": [key[0]] * len(got), "h": [_six(h) for _, h, _ in got], "shared": [np.packbits(s).tobytes() for _, _, s in got]})
 
     def repeated(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
@@ -245,54 +274,52 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
             return pd.DataFrame({"bucket": [], "batch": [], "pack": []})
         ids, texts = _rows(x)
         mask = dict(zip(masks["bucket"], masks["mask"], strict=True))
-        wanted = [h[np.unpackbits(np.frombuffer(mask[b], np.uint8), count=len(h)).astype(bool)] for b, h, _ in _minimisers(ids, texts, buckets) if b in mask]
+        chunks = list(_chunked(ids, texts))
+        wanted = [h[np.unpackbits(np.frombuffer(mask[b], np.uint8), count=len(h)).astype(bool)] for b, h, _ in _minimisers(ids, chunks, buckets) if b in mask]
         wanted = np.sort(np.concatenate(wanted))
         found: dict[bytes, list] = {}
-        for at, (flat, h, a, b, doc) in _chunked(ids, texts):
+        for at, (flat, h, p, a, b, doc) in chunks:
             k = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
             on = wanted[k] == h
-            for hh, i, j, d in zip(h[on].tolist(), a[on].tolist(), b[on].tolist(), doc[on].tolist(), strict=True):
-                s, one = flat[i : j + LENGTH], ids[at[d]]
-                had = found.get(s)
+            owner = np.array([ids[j] for j in at], np.int64)[doc[on]].tolist()
+            for hh, o, i, j, one in zip(h[on].tolist(), (p - a)[on].tolist(), a[on].tolist(), (b[on] + LENGTH).tolist(), owner, strict=True):
+                had = found.get(flat[i:j])
                 if had is None:
-                    found[s] = [hh, one, one]
+                    found[flat[i:j]] = [hh, one, one, o]
                 elif one > had[2]:
                     had[2] = one
                 elif one < had[1]:
                     had[1] = one
         by: dict[int, list[bytes]] = {}
-        for s, (hh, _, _) in found.items():
-            by.setdefault(hh % buckets, []).append(s)
+        for s, info in found.items():
+            by.setdefault(info[0] % buckets, []).append(s)
         squeeze = zstandard.ZstdCompressor(level=3)
         packs = []
         for strings in by.values():
             strings.sort()
             info = [found[s] for s in strings]
-            head = np.array([len(strings)], "<i8").tobytes() + np.array([[h, lo, hi] for h, lo, hi in info], "<i8").tobytes() + np.array([len(s) for s in strings], np.uint8).tobytes()
+            table = np.array(info, "<i8")
+            head = np.array([len(strings)], "<i8").tobytes() + table[:, :3].tobytes() + table[:, 3].astype(np.uint8).tobytes() + np.array([len(s) for s in strings], np.uint8).tobytes()
             packs.append(squeeze.compress(head + b"".join(strings)))
         return pd.DataFrame({"bucket": list(by), "batch": [key[0]] * len(by), "pack": packs})
 
     def judged(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         open_ = zstandard.ZstdDecompressor()
-        packs, least = [], {}
+        packs, least, kinds = [], {}, {}
         for blob in x["pack"]:
             b = open_.decompress(blob)
             n = int(np.frombuffer(b, "<i8", 1)[0])
             info = np.frombuffer(b, "<i8", 3 * n, 8).reshape(n, 3)
-            cut = np.cumsum(np.r_[8 + 25 * n, np.frombuffer(b, np.uint8, n, 8 + 24 * n).astype(np.int64)]).tolist()
+            cut = np.cumsum(np.r_[8 + 26 * n, np.frombuffer(b, np.uint8, n, 8 + 25 * n).astype(np.int64)]).tolist()
             strings = [b[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
             packs.append((strings, info))
-            for s, lo in zip(strings, info[:, 1].tolist(), strict=True):
-                if lo < least.get(s, 1 << 63):
+            for s, h, lo, o in zip(strings, info[:, 0].tolist(), info[:, 1].tolist(), b[8 + 24 * n : 8 + 25 * n], strict=True):
+                had = least.get(s)
+                if had is None:
+                    least[s] = lo
+                    kinds.setdefault(h, []).append((s, o))
+                elif lo < had:
                     least[s] = lo
-        kinds: dict[int, list[bytes]] = {}
-        seen = set()
-        for strings, info in packs:
-            for s, h in zip(strings, info[:, 0].tolist(), strict=True):
-                if s not in seen:
-                    seen.add(s)
-                    kinds.setdefault(h, []).append(s)
-        del seen
         ids: dict[bytes, np.ndarray] = {}
         some: list[bytes] = []
         size = 0
@@ -303,7 +330,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
                 some.clear()
 
         for group in kinds.values():
-            if len(group) > 1:
+            if len(group) > 1 and (group := apart(group)):
                 if size + sum(map(len, group)) > MERGE:
                     settle()
                     size = 0
@@ -336,7 +363,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
             for h, t, ij, lo in r.tolist():
                 known.setdefault((h, t & ((1 << 64) - 1)), []).append((ij >> 32, ij & 0xFFFFFFFF, lo))
             wanted = np.unique(r[:, 0]).astype(np.uint64)
-            for at, (flat, h, a, b, doc) in _chunked(ids, texts):
+            for at, (flat, h, _, a, b, doc) in _chunked(ids, texts):
                 base = np.cumsum([0, *(len(texts[j]) for j in at)])
                 k = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
                 on = wanted[k] == h
