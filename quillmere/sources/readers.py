@@ -113,7 +113,7 @@ def rtf_text(data: bytes) -> str:
                         i += 4 if src[i : i + 2] == "\\'" else 1 if i < len(src) and src[i] not in "\\{}" else 0
                 elif code:
                     out.append(bytes([int(code, 16)]).decode("cp1251", "replace"))
-                elif sign in "\\{}":
+                elif sign and sign in "\\{}":
                     out.append(sign)
                 elif sign == "~":
                     out.append(" ")
@@ -196,7 +196,7 @@ def load_catalog(spark: SparkSession, path: str) -> DataFrame:
     entry = "struct<relative_path:string,status:string,authoritative_rank:int,version_group:string>"
     listed = raw.where(F.col("v").startswith("[")).select(F.posexplode(F.from_json("v", f"array<{entry}>")).alias("n", "e")).select("n", "e.*")
     named = raw.where(F.col("v").startswith("{")).select(F.posexplode(F.map_entries(F.from_json("v", f"map<string,{entry}>"))).alias("n", "e")).select("n", F.col("e.key").alias("relative_path"), "e.value.status", "e.value.authoritative_rank", "e.value.version_group")
-    bad = raw.where(~F.col("v").rlike(r"^[\[{]")).select(F.raise_error(F.lit("a catalogue is a list or a mapping")).cast("int").alias("n"), F.lit("").alias("relative_path"), F.lit("").alias("status"), F.lit(0).alias("authoritative_rank"), F.lit("").alias("version_group"))
+    bad = raw.where(~F.col("v").rlike(r"^[\[{]")).select(F.lit(0).alias("n"), F.raise_error(F.lit("a catalogue is a list or a mapping")).cast("string").alias("relative_path"), F.lit("").alias("status"), F.lit(0).alias("authoritative_rank"), F.lit("").alias("version_group"))
     x = listed.unionByName(named).unionByName(bad).where(F.trim("relative_path") != "")
     return x.groupBy(F.trim("relative_path").alias("relative_path")).agg(F.max_by(F.struct("status", "authoritative_rank", "version_group"), "n").alias("r")).select("relative_path", "r.*")
 
