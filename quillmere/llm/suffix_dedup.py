@@ -28,7 +28,9 @@ LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1
 PLACE = np.uint64((1 << 28) - 1)
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-BATCH, BUCKET, CHUNK, MERGE, SHARDS = 4 << 20, 16 << 20, 1 << 19, 2 << 20, 8
+BATCH, BUCKET, CHUNK, MERGE, SHARDS = 4 << 20, 16 << 20, 1 << 16, 2 << 20, 8
+#: Bytes before and after a minimiser: 26 shared bytes, of which 6 k or more lie before it, reach at least this far on both sides.
+AROUND = [(b, max(0, LENGTH - GRAM - b - 5)) for b in range(0, LENGTH - GRAM + 1, 6)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -98,12 +100,12 @@ def _minimisers(ids: list, chunks: list[tuple[list[int], tuple]], buckets: int)
     if not hashes:
         return []
     h, o = np.concatenate(hashes), np.concatenate(owners)
-    order = np.lexsort((o, h))
+    order = np.argsort(h)
     h, o = h[order], o[order]
     first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    shared = o[first] != o[np.r_[first[1:] - 1, len(h) - 1]]
+    shared = np.minimum.reduceat(o, first) != np.maximum.reduceat(o, first)
     h = h[first]
-    bucket = (h % np.uint64(buckets)).astype(np.int64)
+    bucket = (h % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
     bucket, h, shared = bucket[order], h[order], shared[order]
     cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
@@ -120,22 +122,23 @@ def _from_six(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def suffix_order(text: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of one shard, each up to its string's end (symbol 0); equal ones by place. By eight symbols, then prefix doubling."""
-    n = len(text)
-    left = np.repeat(end, np.diff(np.r_[-1, end])) - np.arange(n)  # symbols before the string's end
-    wide = 8 if text.max(initial=0) < 256 else 4
-    padded = np.r_[text, np.zeros(8, text.dtype)].astype(">u1" if wide == 8 else ">u2").tobytes()
-    key = np.ndarray((n,), ">u8", padded, 0, (8 // wide,)).astype(np.uint64)
-    cut = np.maximum(wide - left, 0).astype(np.uint64) * np.uint64(64 // wide)
-    key = np.where(left > 0, key >> np.minimum(cut, np.uint64(63)) << np.minimum(cut, np.uint64(63)), np.uint64(0))
-    step = wide
+def heads(text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, int]:
+    """(the first symbols of each suffix as one number, how many): eight, or four where symbols need two bytes; nothing beyond the string's end."""
+    n, many = len(text), 8 if text.max(initial=0) < 256 else 4
+    padded = np.r_[text, np.zeros(8, text.dtype)].astype(">u1" if many == 8 else ">u2").tobytes()
+    key = np.ndarray((n,), ">u8", padded, 0, (8 // many,)).astype(np.uint64)
+    cut = np.minimum(np.maximum(many - left, 0).astype(np.uint64) * np.uint64(64 // many), np.uint64(63))
+    return np.where(left > 0, key >> cut << cut, np.uint64(0)), many
+
+
+def suffix_order(key: np.ndarray, many: int, left: np.ndarray) -> np.ndarray:
+    """Order of all suffixes of one shard, each up to its string's end; equal ones by place. By their heads, then prefix doubling."""
+    n, step = len(key), many
     while True:
         order = np.argsort(key)
         k = key[order]
-        new = np.r_[True, k[1:] != k[:-1]]
         rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(new)
+        rank[order] = np.cumsum(np.r_[True, k[1:] != k[:-1]])
         if step > left.max(initial=0):
             return np.argsort(rank * np.uint64(n) + np.arange(n, dtype=np.uint64))
         after = np.zeros(n, np.uint64)
@@ -145,43 +148,50 @@ def suffix_order(text: np.ndarray, end: np.ndarray) -> np.ndarray:
         step *= 2
 
 
+def stable_order(x: np.ndarray) -> np.ndarray:
+    """Stable order of 32-bit numbers by their 16-bit halves, which sort by radix."""
+    order = np.argsort(x.astype(np.uint16), kind="stable")
+    return order[np.argsort((x >> np.uint32(16)).astype(np.uint16)[order], kind="stable")] if x.max(initial=0) >> 16 else order
+
+
 def merge(shards: list[tuple[np.ndarray, np.ndarray]], depth: int = LENGTH) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Merge shards' transforms, two symbols a step. A shard is (text, ends): symbols from 1 up, 0 at each string's end.
+    """Merge shards' transforms, five symbols a step (two where symbols need two bytes). A shard is (text, ends): symbols from 1 up, 0 at each string's end.
 
     Returns (suffix order of each shard, interleave, prefix): interleave lists suffixes, as place in their shard's order plus
-    the sizes of the shards before, ordered by their first `depth` symbols (an even number); prefix says how many symbols, in
-    twos, each shares with the one before it, `depth` at most. A string's end counts as a symbol that all ends share.
+    the sizes of the shards before, ordered by their first `depth` symbols (steps divide it); prefix says how many symbols, in
+    whole steps, each shares with the one before it, `depth` at most. A string's end counts as a symbol that all ends share.
     """
     orders, keys, follows, short, size = [], [], [], [], 0
-    base = np.int64(1 + max(int(text.max(initial=0)) for text, _ in shards))
+    wide = any(text.max(initial=0) > 255 for text, _ in shards)
+    step = 2 if wide else 5
     for text, end in shards:
-        sa = suffix_order(text, end)
-        n = len(sa)
+        n = len(text)
+        length = np.diff(np.r_[-1, end])
+        left = np.repeat(end, length) - np.arange(n)  # symbols before the string's end
+        key, many = heads(text if not wide else text.astype(np.uint16), left)
+        sa = suffix_order(key, many, left)
         rank = np.empty(n, np.int64)
         rank[sa] = np.arange(n)
-        begin = np.repeat(np.r_[0, end[:-1] + 1], np.diff(np.r_[-1, end]))
         place = np.arange(n)
-        left = np.repeat(end, np.diff(np.r_[-1, end])) - place
-        key = text.astype(np.int64) * base + np.where(left > 0, np.r_[text[1:], 0], 0)
-        two = np.where(place - 2 >= begin, rank[np.maximum(place - 2, 0)] + size, -1)  # the suffix that begins two symbols earlier
+        begin = np.repeat(end - length + 1, length)
+        before = np.where(place - step >= begin, rank[np.maximum(place - step, 0)] + size, -1)  # the suffix that begins a step earlier
         orders.append(sa)
-        keys.append(key[sa])
-        follows.append(two[sa])
-        short.append(np.flatnonzero(left[sa] < 2) + size)
+        keys.append((key >> np.uint64(64 - (64 // many) * min(step, many)))[sa])
+        follows.append(before[sa])
+        short.append(np.flatnonzero(left[sa] < step) + size)
         size += n
-    key, to, first = np.concatenate(keys), np.concatenate(follows), np.concatenate(short)
-    kind = np.uint16 if base * base <= 1 << 16 else np.uint32
-    key, to, first = key.astype(kind), to.astype(np.int32), first.astype(np.int32)
+    key = np.unique(np.concatenate(keys), return_inverse=True)[1].astype(np.uint32)
+    to, first = np.concatenate(follows).astype(np.int32), np.concatenate(short).astype(np.int32)
     line = np.arange(size, dtype=np.int32)
     block, prefix = np.zeros(size, np.int32), np.full(size, depth, np.int64)
     none = np.zeros(len(first), np.int32)
-    for k in range(0, depth, 2):
+    for k in range(0, depth, step):
         onto = to[line]
-        on = onto >= 0  # what stands in the first two places of a string has nothing two symbols before it
+        on = onto >= 0  # what stands in a string's first places has nothing a step before it
         line = np.concatenate([first, onto[on]])
         of = np.concatenate([none, block[on]])
         c = key[line]
-        order = np.argsort(c, kind="stable")
+        order = stable_order(c)
         line, of, c = line[order], of[order], c[order]
         fresh = np.ones(size, bool)
         fresh[1:] = (c[1:] != c[:-1]) | (of[1:] != of[:-1])
@@ -193,14 +203,16 @@ def merge(shards: list[tuple[np.ndarray, np.ndarray]], depth: int = LENGTH) -> t
 def apart(group: list[tuple[bytes, int]]) -> list[bytes]:
     """Of segments with one minimiser (text, its place), those that may share 50 bytes with another.
 
-    Around the minimiser 26 more bytes are shared, so the 13 before it or the 13 after it are.
+    Around the minimiser 26 more bytes are shared; whichever way they lie, one of five windows of 45 bytes or more is shared.
     """
-    before, after, half = {}, {}, (LENGTH - GRAM) // 2
-    sides = [(s[o - half : o] if o >= half else None, s[o + GRAM : o + GRAM + half] if len(s) >= o + GRAM + half else None) for s, o in group]
-    for x, y in sides:
-        before[x] = before.get(x, 0) + 1
-        after[y] = after.get(y, 0) + 1
-    return [s for (s, _), (x, y) in zip(group, sides, strict=True) if x is not None and before[x] > 1 or y is not None and after[y] > 1]
+    seen: dict[tuple[int, bytes], int] = {}
+    windows = []
+    for s, o in group:
+        own = [(k, s[o - b : o + GRAM + a]) for k, (b, a) in enumerate(AROUND) if o >= b and len(s) >= o + GRAM + a]
+        windows.append(own)
+        for w in own:
+            seen[w] = seen.get(w, 0) + 1
+    return [s for (s, _), own in zip(group, windows, strict=True) if any(seen[w] > 1 for w in own)]
 
 
 def least_ids(strings: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
@@ -359,16 +371,16 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
         gone: dict[int, list[tuple[int, int]]] = {}
         if len(runs):
             r = np.concatenate([np.frombuffer(b, "<i8").reshape(-1, 4) for b in runs["runs"]])
-            known: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+            known: dict[int, list[tuple[int, int, int]]] = {}  # by hash and minimiser together
             for h, t, ij, lo in r.tolist():
-                known.setdefault((h, t & ((1 << 64) - 1)), []).append((ij >> 32, ij & 0xFFFFFFFF, lo))
+                known.setdefault(h << 64 | t & ((1 << 64) - 1), []).append((ij >> 32, ij & 0xFFFFFFFF, lo))
             wanted = np.unique(r[:, 0]).astype(np.uint64)
             for at, (flat, h, _, a, b, doc) in _chunked(ids, texts):
                 base = np.cumsum([0, *(len(texts[j]) for j in at)])
                 k = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
                 on = wanted[k] == h
                 for hh, i, j, d in zip(h[on].tolist(), a[on].tolist(), b[on].tolist(), doc[on].tolist(), strict=True):
-                    for p, q, lo in known.get((hh, xxhash.xxh3_64_intdigest(flat[i : j + LENGTH])), ()):
+                    for p, q, lo in known.get(hh << 64 | xxhash.xxh3_64_intdigest(flat[i : j + LENGTH]), ()):
                         if lo < ids[at[d]]:
                             gone.setdefault(at[d], []).append((i - int(base[d]) + p, i - int(base[d]) + q + LENGTH - 1))
         out = []
