@@ -13,6 +13,7 @@ from quillmere.plans.retrieval import EXACT, FALLBACK, INDEX, NEAREST, SCORES, S
 from quillmere.sources.tables import questions, table
 
 query = Part()
+HINTS_AT_ONCE = 1000
 HITS = ", ".join([QUESTIONS, INDEX, SETS, EXACT, SCORES])
 GOLD = r"gold AS (SELECT query_id, doc_id FROM questions JOIN documents ON contains(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), gold_start))"
 
@@ -159,10 +160,15 @@ def hint_candidates(spark, sf_dir):
     from pyspark.sql.window import Window
 
     h = table(spark, sf_dir, "benchmark").select("item_id", F.slice(F.regexp_extract_all(F.lower("text"), F.lit(text.WORD), F.lit(0)), 1, 3).alias("hints"))
-    block = F.array(*[F.struct(F.lit(r[0]).cast("long").alias("item_id"), F.array(*[F.lit(x) for x in r[1]]).alias("hints")) for r in h.orderBy("item_id").limit(10_000).collect()])
     hay = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"))
-    scored = F.transform(block, lambda b: F.struct(b["item_id"].alias("item_id"), F.size(F.filter(b["hints"], lambda x: F.contains("t", x))).alias("score")))
-    x = hay.select("doc_id", F.inline(F.filter(scored, lambda s: s["score"] > 0)))
+    passes = max(1, -(-h.count() // HINTS_AT_ONCE))
+    x = None
+    for p in range(passes):
+        rows = h.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p).collect()  # one block of the query set
+        block = F.array(*[F.struct(F.lit(r[0]).cast("long").alias("item_id"), F.array(*[F.lit(w) for w in r[1]]).cast("array<string>").alias("hints")) for r in rows]) if rows else F.array().cast("array<struct<item_id:bigint,hints:array<string>>>")
+        scored = F.transform(block, lambda b: F.struct(b["item_id"].alias("item_id"), F.size(F.filter(b["hints"], lambda w: F.contains("t", w))).alias("score")))
+        part = hay.select("doc_id", F.inline(F.filter(scored, lambda s: s["score"] > 0)))
+        x = part if x is None else x.union(part)
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")) - 1
     return x.withColumn("rank", rank).where("rank < 8").select("item_id", "doc_id", "score", "rank")
 

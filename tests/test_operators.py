@@ -1,5 +1,7 @@
 """Literal cases and brute-force twins of what SQL does not express."""
 
+import hashlib
+import hmac
 import io
 import json
 import uuid
@@ -10,8 +12,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillmere.functions import ids, text
-from quillmere.operators import chunking, metrics, retrieval
+from quillmere.functions import ids, more, text
+from quillmere.operators import chunking, metrics, retrieval, runs
 from quillmere.operators import records as ops
 from quillmere.sources import readers
 from quillmere.streaming import events as streams
@@ -212,3 +214,45 @@ def test_stream_claims(spark, tmp_path):
     out = streams.claims(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"))
     out.writeStream.queryName("claimed").format("memory").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.key for r in spark.table("claimed").collect()) == ["j", "k"]
+
+
+def test_text_forms(spark):
+    x = spark.createDataFrame([("Ｆｕｌｌ  ＷＩＤＴＨ ß",), ("Plain  Text",), (None,)], "t string").select(more.match_text(F.col("t")).alias("x"))
+    assert [r.x for r in x.collect()] == ["full width ss", "plain text", None]
+
+
+def test_pseudonyms(spark):
+    got = one(spark, more.pseudonym(F.col("t"), "key"), t=" A@b.c ")
+    assert got == hmac.new(b"key", b"a@b.c", hashlib.sha256).hexdigest()[:16]
+
+
+def test_sorted_json(spark):
+    x = spark.createDataFrame([('q"é\n', 3, None)], "b string, a long, c string").select(more.sorted_json({k: F.col(k) for k in "bac"}).alias("x"))
+    assert x.first().x == json.dumps({"a": 3, "b": 'q"é\n', "c": None}, ensure_ascii=False)
+
+
+def test_promotion(spark):
+    for name, n in (("chunks_a", 3), ("chunks_b", 4), ("terms_b", 2)):
+        spark.range(n).createOrReplaceTempView(f"v_{name}")
+        spark.sql(f"CREATE OR REPLACE TEMP VIEW {name} AS SELECT * FROM v_{name}")
+    none = spark.createDataFrame([], "code string, subject string")
+    with pytest.raises(ValueError, match="gates failed"):
+        runs.promote(spark, {"live": "chunks_b"}, spark.createDataFrame([("x", "y")], "code string, subject string"), {})
+    with pytest.raises(ValueError, match="rows"):
+        runs.promote(spark, {"live": "chunks_b"}, none, {"live": 5})
+    assert runs.shadow_name("chunks", "run_1") == "chunks__shadow__run_1"
+    with pytest.raises(ValueError, match="run id"):
+        runs.shadow_name("chunks", "../x")
+
+
+def test_alias_moves_back(spark, tmp_path):
+    for name, n in (("old_t", 2), ("new_t", 5)):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{tmp_path}/{name}' AS SELECT id FROM range({n})")
+    none = spark.createDataFrame([], "code string, subject string")
+    assert runs.promote(spark, {"live_alias": "old_t"}, none, {"live_alias": 2}) == {"live_alias": None}
+    with pytest.raises(Exception):  # noqa: B017  the second table does not exist
+        runs.promote(spark, {"live_alias": "new_t", "other_alias": "absent_t"}, none, {"live_alias": 5})
+    assert runs.active(spark, "live_alias") == "old_t" and spark.table("live_alias").count() == 2
+    for sql in ("DROP VIEW IF EXISTS live_alias", "DROP TABLE IF EXISTS quillmere_aliases", "DROP TABLE IF EXISTS old_t", "DROP TABLE IF EXISTS new_t"):
+        spark.sql(sql)
