@@ -35,9 +35,10 @@ from quillmere.llm.common import stage
 
 MAGIC = b"QMTOKEN1"
 NULL_ID = -(1 << 63)
-CACHE = 800_000
-#: What keeps a text from being lower-cased and parted at full stops and commas before it is encoded.
-UNEVEN = re.compile("[\x1c-\x1f\u0130\u0250-\U0010ffff]|[^\\w\\s][.,]|_[.,]|<\\|")
+CACHE = 1_200_000
+#: Full stops and commas behind another sign, and letters that may not be lower-cased one by one: such texts are encoded as they are.
+SIGNS = re.compile(r"[.,](?<![^\W_][.,])(?<!\s[.,])|<\|")
+RARE = re.compile("[\u0130\u0250-\U0010ffff]")
 
 
 class _Files:
@@ -108,13 +109,13 @@ class Encoder:
 
     @staticmethod
     def _pieces(text: str) -> list[str]:
-        if not UNEVEN.search(text):
+        if not SIGNS.search(text) and not any(c in text for c in "\x1c\x1d\x1e\x1f") and (text.isascii() or not RARE.search(text)):
             text = text.lower().replace(".", " .").replace(",", " ,")
         return text.replace("\n", " ").split(" ")
 
     def _words(self, words: list[str]) -> None:
         """Words of letters, encoded in one go: each ends with the only id that ends a word. If the ends don't tally, nothing is learned."""
-        ids = np.array(self.tok.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
+        ids = np.array(self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
         if len(ids) and len(cut := np.flatnonzero(self.ends[ids]) + 1) == len(words) and cut[-1] == len(ids):
             data, size = ids.tobytes(), self.kind.itemsize
             self.known.update((w, data[i * size : j * size]) for w, i, j in zip(words, [0, *cut[:-1].tolist()], cut.tolist(), strict=True))
@@ -132,7 +133,9 @@ class Encoder:
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, samples: int, sample_chars: int, size: int) -> bytes:
     """A dictionary from the serialized ids of at most `samples` documents of at most `sample_chars` characters, those of the least hash; empty when there are too few."""
     short = docs.where(F.col("text").isNotNull() & (F.length("text") <= sample_chars) & (F.length("text") > 0))
-    texts = [r[0] for r in short.select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(samples).select("text").collect()]
+    hashed = short.withColumn("h", F.xxhash64("doc_id", F.length("text")))
+    last = hashed.select("h").orderBy("h").limit(samples).agg(F.max("h")).first()[0]  # hashes alone are sorted; then just the sample is fetched
+    texts = [r[0] for r in hashed.where(F.col("h") <= last).orderBy("h", "text").select("text").limit(samples).collect()] if last is not None else []
     data = Encoder(tokenizer)(texts, [end_id])
     if sum(map(len, data)) < 8 * size or len(data) < 64:
         return b""
