@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import byte_quality, decontaminate, main_text, mixing, near_vectors, secrets, suffix_dedup, text_join, token_files, toxicity
+from quillmere.llm import byte_quality, decontaminate, main_text, mixing, near_vectors, secrets, suffix_dedup, text_join, token_files, toxicity, twins
 from quillmere.llm.common import new_path, table
 
 def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +58,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_near_vectors, op2_main_text, op3_token_files, op4_toxicity, op5_mix, op6_secrets, op7_byte_quality, op8_suffix_dedup, op9_decontaminate, op10_jaccard_join)}
-ORACLES: dict[str, str] = {} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLES: dict[str, str] = twins.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
