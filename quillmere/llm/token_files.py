@@ -20,7 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain, filterfalse, islice
 from urllib.parse import urlparse
 
 import numpy as np
@@ -104,7 +104,7 @@ class Encoder:
         words = [w for w in pieces if w.isalpha()]
         for i in range(0, len(words), 4096):
             self._words(words[i : i + 4096])
-        rest = list(pieces - self.known.keys())
+        rest = [w for w in pieces if w not in self.known]
         self.known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True))
 
     @staticmethod
@@ -124,7 +124,7 @@ class Encoder:
         parts = [self._pieces(t or "") for t in texts]
         if len(self.known) > CACHE:  # the older half goes
             self.known = dict(islice(self.known.items(), CACHE // 2, None))
-        if new := set(chain.from_iterable(parts)) - self.known.keys():
+        if new := set(filterfalse(self.known.__contains__, chain.from_iterable(parts))):
             self._learn(new)
         get, last = self.known.__getitem__, np.array(end, self.kind).tobytes()
         return [b"".join(map(get, p)) + last for p in parts]
@@ -133,9 +133,9 @@ class Encoder:
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, samples: int, sample_chars: int, size: int) -> bytes:
     """A dictionary from the serialized ids of at most `samples` documents of at most `sample_chars` characters, those of the least hash; empty when there are too few."""
     short = docs.where(F.col("text").isNotNull() & (F.length("text") <= sample_chars) & (F.length("text") > 0))
-    hashed = short.withColumn("h", F.xxhash64("doc_id", F.length("text")))
-    last = hashed.select("h").orderBy("h").limit(samples).agg(F.max("h")).first()[0]  # hashes alone are sorted; then just the sample is fetched
-    texts = [r[0] for r in hashed.where(F.col("h") <= last).orderBy("h", "text").select("text").limit(samples).collect()] if last is not None else []
+    share = min(1.0, 4 * samples / max(1, docs.count()))  # about four times what is wanted, by the hash of the id, so that one reading of the texts is enough
+    some = short.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).where(F.col("h") < int(share * (1 << 40)))
+    texts = [r[0] for r in some.orderBy("h", "text").select("text").limit(samples).collect()]
     data = Encoder(tokenizer)(texts, [end_id])
     if sum(map(len, data)) < 8 * size or len(data) < 64:
         return b""
@@ -157,12 +157,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, sa
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = Encoder.of(tokenizer)
-        pack = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(words) if words else None)
+        known = zstandard.ZstdCompressionDict(words) if words else None
+        if known:
+            known.precompute_compress(level=level)  # else each frame would digest it again
+        pack = zstandard.ZstdCompressor(level=level, dict_data=known)
         body = bytearray(MAGIC + digest + bytes([encode.kind.itemsize]))
         ids, counts, offsets = [], [], []
         for x in frames:
-            for i in range(0, len(x), 1024):
-                part = x.iloc[i : i + 1024]
+            for i in range(0, len(x), 32):
+                part = x.iloc[i : i + 32]
                 for d, a in zip(part["doc_id"], encode(list(part["text"]), [end_id]), strict=True):
                     offsets.append(len(body))
                     body += pack.compress(a)
