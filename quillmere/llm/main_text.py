@@ -4,7 +4,7 @@ Markup is stripped into lines, one for each block. What is marked as boilerplate
 adverts, forms, comments, scripts, styles) leaves only an empty line, as does what stands outside a marked article. Text
 lengths are summed over sliding windows of lines; where the sum rises from nothing is a surge, where it falls back is a dive.
 A page with a marked article keeps what lies between its first surge and its last dive. Without one, lengths count only text
-outside links, and the stretch between a surge and its dive with most text is kept.
+outside links, and every stretch between a surge and its dive is kept whose sums rise high enough.
 """
 
 from __future__ import annotations
@@ -23,10 +23,13 @@ WINDOW, RISE = 3, 80
 TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"<]*"|'[^'<]*'|["'])*+)>|<[!?][^<>]*>?|<""")
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 DEAD = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|title|textarea|select)\b[^<>]*>.*?(?:</\1\s*>|\Z)")
+# Words of class names and ids, roles and tags that mark boilerplate.
 BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner\w*|breadcrumbs?|byline-links|comments?|commentlist|consent|cookies?|copyright|disclaimer|disqus|foot|footer|form|gdpr|head|header|legal|login|masthead|menu\w*|modal|nav|navbar|navigation|newsletter|notice|notification|alert|overlay|pagination|pager|paywall|popup|promo\w*|recommend\w*|related|reply|replies|respond|search|share|sharing|side|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|topbar|widget\w*|discussion|responses|feedback)(?:$|[\s_\d-])",
+    r"(?:^|[\s_-])(?:ads?|adv|ad(?:box|block|slot|unit|banner|space|sense)s?|advert\w*|\w*banner\w*|breadcrumbs?|comments?|commentlist|consent|cookies?|copyright|disclaimer|disqus|foot|\w*footer|forms?|gdpr|header|site-?header|log-?in|masthead|\w*menu\w*|modal|\w*nav|navbar|navigation|newsletter|notices?|notifications?|alerts?|overlay|pagination|pager|paywall|pop-?up|promos?|promoted|recommend\w*|related|reply|replies|respond|responses|search|share|sharing|(?:left|right|side|top|bottom)-?(?:bar|rail|col)|side|signup|skip|social|sponsor\w*|subscribe|subscription|toolbar|widgets?|feedback)(?:$|[\s_\d-])",
     re.I,
 )
+TITLED = re.compile(r"(?:article|entry|post|story)[_-]?header", re.I)  # holds the article's title
+HUMPS = re.compile("(?<=[a-z])(?=[A-Z])")
 ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "form", "menu", "menubar", "alert", "dialog", "alertdialog", "status", "toolbar"}
 BOILER_TAGS = {"nav", "header", "footer", "aside", "form", "button", "label", "fieldset", "dialog", "menu", "head", "object", "canvas", "audio", "video"}
 MAIN_TAGS = {"article", "main"}
@@ -42,7 +45,7 @@ def boilerplate(tag: str, attributes: str) -> bool:
         return tag in MAIN_TAGS and bool(attributes) and any(k.lower() != "role" and re.search(r"(?:^|[\s_-])(?:comments?|reply|related|ad|ads|promo\w*|teaser)(?:$|[\s_\d-])", a or b or c, re.I) for k, a, b, c in NAMED.findall(attributes))
     for k, a, b, c in NAMED.findall(attributes):
         k, v = k.lower(), a or b or c
-        if k == "hidden" or k == "aria-hidden" and v.lower() == "true" or k == "role" and v.lower() in ROLES or k in ("class", "id") and BOILER.search(v):
+        if k == "hidden" or k == "aria-hidden" and v.lower() == "true" or k == "role" and v.lower() in ROLES or k in ("class", "id") and BOILER.search(TITLED.sub("", HUMPS.sub("-", v))):
             return True
     return False
 
@@ -143,10 +146,7 @@ def main_text(page: str | None) -> str:
         return " ".join(t for t, _, k in got[a:b] if t and k == best)
     own = size - np.array([n for _, n, _ in got], np.int64)
     found = stretches(np.where(own * 2 >= size, own, 0), RISE) or stretches(own, 1)
-    if not found:
-        return ""
-    a, b = max(found, key=lambda s: own[s[0] : s[1]].sum())
-    return " ".join(t for t, _, _ in got[a:b] if t)
+    return " ".join(t for a, b in found for t, _, _ in got[a:b] if t)
 
 
 def extract(pages: DataFrame, page_html: str = "html") -> DataFrame:
