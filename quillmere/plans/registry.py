@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillmere.plans import answers, corpus, evaluation, records, retrieval
+from quillmere.plans import answers, corpus, evaluation, packets, records, retrieval
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for part in (corpus, retrieval, answers, evaluation, records):
+for part in (corpus, retrieval, answers, evaluation, packets, records):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmere.functions import ids, more, text
-from quillmere.operators import chunking, metrics, retrieval, runs
+from quillmere.operators import chunking, metrics, packets, retrieval, runs
 from quillmere.operators import records as ops
 from quillmere.sources import readers
 from quillmere.streaming import events as streams
@@ -256,3 +256,14 @@ def test_alias_moves_back(spark, tmp_path):
     assert runs.active(spark, "live_alias") == "old_t" and spark.table("live_alias").count() == 2
     for sql in ("DROP VIEW IF EXISTS live_alias", "DROP TABLE IF EXISTS quillmere_aliases", "DROP TABLE IF EXISTS old_t", "DROP TABLE IF EXISTS new_t"):
         spark.sql(sql)
+
+
+def test_annotated(spark):
+    x = spark.createDataFrame([(1, "a", 3.0, None), (1, "b", 5.0, None), (1, "c", 1.0, 7)], "query_id long, id string, score double, rank int")
+    assert {r.id: r.rank for r in packets.annotated(x, F.desc("score"), "rank").collect()} == {"b": 0, "a": 1, "c": 7}
+
+
+def test_run_traces(spark):
+    x = spark.createDataFrame([("t1", None, 1, "r"), ("t2", None, 9, None), ("t1", "p", 2, None)], "trace_id string, parent string, time long, run_id string")
+    assert sorted(r.time for r in packets.run_traces(x, "r").collect()) == [1, 2]
+    assert [r.time for r in packets.run_traces(x, "other").collect()] == [9]
