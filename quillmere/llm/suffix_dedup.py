@@ -29,6 +29,8 @@ WINDOW = LENGTH - GRAM + 1
 PLACE = np.uint64((1 << 28) - 1)
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 BATCH, BUCKET, CHUNK, MERGE, SHARDS = 4 << 20, 16 << 20, 1 << 16, 2 << 20, 8
+#: In place of a minimiser's place: the string is looked at by itself.
+ALONE = 255
 #: Bytes before and after a minimiser: 26 shared bytes, of which 6 k or more lie before it, reach at least this far on both sides.
 AROUND = [(b, max(0, LENGTH - GRAM - b - 5)) for b in range(0, LENGTH - GRAM + 1, 6)]
 
@@ -92,7 +94,7 @@ def _chunked(ids: list, texts: list[bytes]) -> Iterator[tuple[list[int], tuple]]
 
 
 def _minimisers(ids: list, chunks: list[tuple[list[int], tuple]], buckets: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(bucket, sorted hashes, which of them two ids of this batch share)."""
+    """(bucket, sorted hashes, for each 1 if one id of this batch has it, else how often it occurs, 255 at most)."""
     hashes, owners = [], []
     for at, (_, h, _, _, _, doc) in chunks:
         hashes.append(h)
@@ -103,7 +105,8 @@ def _minimisers(ids: list, chunks: list[tuple[list[int], tuple]], buckets: int)
     order = np.argsort(h)
     h, o = h[order], o[order]
     first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    shared = np.minimum.reduceat(o, first) != np.maximum.reduceat(o, first)
+    many = np.clip(np.diff(np.r_[first, len(h)]), 2, 255)
+    shared = np.where(np.minimum.reduceat(o, first) != np.maximum.reduceat(o, first), many, 1).astype(np.uint8)
     h = h[first]
     bucket = (h % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -246,12 +249,13 @@ def least_ids(strings: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(base[:-1], base[1:], strict=True)]
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False, crowd: int = 50_000) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, kept (what is left, binary).
 
     A byte goes when it is inside 50 equal bytes that also start in a document of a smaller id; strings are judged on the
     input. Null texts count as empty; documents of fewer than 50 bytes keep all; a null id neither loses nor takes; rows that
-    share an id are one document to each other and lose nothing to one another. An empty table gives no rows.
+    share an id are one document to each other and lose nothing to one another. An empty table gives no rows. A minimiser that
+    occurs `crowd` times or more is not looked at in one place: its strings of 50 bytes are parted by their own hashes.
     """
     data = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     raw = docs.select(F.col(doc_id).cast("long").alias("doc_id"), data.alias("data"))
@@ -262,24 +266,22 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
     def first(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         ids, texts = _rows(x)
         got = _minimisers(ids, [(at, (b"", *rest)) for at, (_, *rest) in _chunked(ids, texts)], buckets)
-        return pd.DataFrame({"bucket": [b for b, _, _ in got], "batch": [key[0]] * len(got), "h": [_six(h) for _, h, _ in got], "shared": [np.packbits(s).tobytes() for _, _, s in got]})
+        return pd.DataFrame({"bucket": [b for b, _, _ in got], "batch": [key[0]] * len(got), "h": [_six(h) for _, h, _ in got], "shared": [s.tobytes() for _, _, s in got]})
 
     def repeated(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         some = [_from_six(b) for b in x["h"]]
-        shared = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=len(h)).astype(bool) for s, h in zip(x["shared"], some, strict=True)])
-        h = np.concatenate(some)
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        same = np.zeros(len(s), bool)
-        same[1:] = s[1:] == s[:-1]
-        same[:-1] |= s[1:] == s[:-1]
-        again = np.empty(len(s), bool)
-        again[order] = same
-        again |= shared
+        h, n = np.concatenate(some), np.concatenate([np.frombuffer(b, np.uint8) for b in x["shared"]]).astype(np.int64)
+        order = np.argsort(h)
+        s, n = h[order], n[order]
+        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        size = np.diff(np.r_[first, len(s)])
+        level = np.empty(len(s), np.uint8)  # 0: one document has it, 1: more, 2: very many
+        level[order] = np.repeat(((size > 1) | (n[first] > 1)).astype(np.uint8) + (np.add.reduceat(n, first) >= crowd), size)
         cut = np.cumsum([0, *map(len, some)])
-        masks = [again[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        masks = [level[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
         on = [k for k, m in enumerate(masks) if m.any()]
-        return pd.DataFrame({"batch": x["batch"].to_numpy()[on], "bucket": [key[0]] * len(on), "mask": [np.packbits(masks[k]).tobytes() for k in on]})
+        two = lambda m: np.packbits(np.concatenate([m > 0, m > 1])).tobytes()
+        return pd.DataFrame({"batch": x["batch"].to_numpy()[on], "bucket": [key[0]] * len(on), "mask": [two(masks[k]) for k in on]})
 
     def second(key: tuple, x: pd.DataFrame, masks: pd.DataFrame) -> pd.DataFrame:
         if not len(masks) or not len(x):
@@ -287,24 +289,27 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
         ids, texts = _rows(x)
         mask = dict(zip(masks["bucket"], masks["mask"], strict=True))
         chunks = list(_chunked(ids, texts))
-        wanted = [h[np.unpackbits(np.frombuffer(mask[b], np.uint8), count=len(h)).astype(bool)] for b, h, _ in _minimisers(ids, chunks, buckets) if b in mask]
-        wanted = np.sort(np.concatenate(wanted))
+        hashes = [(h, np.unpackbits(np.frombuffer(mask[b], np.uint8), count=2 * len(h)).astype(bool)) for b, h, _ in _minimisers(ids, chunks, buckets) if b in mask]
+        wanted = np.sort(np.concatenate([h[m[: len(h)]] for h, m in hashes]))
+        crowded = {int(v) for h, m in hashes for v in h[m[len(h) :]]}
         found: dict[bytes, list] = {}
         for at, (flat, h, p, a, b, doc) in chunks:
             k = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
             on = wanted[k] == h
             owner = np.array([ids[j] for j in at], np.int64)[doc[on]].tolist()
             for hh, o, i, j, one in zip(h[on].tolist(), (p - a)[on].tolist(), a[on].tolist(), (b[on] + LENGTH).tolist(), owner, strict=True):
-                had = found.get(flat[i:j])
-                if had is None:
-                    found[flat[i:j]] = [hh, one, one, o]
-                elif one > had[2]:
-                    had[2] = one
-                elif one < had[1]:
-                    had[1] = one
+                # very many surroundings: each 50 bytes go alone, to a bucket of their own hash
+                for u, v in [(i, j)] if hh not in crowded else [(w, w + LENGTH) for w in range(i, j - LENGTH + 1)]:
+                    had = found.get(flat[u:v])
+                    if had is None:
+                        found[flat[u:v]] = [hh, one, one, o if hh not in crowded else ALONE]
+                    elif one > had[2]:
+                        had[2] = one
+                    elif one < had[1]:
+                        had[1] = one
         by: dict[int, list[bytes]] = {}
         for s, info in found.items():
-            by.setdefault(info[0] % buckets, []).append(s)
+            by.setdefault((info[0] if info[3] != ALONE else xxhash.xxh3_64_intdigest(s, 7)) % buckets, []).append(s)
         squeeze = zstandard.ZstdCompressor(level=3)
         packs = []
         for strings in by.values():
@@ -317,7 +322,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
 
     def judged(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         open_ = zstandard.ZstdDecompressor()
-        packs, least, kinds = [], {}, {}
+        packs, least, kinds, alone = [], {}, {}, set()
         for blob in x["pack"]:
             b = open_.decompress(blob)
             n = int(np.frombuffer(b, "<i8", 1)[0])
@@ -329,7 +334,10 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
                 had = least.get(s)
                 if had is None:
                     least[s] = lo
-                    kinds.setdefault(h, []).append((s, o))
+                    if o == ALONE:
+                        alone.add(s)
+                    else:
+                        kinds.setdefault(h, []).append((s, o))
                 elif lo < had:
                     least[s] = lo
         ids: dict[bytes, np.ndarray] = {}
@@ -356,7 +364,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
                 v = ids.get(s)
                 if v is None:
                     if least[s] < hi:
-                        runs.append((h, xxhash.xxh3_64_intdigest(s), 0, len(s) - LENGTH + 1, least[s]))
+                        runs.append((h, xxhash.xxh3_64_intdigest(s), ALONE if s in alone else 0, len(s) - LENGTH + 1, least[s]))
                     continue
                 cut = [0, *(np.flatnonzero(v[1:] != v[:-1]) + 1).tolist(), len(v)]
                 tag = xxhash.xxh3_64_intdigest(s)
@@ -372,6 +380,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
         if len(runs):
             r = np.concatenate([np.frombuffer(b, "<i8").reshape(-1, 4) for b in runs["runs"]])
             known: dict[int, list[tuple[int, int, int]]] = {}  # by hash and minimiser together
+            crowded = set(r[r[:, 2] >> 32 == ALONE, 0].tolist())
+            r[:, 2] &= np.where(r[:, 2] >> 32 == ALONE, 0xFFFFFFFF, -1)
             for h, t, ij, lo in r.tolist():
                 known.setdefault(h << 64 | t & ((1 << 64) - 1), []).append((ij >> 32, ij & 0xFFFFFFFF, lo))
             wanted = np.unique(r[:, 0]).astype(np.uint64)
@@ -380,9 +390,10 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
                 k = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
                 on = wanted[k] == h
                 for hh, i, j, d in zip(h[on].tolist(), a[on].tolist(), b[on].tolist(), doc[on].tolist(), strict=True):
-                    for p, q, lo in known.get(hh << 64 | xxhash.xxh3_64_intdigest(flat[i : j + LENGTH]), ()):
-                        if lo < ids[at[d]]:
-                            gone.setdefault(at[d], []).append((i - int(base[d]) + p, i - int(base[d]) + q + LENGTH - 1))
+                    for u, v in [(i, j + LENGTH)] if hh not in crowded else [(w, w + LENGTH) for w in range(i, j + 1)]:
+                        for p, q, lo in known.get(hh << 64 | xxhash.xxh3_64_intdigest(flat[u:v]), ()):
+                            if lo < ids[at[d]]:
+                                gone.setdefault(at[d], []).append((u - int(base[d]) + p, u - int(base[d]) + q + LENGTH - 1))
         out = []
         for k, (i, t) in enumerate(zip(ids, texts, strict=True)):
             spans: list[list[int]] = []

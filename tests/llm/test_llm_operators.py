@@ -324,15 +324,16 @@ def brute_removed(rows):
     return sorted(map(str, out))
 
 
-def removed(df):
-    return sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in suffix_dedup.deduplicate(df).collect())
+def removed(df, **how):
+    return sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in suffix_dedup.deduplicate(df, **how).collect())
 
 
 def test_suffix_dedup(spark):
     line = words(12, 5)
     rows = [*[r for r in ODD if r[0] != 5], (20, line), (21, "é" + line + "z" * 300), (22, words(30, 6) + line[10:70] + words(20, 7)), (23, "z" * 120), (24, line[:49]), (25, line[:50]), (26, "ab" * 200), (27, "ba" * 60), (28, "é" * 60), (19, "é" * 30 + line)]
     rows += [(40 + i, words(20, 100 + i) + line + words(20, 200 + i)) for i in range(30)]
-    assert removed(documents(spark, rows)) == brute_removed(rows)
+    for crowd in (50_000, 20, 2):
+        assert removed(documents(spark, rows), crowd=crowd) == brute_removed(rows)
     assert suffix_dedup.deduplicate(documents(spark, [])).count() == 0
 
 
