@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -102,10 +103,12 @@ def streamed_counts(spark, sf_dir):
     """Hourly counts from a stream that reads the table as it would read arriving files, until nothing is left."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name, at = f"counts_{abs(hash(sf_dir)) % 10**9}", spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()  # a cluster names a shared folder; one machine need not
+    at = f"{shared.rstrip('/')}/counts-{uuid.uuid4().hex[:12]}"
     counts = streams.windowed_counts(stream, late="3650 days")
-    counts.writeStream.queryName(name).outputMode("complete").format("memory").option("checkpointLocation", f"{at}/{name}-{id(counts)}").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    save = lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/out")
+    counts.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out")
 
 
 QUERIES, ORACLES = query.queries, query.oracles
