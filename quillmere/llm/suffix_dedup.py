@@ -28,7 +28,7 @@ LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1
 PLACE = np.uint64((1 << 28) - 1)
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-BATCH, BUCKET, CHUNK, MERGE, SHARDS = 4 << 20, 16 << 20, 1 << 16, 2 << 20, 8
+BATCH, BUCKET, CHUNK, MERGE, SHARDS = 4 << 20, 8 << 20, 1 << 16, 2 << 20, 8
 #: In place of a minimiser's place: the string is looked at by itself.
 ALONE = 255
 #: Bytes before and after a minimiser: 26 shared bytes, of which 6 k or more lie before it, reach at least this far on both sides.
