@@ -77,7 +77,7 @@ class Gram:
 
     def __init__(self, size: int) -> None:
         self.size, self.keys, self.values, self.held = size, [], [], 0
-        self.dense = np.zeros(size * size) if size * size <= self.DENSE else None
+        self.dense = np.zeros(size * size, np.float32) if size * size <= self.DENSE else None
 
     def add(self, passage: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
         if not len(passage):
@@ -90,7 +90,7 @@ class Gram:
             t, w = term[at], weight[at]
             key, value = (t[:, :, None] * self.size + t[:, None, :]).ravel(), (w[:, :, None] * w[:, None, :]).ravel()
             if self.dense is not None:
-                np.add.at(self.dense, key, value)
+                np.add.at(self.dense, key, value.astype(np.float32))
             else:
                 self.keys.append(key)
                 self.values.append(value)
@@ -108,7 +108,7 @@ class Gram:
         if self.dense is not None:
             gram = self.dense.reshape(self.size, self.size)
             on = np.flatnonzero(gram.diagonal())
-            return on, gram[np.ix_(on, on)] @ test[on]
+            return on, np.concatenate([np.zeros((0, test.shape[1])), *(gram[on[i : i + 256]] @ test for i in range(0, len(on), 256))])  # some rows at a time
         self._sum()
         if not self.keys:
             return np.zeros(0, np.int64), np.zeros((0, test.shape[1]))
