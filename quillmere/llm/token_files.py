@@ -35,7 +35,7 @@ from quillmere.llm.common import stage
 
 MAGIC = b"QMTOKEN1"
 NULL_ID = -(1 << 63)
-CACHE = 400_000
+CACHE = 800_000
 #: Full stops and commas behind another sign, and letters that may not be lower-cased one by one: such texts are encoded as they are.
 SIGNS = re.compile(r"[.,](?<![^\W_][.,])(?<!\s[.,])|<\|")
 RARE = re.compile("[\u0130\u0250-\U0010ffff]")
