@@ -3,7 +3,7 @@
 Terms are the words of the benchmark; words outside it count only by their mass. Passages of documents and the benchmark's
 items make a TF-IDF matrix whose leading right singular vectors come from a randomised SVD: every partition multiplies its own
 passages with one random test matrix, the products are summed by term, and a small factorisation (Nystrom's, for the Gram
-matrix) ends it. Windows of several lengths are compared with the items by cosine in that space; a window that comes near an
+matrix) ends it. The items' own vectors always span a part of the latent space, so none is lost in it. Windows of several lengths are compared with the items by cosine in that space; a window that comes near an
 item is checked word by word.
 """
 
@@ -22,6 +22,7 @@ from quillmere.llm.common import stage
 
 WORDS = re.compile(r"\w+")
 PASSAGE = 32
+MORE = 16  # dimensions of the latent space beyond those that the items span
 
 
 @dataclass
@@ -210,24 +211,24 @@ def coded(terms: dict[str, int], text: str | None) -> np.ndarray:
 def _blocks(items: DataFrame, at_once: int, item_id: str, item_text: str, answer: str | None) -> list[DataFrame]:
     bench = items.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("t"), (F.col(answer) if answer else F.lit(None)).cast("string").alias("a"))
     n = max(1, -(-bench.count() // at_once))
-    return [bench if n == 1 else bench.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k) for k in range(n)]
+    return [bench if n == 1 else bench.where(F.pmod(F.xxhash64("t", "item_id"), F.lit(n)) == k) for k in range(n)]
 
 
 def _named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, items_at_once: int = 4000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str | None = None, **how) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, items_at_once: int = 4000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str | None = None, rank: int = 256, **how) -> DataFrame:
     """(doc_id, item_id, cosine, shared, answer_shared) for every document and item of which the document holds a passage.
 
     shared is the longest common subsequence over the item's words, answer_shared the same for the answer. A pair is returned
     when shared >= copied, or shared >= paraphrased and answer_shared >= answered (see fit). Items of fewer than five words,
     null or blank texts give no pairs; a null id takes part; rows that repeat a doc_id give one pair with the best figures.
-    Benchmarks of more than items_at_once items are searched in blocks of about that size.
+    Larger benchmarks are searched in blocks of about items_at_once items, and of no more than the latent space's rank can span.
     """
     id_kind, item_kind = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     out = None
-    for part in _blocks(items, items_at_once, item_id, item_text, answer):
+    for part in _blocks(items, max(1, min(items_at_once, rank - MORE)), item_id, item_text, answer):
         rows, searcher = fit(_named(docs, doc_id, text), part, **how)
 
         def search(frames: Iterator[pd.DataFrame], searcher: Searcher = searcher) -> Iterator[pd.DataFrame]:
@@ -242,10 +243,10 @@ def contaminated(docs: DataFrame, items: DataFrame, items_at_once: int = 4000, d
     return best.select("doc_id", "item_id", "cosine", "s.shared", "s.answer_shared")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, items_at_once: int = 4000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str | None = None, **how) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, items_at_once: int = 4000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str | None = None, rank: int = 256, **how) -> DataFrame:
     """docs without the rows that hold a passage of an item; the other columns stay as they are."""
     out = docs
-    for part in _blocks(items, items_at_once, item_id, item_text, answer):
+    for part in _blocks(items, max(1, min(items_at_once, rank - MORE)), item_id, item_text, answer):
         _, searcher = fit(_named(docs, doc_id, text), part, **how)
 
         def kept(frames: Iterator[pd.DataFrame], searcher: Searcher = searcher) -> Iterator[pd.DataFrame]:
@@ -257,7 +258,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, items_at_once: int = 40
     return out
 
 
-def fit(docs: DataFrame, bench: DataFrame, cosine: float = 0.4, copied: float = 0.8, paraphrased: float = 0.6, answered: float = 0.8, rank: int = 256, common: float = 0.05, seed: int = 5) -> tuple[DataFrame, Searcher]:
+def fit(docs: DataFrame, bench: DataFrame, cosine: float = 0.4, copied: float = 0.8, paraphrased: float = 0.6, answered: float = 0.8, common: float = 0.05, seed: int = 5) -> tuple[DataFrame, Searcher]:
     """(the documents' words as numbers, staged; a searcher) from all passages of docs (doc_id, text) and the items (item_id, t, a).
 
     Terms in more than `common` of all passages get no weight.
@@ -298,7 +299,7 @@ def fit(docs: DataFrame, bench: DataFrame, cosine: float = 0.4, copied: float =
         own[k, t] = (1 + np.log(c)) * idf[t]
     norm = np.linalg.norm(own, axis=1, keepdims=True)
     own = np.divide(own, norm, out=np.zeros_like(own), where=norm > 0)
-    r = max(1, min(rank, size, len(things) + 16))
+    r = max(1, min(size, len(things) + MORE))  # follows the items, whatever the size of a block
     test = np.random.default_rng(seed).standard_normal((size, r))
 
     def sketched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -320,7 +321,7 @@ def fit(docs: DataFrame, bench: DataFrame, cosine: float = 0.4, copied: float =
             z[row[0]] = row[1:]
     boost = max(1.0, np.linalg.norm(z) / max(np.linalg.norm(own.T @ (own @ test)), 1e-9)) if len(things) else 1.0
     z += boost * (own.T @ (own @ test))  # the items' rows weigh as much as all passages, so the leading vectors tell them apart
-    basis = _leading(z, test)
+    basis = _with(own, _leading(z, test), r)
     mine = own @ basis
     length = np.linalg.norm(mine, axis=1, keepdims=True)
     mine = np.divide(mine, length, out=np.zeros_like(mine), where=length > 0)
@@ -338,3 +339,12 @@ def _leading(z: np.ndarray, test: np.ndarray) -> np.ndarray:
     keep = values > values.max() * 1e-10
     u, s, _ = np.linalg.svd(y @ (vectors[:, keep] / np.sqrt(values[keep])), full_matrices=False)
     return u[:, s > s[0] * 1e-6]
+
+
+def _with(own: np.ndarray, leading: np.ndarray, r: int) -> np.ndarray:
+    """An orthonormal basis of the space of own's rows, then what the leading vectors add to it, r columns at most."""
+    _, s, v = np.linalg.svd(own, full_matrices=False)
+    mine = v[s > 1e-9 * max(s.max(initial=0.0), 1e-300)].T
+    rest = leading - mine @ (mine.T @ leading)
+    u, s, _ = np.linalg.svd(rest - mine @ (mine.T @ rest), full_matrices=False)
+    return np.concatenate([mine, u[:, s > 1e-6][:, : max(0, r - mine.shape[1])]], axis=1)

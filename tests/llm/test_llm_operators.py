@@ -388,6 +388,18 @@ def test_decontaminate_table(spark, sf, docs):
     assert want and want <= {(r.doc_id, r.item_id) for r in queries.op9_decontaminate(spark, sf).collect()}
 
 
+def test_decontaminate_many_items(spark):
+    """Each of 1,000 items is found where a fifth of its words is replaced: no item falls out of the latent space."""
+    rng = np.random.default_rng(9)
+    vocabulary = words(4000, 70).split()
+    texts = [rng.choice(vocabulary, 30) for _ in range(1000)]
+    changed = [[w if i % 5 else rng.choice(vocabulary) for i, w in enumerate(t)] for t in texts]
+    rows = [(i, " ".join([*rng.choice(vocabulary, 40), *t, *rng.choice(vocabulary, 40)])) for i, t in enumerate(changed)]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "item_id long, text string")
+    got = decontaminate.contaminated(documents(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(1000)}
+
+
 def test_gram():
     rng = np.random.default_rng(4)
     dense, sparse = decontaminate.Gram(40), decontaminate.Gram(40)
