@@ -261,7 +261,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, items_at_once: int = 40
 def fit(docs: DataFrame, bench: DataFrame, cosine: float = 0.4, copied: float = 0.8, paraphrased: float = 0.6, answered: float = 0.8, common: float = 0.05, seed: int = 5) -> tuple[DataFrame, Searcher]:
     """(the documents' words as numbers, staged; a searcher) from all passages of docs (doc_id, text) and the items (item_id, t, a).
 
-    Terms in more than `common` of all passages get no weight.
+    Every term has a positive weight, however common it is. Terms in more than `common` of all passages are left out of the sketch
+    of the passages only; the items' own vectors, which span the latent space with them, hold all their terms.
     """
     raw = [(r[0], WORDS.findall(r[1].lower()), WORDS.findall((r[2] or answer_of(r[1])).lower())) for r in bench.collect()]
     raw = sorted((r for r in raw if len(r[1]) >= 5), key=lambda r: str(r[0]))
@@ -290,7 +291,8 @@ def fit(docs: DataFrame, bench: DataFrame, cosine: float = 0.4, copied: float =
     df = np.array([sums.get(t, 0) for t in range(size)], float)
     for it in things:
         df[list(set(it.words))] += 1
-    idf = np.where(df > max(common * total, 8), 0.0, np.log((1 + total) / (1 + df)) + 1)
+    idf = np.log((1 + total) / (1 + np.minimum(df, total))) + 1
+    sketch = df <= max(common * total, 8)
     other = np.log(1.0 + total) + 1 if total else 1.0  # an unknown word counts as one of a single passage
 
     own = np.zeros((len(things), size))
@@ -308,7 +310,7 @@ def fit(docs: DataFrame, bench: DataFrame, cosine: float = 0.4, copied: float =
             for i in range(0, len(x), 512):
                 ids, starts = _read(list(x["ids"].iloc[i : i + 512]))
                 p, t, c = in_passages(ids, starts, PASSAGE)
-                keep = idf[t] > 0
+                keep = sketch[t]
                 gram.add(p[keep], t[keep], (1 + np.log(c[keep])) * idf[t[keep]])
         on, z = gram.times(test)
         yield pd.DataFrame({"term": on, "z": pd.Series(list(z), dtype=object)})

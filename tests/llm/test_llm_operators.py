@@ -400,6 +400,16 @@ def test_decontaminate_many_items(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(1000)}
 
 
+def test_decontaminate_hot_copies(spark):
+    """Copies of a contaminated document that are most of all rows make its item's words common; all are found, as are items of common words only."""
+    item, common = words(30, 80), " ".join(words(12, 81).split() * 2)
+    rows = [(i, item + " " + words(5, 82)) for i in range(300)] + [(1000 + i, words(60, 90 + i) + " " + common) for i in range(100)] + [(2000, words(200, 83))]
+    bench = spark.createDataFrame([(1, item), (2, common)], "item_id long, text string")
+    want = {(i, 1) for i in range(300)} | {(1000 + i, 2) for i in range(100)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(documents(spark, rows), bench).collect()} == want
+    assert [r.doc_id for r in decontaminate.drop_contaminated(documents(spark, rows), bench).collect()] == [2000]
+
+
 def test_gram():
     rng = np.random.default_rng(4)
     dense, sparse = decontaminate.Gram(40), decontaminate.Gram(40)
