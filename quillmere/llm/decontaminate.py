@@ -3,8 +3,9 @@
 Terms are the words of the benchmark; words outside it count only by their mass. Passages of documents and the benchmark's
 items make a TF-IDF matrix whose leading right singular vectors come from a randomised SVD: every partition multiplies its own
 passages with one random test matrix, the products are summed by term, and a small factorisation (Nystrom's, for the Gram
-matrix) ends it. The items' own vectors always span a part of the latent space, so none is lost in it. Windows of several lengths are compared with the items by cosine in that space; a window that comes near an
-item is checked word by word.
+matrix) ends it. The items' own vectors always span a part of the latent space, so none is lost in it. Windows of several lengths are compared with the items by inner products in that space; a window is checked
+word by word where its product with an item is at least what the least share of the item's words must give, so that nothing
+that the rule accepts is passed over.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from quillmere.llm.common import stage
 
 WORDS = re.compile(r"\w+")
-PASSAGE = 32
+PASSAGE, CHUNK = 32, 8
 MORE = 16  # dimensions of the latent space beyond those that the items span
 
 
@@ -129,52 +130,75 @@ class Searcher:
 
     terms: dict[str, int]
     items: list[Item]
-    against: np.ndarray  # what each term adds to the inner product with each item in the latent space
+    basis: np.ndarray
+    latent: np.ndarray  # the items in the latent space
     idf: np.ndarray
-    other: float
-    cosine: float
     copied: float
     paraphrased: float
     answered: float
 
     def __post_init__(self) -> None:
         self.masks = [(places(it.words), places(it.answer)) for it in self.items]
-        self.weight2 = np.append(self.idf**2, self.other**2)
-        # a window about as long as each item, moved by a quarter
-        self.widths = sorted({max(8, 1 << round(np.log2(len(it.words)))) for it in self.items})
+        # what each term adds to the inner product with each item
+        self.against = ((self.basis * self.idf[:, None]) @ self.latent.T).astype(np.float32)
+        size = np.array([len(it.words) for it in self.items], np.int64)
+        # The least product of an accepted window: it has so many of the item's words, and these may be those of least weight.
+        self.share = least = np.ceil(min(self.copied, self.paraphrased) * size - 1e-9).astype(int)
+        self.least = np.array([np.sort(self.idf[it.words] ** 2)[:m].sum() for it, m in zip(self.items, least, strict=True)]) * (1 - 1e-4)
+        # windows, in chunks, that hold a stretch of twice the item's length wherever in its first chunk it begins
+        self.chunks = -(-2 * size // CHUNK) + 1  # rises, as items are sorted by length
+        self.windows = [(int(k), slice(*np.searchsorted(self.chunks, [k, k + 1]).tolist())) for k in np.unique(self.chunks)]
+        self.count = np.zeros((len(self.idf) + 1, len(self.items)), np.int16)  # of each term in each item; the last row is of other words
+        for j, it in enumerate(self.items):
+            np.add.at(self.count[:, j], it.words, 1)
 
     def code(self, text: str | None) -> np.ndarray:
         return coded(self.terms, text)
 
-    def near(self, ids: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
-        """(document, item, start, end, cosine) for every window that comes near an item; ids of some documents, first place of each."""
+    def near(self, ids: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(document, item, start) for every window that comes near an item; ids of some documents, first place of each.
+
+        A window begins at a multiple of CHUNK. A term counts once in a chunk, with all its places in the item, and a window may
+        reach into the next document; both only raise the product.
+        """
         size = np.diff(np.r_[first, len(ids)])
-        mass = self.weight2[ids]
-        all_, own = np.r_[0, np.cumsum(mass)], np.r_[0, np.cumsum(np.where(ids >= 0, mass, 0))]
-        for width in self.widths:
-            step = width // 4
-            count = np.maximum(1, -(-(size - width) // step) + 1)
-            doc = np.repeat(np.arange(len(first)), count)
-            start = first[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * step
-            stop = np.minimum(start + width, (first + size)[doc])
-            have, of = own[stop] - own[start], all_[stop] - all_[start]
-            # a projection is no longer than what it projects, so this bounds the cosine
-            on = np.flatnonzero((have > 1e-6) & (have >= self.cosine**2 * of))
-            for i in range(0, len(on), 2048):
-                k = on[i : i + 2048]
-                at = start[k, None] + np.arange(width)
-                some = np.where(at < stop[k, None], ids[np.minimum(at, len(ids) - 1)], -1)
-                row, col = np.nonzero((some >= 0) & (self.idf[some] > 0))
-                key, c = np.unique(row * len(self.idf) + some[row, col], return_counts=True)
-                row, t = key // len(self.idf), key % len(self.idf)
-                w = (1 + np.log(c)).astype(np.float32)
-                cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-                k = k[row[cut]]
-                rest = of[k] - have[k] + np.add.reduceat((w * self.idf[t]) ** 2, cut)
-                cos = np.add.reduceat(w[:, None] * self.against[t], cut, axis=0) / np.sqrt(rest)[:, None]
-                for r, j in zip(*np.nonzero(cos >= self.cosine), strict=True):
-                    d = int(doc[k[r]])
-                    yield d, int(j), int(start[k[r]] - first[d]), int(stop[k[r]] - first[d]), float(cos[r, j])
+        count = -(-size // CHUNK)
+        base = np.cumsum(count) - count
+        doc = np.repeat(np.arange(len(first)), count)
+        inside = (np.arange(len(doc)) - base[doc]) * CHUNK
+        start, stop = first[doc] + inside, (first + size)[doc]
+        most = max(k for k, _ in self.windows)
+        for i in range(0, len(doc), 2048):
+            part = slice(i, i + 2048 + most)
+            at = start[part, None] + np.arange(CHUNK)
+            some = np.sort(np.where(at < stop[part, None], ids[np.minimum(at, len(ids) - 1)], -1), axis=1)
+            some[:, 1:][some[:, 1:] == some[:, :-1]] = -1
+            some = np.concatenate([some, np.full((2048 + most - len(some), CHUNK), -1)])
+            sums = np.zeros((len(some), len(self.items)), np.float32)
+            for k in range(CHUNK):
+                on = np.flatnonzero(some[:, k] >= 0)
+                sums[on] += self.against[some[on, k]]
+            total = np.concatenate([np.zeros((1, len(self.items))), np.cumsum(sums, axis=0, dtype=np.float64)])
+            n = min(2048, len(doc) - i)
+            for k, of in self.windows:
+                rows, items = np.nonzero(total[k : k + n, of] - total[:n, of] >= self.least[of])
+                for c in range(0, len(rows), 4096):
+                    row, j = rows[c : c + 4096], items[c : c + 4096] + of.start
+                    # those that pass are counted: each term once in a window of one document
+                    seen = np.where((doc[np.minimum(i + row[:, None] + np.arange(k), len(doc) - 1)] == doc[i + row, None])[:, :, None], some[row[:, None] + np.arange(k)], -1)
+                    seen = np.sort(seen.reshape(len(row), -1), axis=1)
+                    seen[:, 1:][seen[:, 1:] == seen[:, :-1]] = -1
+                    enough = self.count[seen, j[:, None]].sum(1) >= self.share[j]
+                    yield from zip(doc[i + row[enough]].tolist(), j[enough].tolist(), inside[i + row[enough]].tolist(), strict=True)
+
+    def cosine(self, ids: np.ndarray, j: int) -> float:
+        """The best cosine with the item, in the latent space, of windows of the item's length; words that no item has do not count."""
+        best, n = 0.0, len(self.items[j].words)
+        for s in range(0, max(1, len(ids) - n + 1), max(1, n // 4)):
+            t, c = np.unique(ids[s : s + n], return_counts=True)
+            x = (c * self.idf[t] * (t >= 0)) @ self.basis[t]
+            best = max(best, float(x @ self.latent[j]) / max(1e-9, np.linalg.norm(x) * np.linalg.norm(self.latent[j])))
+        return min(best, 1.0)
 
     def hits(self, blobs: list[np.ndarray]) -> list[dict[int, tuple[float, float, float]]]:
         """For each document, given by its words, the items that it holds: (cosine, shared, answer_shared)."""
@@ -182,24 +206,23 @@ class Searcher:
         full = [d for d, x in enumerate(blobs) if len(x)]
         if not full or not self.items:
             return out
-        found: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
+        found: dict[tuple[int, int], tuple[float, float, int]] = {}
         ids = np.concatenate([blobs[d] for d in full]).astype(np.int64)
-        for d, j, a, b, cos in self.near(ids, np.cumsum([0, *(len(blobs[d]) for d in full[:-1])])):
-            found.setdefault((full[d], j), []).append((a, b, cos))
-        for (d, j), at in found.items():
-            it, (rows, answer), ids = self.items[j], self.masks[j], blobs[d]
-            n, best, merged = len(it.words), (0.0, 0.0), []
-            for a, b in sorted((max(0, a - n), min(len(ids), b + n)) for a, b, _ in at):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
-                else:
-                    merged.append([a, b])
-            for a, b in merged:
-                for s in range(a, max(a + 1, b - n), max(1, n // 2)):  # stretches of twice the item's length
-                    some = ids[s : min(b, s + 2 * n)].tolist()
-                    best = max(best, (lcs(it.words, some, rows) / n, lcs(it.answer, some, answer) / max(1, len(it.answer))))
-            if best[0] >= self.copied or best[0] >= self.paraphrased and best[1] >= self.answered:
-                out[d][j] = max(c for _, _, c in at), *best
+        for k, j, a in self.near(ids, np.cumsum([0, *(len(blobs[d]) for d in full[:-1])])):
+            d, it, (rows, answer) = full[k], self.items[j], self.masks[j]
+            n, words = len(it.words), blobs[d]
+            last = max(0, len(words) - 2 * n)
+            if a > last or found.get((d, j), (0.0, 0.0))[:2] == (1.0, 1.0) or lcs(it.words, words[a : a + int(self.chunks[j]) * CHUNK].tolist(), rows) < self.share[j]:
+                continue
+            for s in range(a, min(a + CHUNK, last + 1)):
+                some = words[s : s + 2 * n].tolist()
+                shared = lcs(it.words, some, rows)
+                if shared >= self.share[j]:
+                    got = shared / n, lcs(it.answer, some, answer) / max(1, len(it.answer)), s
+                    found[d, j] = max(found.get((d, j), (0.0, 0.0, 0)), got)
+        for (d, j), (shared, answered, s) in found.items():
+            if shared >= self.copied or shared >= self.paraphrased and answered >= self.answered:
+                out[d][j] = self.cosine(blobs[d][s : s + 2 * len(self.items[j].words)], j), shared, answered
         return out
 
 
@@ -222,7 +245,8 @@ def contaminated(docs: DataFrame, items: DataFrame, items_at_once: int = 4000, d
     """(doc_id, item_id, cosine, shared, answer_shared) for every document and item of which the document holds a passage.
 
     shared is the longest common subsequence over the item's words, answer_shared the same for the answer. A pair is returned
-    when shared >= copied, or shared >= paraphrased and answer_shared >= answered (see fit). Items of fewer than five words,
+    when shared >= copied, or shared >= paraphrased and answer_shared >= answered (see fit), in a stretch of twice the item's
+    length, wherever it begins. cosine is that of the stretch in the latent space. Items of fewer than five words,
     null or blank texts give no pairs; a null id takes part; rows that repeat a doc_id give one pair with the best figures.
     Larger benchmarks are searched in blocks of about items_at_once items, and of no more than the latent space's rank can span.
     """
@@ -258,14 +282,14 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, items_at_once: int = 40
     return out
 
 
-def fit(docs: DataFrame, bench: DataFrame, cosine: float = 0.4, copied: float = 0.8, paraphrased: float = 0.6, answered: float = 0.8, common: float = 0.05, seed: int = 5) -> tuple[DataFrame, Searcher]:
+def fit(docs: DataFrame, bench: DataFrame, copied: float = 0.8, paraphrased: float = 0.6, answered: float = 0.8, common: float = 0.05, seed: int = 5) -> tuple[DataFrame, Searcher]:
     """(the documents' words as numbers, staged; a searcher) from all passages of docs (doc_id, text) and the items (item_id, t, a).
 
     Every term has a positive weight, however common it is. Terms in more than `common` of all passages are left out of the sketch
     of the passages only; the items' own vectors, which span the latent space with them, hold all their terms.
     """
     raw = [(r[0], WORDS.findall(r[1].lower()), WORDS.findall((r[2] or answer_of(r[1])).lower())) for r in bench.collect()]
-    raw = sorted((r for r in raw if len(r[1]) >= 5), key=lambda r: str(r[0]))
+    raw = sorted((r for r in raw if len(r[1]) >= 5), key=lambda r: (len(r[1]), str(r[0])))
     terms = {w: i for i, w in enumerate(sorted({w for _, a, b in raw for w in [*a, *b]}))}
     size = len(terms)
     things = [Item(i, [terms[w] for w in a], [terms[w] for w in b]) for i, a, b in raw]
@@ -293,14 +317,13 @@ def fit(docs: DataFrame, bench: DataFrame, cosine: float = 0.4, copied: float =
         df[list(set(it.words))] += 1
     idf = np.log((1 + total) / (1 + np.minimum(df, total))) + 1
     sketch = df <= max(common * total, 8)
-    other = np.log(1.0 + total) + 1 if total else 1.0  # an unknown word counts as one of a single passage
 
     own = np.zeros((len(things), size))
     for k, it in enumerate(things):
         t, c = np.unique(it.words, return_counts=True)
-        own[k, t] = (1 + np.log(c)) * idf[t]
+        own[k, t] = c * idf[t]
     norm = np.linalg.norm(own, axis=1, keepdims=True)
-    own = np.divide(own, norm, out=np.zeros_like(own), where=norm > 0)
+    unit = own / norm
     r = max(1, min(size, len(things) + MORE))  # follows the items, whatever the size of a block
     test = np.random.default_rng(seed).standard_normal((size, r))
 
@@ -321,14 +344,10 @@ def fit(docs: DataFrame, bench: DataFrame, cosine: float = 0.4, copied: float =
         parts = parts.groupBy("term").agg(*[F.sum(F.get("z", F.lit(k))).alias(f"z{k}") for k in range(r)])
         for row in parts.toLocalIterator():  # a row for each term of the benchmark
             z[row[0]] = row[1:]
-    boost = max(1.0, np.linalg.norm(z) / max(np.linalg.norm(own.T @ (own @ test)), 1e-9)) if len(things) else 1.0
-    z += boost * (own.T @ (own @ test))  # the items' rows weigh as much as all passages, so the leading vectors tell them apart
-    basis = _with(own, _leading(z, test), r)
-    mine = own @ basis
-    length = np.linalg.norm(mine, axis=1, keepdims=True)
-    mine = np.divide(mine, length, out=np.zeros_like(mine), where=length > 0)
-    against = ((basis * idf[:, None]) @ mine.T).astype(np.float32)
-    return rows, Searcher(terms, things, against, idf, other, cosine, copied, paraphrased, answered)
+    boost = max(1.0, np.linalg.norm(z) / max(np.linalg.norm(unit.T @ (unit @ test)), 1e-9)) if len(things) else 1.0
+    z += boost * (unit.T @ (unit @ test))  # the items' rows weigh as much as all passages, so the leading vectors tell them apart
+    basis = _with(unit, _leading(z, test), r)
+    return rows, Searcher(terms, things, basis, own @ basis, idf, copied, paraphrased, answered)
 
 
 def _leading(z: np.ndarray, test: np.ndarray) -> np.ndarray:

@@ -410,6 +410,22 @@ def test_decontaminate_hot_copies(spark):
     assert [r.doc_id for r in decontaminate.drop_contaminated(documents(spark, rows), bench).collect()] == [2000]
 
 
+@pytest.mark.parametrize("more", [0, 3000])
+def test_decontaminate_replaced(spark, more):
+    """Paraphrases that the rule accepts are found whatever the corpus's size: 38 % of the words, not the answer's, are replaced by words that no item has."""
+    rng = np.random.default_rng(10)
+    vocabulary, filler = words(200, 71).split(), words(300, 84).split()
+    texts = [rng.choice(vocabulary, 40).tolist() for _ in range(40)]
+    rows = []
+    for i, t in enumerate(texts):
+        gone = set(rng.choice(32, 15, replace=False).tolist())
+        rows.append((i, " ".join([*rng.choice(filler, 50), *(rng.choice(filler) if k in gone else w for k, w in enumerate(t)), *rng.choice(filler, 50)])))
+    rows += [(1000 + i, " ".join(rng.choice(vocabulary + filler, 200))) for i in range(more)]
+    bench = spark.createDataFrame([(i, " ".join(t), " ".join(t[32:])) for i, t in enumerate(texts)], "item_id long, text string, answer string")
+    got = decontaminate.contaminated(documents(spark, rows), bench, answer="answer").collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(40)} and all(0.6 <= r.shared < 0.8 and r.answer_shared >= 0.8 for r in got)
+
+
 def test_gram():
     rng = np.random.default_rng(4)
     dense, sparse = decontaminate.Gram(40), decontaminate.Gram(40)
