@@ -219,10 +219,10 @@ class Searcher:
                 shared = lcs(it.words, some, rows)
                 if shared >= self.share[j]:
                     got = shared / n, lcs(it.answer, some, answer) / max(1, len(it.answer)), s
-                    found[d, j] = max(found.get((d, j), (0.0, 0.0, 0)), got)
+                    if got[0] >= self.copied or got[0] >= self.paraphrased and got[1] >= self.answered:
+                        found[d, j] = max(found.get((d, j), got), got)
         for (d, j), (shared, answered, s) in found.items():
-            if shared >= self.copied or shared >= self.paraphrased and answered >= self.answered:
-                out[d][j] = self.cosine(blobs[d][s : s + 2 * len(self.items[j].words)], j), shared, answered
+            out[d][j] = self.cosine(blobs[d][s : s + 2 * len(self.items[j].words)], j), shared, answered
         return out
 
 
@@ -246,7 +246,7 @@ def contaminated(docs: DataFrame, items: DataFrame, items_at_once: int = 4000, d
 
     shared is the longest common subsequence over the item's words, answer_shared the same for the answer. A pair is returned
     when shared >= copied, or shared >= paraphrased and answer_shared >= answered (see fit), in a stretch of twice the item's
-    length, wherever it begins. cosine is that of the stretch in the latent space. Items of fewer than five words,
+    length, wherever it begins; the figures are those of the best such stretch. cosine is that of the stretch in the latent space. Items of fewer than five words,
     null or blank texts give no pairs; a null id takes part; rows that repeat a doc_id give one pair with the best figures.
     Larger benchmarks are searched in blocks of about items_at_once items, and of no more than the latent space's rank can span.
     """

@@ -426,6 +426,15 @@ def test_decontaminate_replaced(spark, more):
     assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(40)} and all(0.6 <= r.shared < 0.8 and r.answer_shared >= 0.8 for r in got)
 
 
+def test_decontaminate_each_stretch(spark):
+    """A stretch with more of the item but no answer does not hide another one that the rule accepts."""
+    t = words(40, 85).split()
+    text = " ".join([words(100, 86), *t[:28], words(200, 87), *t[:17], words(15, 88), *t[32:], words(100, 89)])
+    bench = spark.createDataFrame([(1, " ".join(t), " ".join(t[32:]))], "item_id long, text string, answer string")
+    got = decontaminate.contaminated(documents(spark, [(1, text)]), bench, answer="answer").collect()
+    assert [(r.doc_id, r.item_id, r.shared, r.answer_shared) for r in got] == [(1, 1, 0.625, 1.0)]
+
+
 def test_gram():
     rng = np.random.default_rng(4)
     dense, sparse = decontaminate.Gram(40), decontaminate.Gram(40)
