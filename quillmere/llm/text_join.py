@@ -1,9 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest, then exact Jaccard.
+"""N-gram Jaccard join by MinHash banding, then exact Jaccard.
 
-Every document has one label per tree: a tuple of MinHash values, read as a path in a prefix trie. Two documents meet in a
-tree where their paths share a prefix; the prefix is shortened from its full depth until the chance that a pair at the
-threshold meets in some tree reaches the target recall. Pairs that meet are weighed by all their MinHash values (pairs five
-standard deviations below the threshold are dropped), which gives groups; within a group every pair is verified exactly.
+Every document has one label per tree: a tuple of MinHash values. Two documents meet in a tree where their labels share a prefix
+of fixed length: the longest for which the chance that a pair at the threshold meets in some tree reaches the target recall.
+This is banding, not an LSH forest: the length depends on the threshold and the recall only, and no trie is built. Pairs that
+meet are weighed by all their MinHash values (pairs five standard deviations below the threshold are dropped), which gives
+groups; within a group every pair is verified exactly.
 """
 
 from __future__ import annotations
