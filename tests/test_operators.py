@@ -267,3 +267,13 @@ def test_run_traces(spark):
     x = spark.createDataFrame([("t1", None, 1, "r"), ("t2", None, 9, None), ("t1", "p", 2, None)], "trace_id string, parent string, time long, run_id string")
     assert sorted(r.time for r in packets.run_traces(x, "r").collect()) == [1, 2]
     assert [r.time for r in packets.run_traces(x, "other").collect()] == [9]
+
+
+def test_gold_short_items(spark, tmp_path):
+    """Items of fewer than six words, or with a cut last word, are found as the SQL's contains finds them."""
+    from quillmere.plans import evaluation
+
+    long = "a b c d " + "x" * 90
+    spark.createDataFrame([(1, "one two"), (2, long), (3, "f g h i j k l")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(10, "say one  two three"), (11, long), (12, "e f g h i j k l m"), (13, "two one")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((r.query_id, r.id) for r in evaluation.gold(spark, str(tmp_path)).collect()) == [(1, 10), (2, 11), (3, 12)]
