@@ -3,13 +3,16 @@
 Every string of 50 bytes has a minimiser, the least hash of its 27 substrings of 24 bytes, so equal strings meet where their
 minimisers do and corpora are parted by minimiser without losing a match. Minimisers that only one document has are
 dropped. Around the others, the text over which one minimiser holds is a segment; a bucket of minimisers gets its distinct
-segments, each with the least id that holds it. Segments that no other differs from need no more. For the rest, shards of
-segments are transformed one by one (suffix order by prefix doubling) and the transforms are merged: the interleave of all
-shards' suffixes is refined symbol by symbol through the transforms until it is ordered by 50 symbols, without sorting the
-suffixes of all shards together. Places where neighbours first differ give common prefixes; runs that share 50 symbols are
-the repeated intervals, and each interval's least document id says from which id on its bytes go.
+segments, each once, with the least and the greatest id that holds it.
 
-Documents are shuffled once, in batches of a few MB by a hash; all else travels in packed arrays, a row for each batch and bucket.
+In a bucket, shards of segments are transformed one by one: for every depth, what stands before the shard's suffixes in the
+order of that many symbols (at each depth only the suffixes that some start of 50 bytes reaches are kept). The shards are then
+merged: their interleave, a shard's number for each suffix, is refined depth by depth by the symbols that the transforms list,
+without sorting suffixes of different shards against each other. Neighbours that no depth parts share all 50 symbols; such runs
+are the repeated intervals, and each interval's least document id says from which id on its bytes go. Nothing is removed that
+no interval says; segments of one document that cannot share 50 bytes with another are left out beforehand.
+
+Documents are shuffled once, in batches by a hash; all else travels in packed arrays, a row for each batch and bucket.
 """
 
 from __future__ import annotations
@@ -24,11 +27,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmere.llm.common import ordinals
+
 LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1
 PLACE = np.uint64((1 << 28) - 1)
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-BATCH, BUCKET, CHUNK, MERGE, SHARDS = 4 << 20, 8 << 20, 1 << 16, 2 << 20, 8
+#: Bytes: a batch of documents, a bucket, a partition, documents worked on at once, a piece of a long document, a merge. And shards a merge.
+BATCH, BUCKET, PARTITION, CHUNK, PIECE, MERGE, SHARDS = 4 << 20, 8 << 20, 16 << 20, 1 << 16, 1 << 26, 2 << 20, 4
 #: In place of a minimiser's place: the string is looked at by itself.
 ALONE = 255
 #: Bytes before and after a minimiser: 26 shared bytes, of which 6 k or more lie before it, reach at least this far on both sides.
@@ -72,41 +78,51 @@ def segments(docs: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarr
     return flat, h[at[cut]] >> np.uint64(16), at[cut], start[cut], start[np.r_[cut[1:] - 1, len(start) - 1]] if len(cut) else none, doc[start[cut]]
 
 
-def _rows(x: pd.DataFrame) -> tuple[list, list[bytes]]:
-    """A batch's (doc_id, bytes) in an order that its rows alone decide."""
-    both = sorted(((i, t) for i, t in zip(x["doc_id"], x["data"], strict=True)), key=lambda r: (pd.isna(r[0]), 0 if pd.isna(r[0]) else int(r[0]), r[1]))
-    return [None if pd.isna(i) else int(i) for i, _ in both], [bytes(t) for _, t in both]
+def _rows(x: pd.DataFrame) -> tuple[list[int | None], list[bytes]]:
+    """A batch's (id, bytes) in an order that its rows alone decide."""
+    both = sorted(zip(x["no"].tolist(), x["id"].tolist(), map(bytes, x["data"]), strict=True))
+    return [None if no else i for no, i, _ in both], [t for _, _, t in both]
 
 
-def _chunked(ids: list, texts: list[bytes]) -> Iterator[tuple[list[int], tuple]]:
-    """Documents that have an id and 50 bytes, some at a time: (their places in the batch, segments)."""
-    at, size = [], 0
+def _chunked(ids: list[int | None], texts: list[bytes]) -> Iterator[tuple[list[tuple[int, int, int]], tuple]]:
+    """Documents that have an id and 50 bytes, some at a time: (place in the batch, offset, size) of each piece, segments.
+
+    A very long document comes in pieces; they overlap by 49 bytes, so that each string of 50 bytes begins in one of them.
+    """
+    at, some, size = [], [], 0
     for k, (i, t) in enumerate(zip(ids, texts, strict=True)):
         if i is None or len(t) < LENGTH:
             continue
-        if at and size + len(t) > CHUNK:
-            yield at, segments([texts[j] for j in at])
-            at, size = [], 0
-        at.append(k)
-        size += len(t)
+        for o in range(0, len(t) - LENGTH + 1, PIECE):
+            piece = t if len(t) <= PIECE else t[o : o + PIECE + LENGTH - 1]
+            if at and size + len(piece) > CHUNK:
+                yield at, segments(some)
+                at, some, size = [], [], 0
+            at.append((k, o, len(piece)))
+            some.append(piece)
+            size += len(piece)
     if at:
-        yield at, segments([texts[j] for j in at])
+        yield at, segments(some)
 
 
-def _minimisers(ids: list, chunks: list[tuple[list[int], tuple]], buckets: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(bucket, sorted hashes, for each 1 if one id of this batch has it, else how often it occurs, 255 at most)."""
+def _owners(ids: list[int | None], at: list[tuple[int, int, int]], doc: np.ndarray) -> np.ndarray:
+    return np.array([ids[k] for k, _, _ in at], np.int64)[doc]
+
+
+def _minimisers(ids: list[int | None], chunks: list[tuple[list, tuple]], buckets: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(bucket, sorted hashes, for each 0 if one id of this batch has it, else 1 + the binary logarithm of how often it occurs)."""
     hashes, owners = [], []
     for at, (_, h, _, _, _, doc) in chunks:
         hashes.append(h)
-        owners.append(np.array([ids[j] for j in at], np.int64)[doc])
+        owners.append(_owners(ids, at, doc))
     if not hashes:
         return []
     h, o = np.concatenate(hashes), np.concatenate(owners)
     order = np.argsort(h)
     h, o = h[order], o[order]
     first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    many = np.clip(np.diff(np.r_[first, len(h)]), 2, 255)
-    shared = np.where(np.minimum.reduceat(o, first) != np.maximum.reduceat(o, first), many, 1).astype(np.uint8)
+    often = 1 + np.log2(np.diff(np.r_[first, len(h)])).astype(np.uint8)
+    shared = np.where(np.minimum.reduceat(o, first) != np.maximum.reduceat(o, first), often, 0).astype(np.uint8)
     h = h[first]
     bucket = (h % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -125,82 +141,51 @@ def _from_six(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def heads(text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, int]:
-    """(the first symbols of each suffix as one number, how many): eight, or four where symbols need two bytes; nothing beyond the string's end."""
-    n, many = len(text), 8 if text.max(initial=0) < 256 else 4
-    padded = np.r_[text, np.zeros(8, text.dtype)].astype(">u1" if many == 8 else ">u2").tobytes()
-    key = np.ndarray((n,), ">u8", padded, 0, (8 // many,)).astype(np.uint64)
-    cut = np.minimum(np.maximum(many - left, 0).astype(np.uint64) * np.uint64(64 // many), np.uint64(63))
-    return np.where(left > 0, key >> cut << cut, np.uint64(0)), many
-
-
-def suffix_order(key: np.ndarray, many: int, left: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of one shard, each up to its string's end; equal ones by place. By their heads, then prefix doubling."""
-    n, step = len(key), many
-    while True:
-        order = np.argsort(key)
-        k = key[order]
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(np.r_[True, k[1:] != k[:-1]])
-        if step > left.max(initial=0):
-            return np.argsort(rank * np.uint64(n) + np.arange(n, dtype=np.uint64))
-        after = np.zeros(n, np.uint64)
-        inside = np.flatnonzero(left >= step)
-        after[inside] = rank[inside + step]
-        key = rank * np.uint64(n + 1) + after
-        step *= 2
-
-
-def stable_order(x: np.ndarray) -> np.ndarray:
-    """Stable order of 32-bit numbers by their 16-bit halves, which sort by radix."""
-    order = np.argsort(x.astype(np.uint16), kind="stable")
-    return order[np.argsort((x >> np.uint32(16)).astype(np.uint16)[order], kind="stable")] if x.max(initial=0) >> 16 else order
-
-
-def merge(shards: list[tuple[np.ndarray, np.ndarray]], depth: int = LENGTH) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Merge shards' transforms, five symbols a step (two where symbols need two bytes). A shard is (text, ends): symbols from 1 up, 0 at each string's end.
-
-    Returns (suffix order of each shard, interleave, prefix): interleave lists suffixes, as place in their shard's order plus
-    the sizes of the shards before, ordered by their first `depth` symbols (steps divide it); prefix says how many symbols, in
-    whole steps, each shares with the one before it, `depth` at most. A string's end counts as a symbol that all ends share.
+def symbols(text: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(what begins at each place: as many symbols as 16 bits hold, packed; for each depth, from a window's end to its start, the offset and the bits to drop)."""
+    values = np.flatnonzero(np.bincount(text, minlength=256))
+    bits = max(1, int(len(values) - 1).bit_length())
+    dense = np.zeros(256, np.uint16)
+    dense[values] = np.arange(len(values))
+    per = 16 // bits
+    padded = np.r_[dense[text], np.zeros(per, np.uint16)]
+    packed = np.zeros(len(text), np.uint16)
+    for i in range(per):
+        packed = packed << np.uint16(bits) | padded[i : i + len(text)]
+    return packed, [(o, bits * max(0, o + per - LENGTH)) for o in range(0, LENGTH, per)][::-1]
+
+
+def transform(packed: np.ndarray, starts: np.ndarray, depths: list[tuple[int, int]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """One shard's transform: its starts in the order of their 50 symbols, and for each depth what stands before its suffixes, in their order so far."""
+    before = []
+    for offset, drop in depths:
+        c = packed[starts + offset] >> np.uint16(drop)
+        before.append(c)
+        starts = starts[np.argsort(c, kind="stable")]
+    return starts, before
+
+
+def merge(shards: list[tuple[np.ndarray, list[np.ndarray]]]) -> tuple[np.ndarray, np.ndarray]:
+    """(all shards' starts in merged order, where a new interval of equal 50 symbols begins).
+
+    The interleave says of which shard each suffix is; a shard's own suffixes stay in the order of its transform. Reading the
+    shards' symbols through the interleave and parting it by them, stably, gives the interleave of the next depth.
     """
-    orders, keys, follows, short, size = [], [], [], [], 0
-    wide = any(text.max(initial=0) > 255 for text, _ in shards)
-    step = 2 if wide else 5
-    for text, end in shards:
-        n = len(text)
-        length = np.diff(np.r_[-1, end])
-        left = np.repeat(end, length) - np.arange(n)  # symbols before the string's end
-        key, many = heads(text if not wide else text.astype(np.uint16), left)
-        sa = suffix_order(key, many, left)
-        rank = np.empty(n, np.int64)
-        rank[sa] = np.arange(n)
-        place = np.arange(n)
-        begin = np.repeat(end - length + 1, length)
-        before = np.where(place - step >= begin, rank[np.maximum(place - step, 0)] + size, -1)  # the suffix that begins a step earlier
-        orders.append(sa)
-        keys.append((key >> np.uint64(64 - (64 // many) * min(step, many)))[sa])
-        follows.append(before[sa])
-        short.append(np.flatnonzero(left[sa] < step) + size)
-        size += n
-    key = np.unique(np.concatenate(keys), return_inverse=True)[1].astype(np.uint32)
-    to, first = np.concatenate(follows).astype(np.int32), np.concatenate(short).astype(np.int32)
-    line = np.arange(size, dtype=np.int32)
-    block, prefix = np.zeros(size, np.int32), np.full(size, depth, np.int64)
-    none = np.zeros(len(first), np.int32)
-    for k in range(0, depth, step):
-        onto = to[line]
-        on = onto >= 0  # what stands in a string's first places has nothing a step before it
-        line = np.concatenate([first, onto[on]])
-        of = np.concatenate([none, block[on]])
-        c = key[line]
-        order = stable_order(c)
-        line, of, c = line[order], of[order], c[order]
-        fresh = np.ones(size, bool)
+    sizes = [len(order) for order, _ in shards]
+    line, block, fresh = np.repeat(np.arange(len(shards), dtype=np.uint8), sizes), np.zeros(sum(sizes), np.int32), np.zeros(sum(sizes), bool)
+    for k in range(len(shards[0][1])):
+        c = np.empty(len(line), np.uint16)
+        for s, (_, before) in enumerate(shards):
+            c[line == s] = before[k]
+        order = np.argsort(c, kind="stable")
+        line, c, of = line[order], c[order], block[order]
+        fresh = np.ones(len(line), bool)
         fresh[1:] = (c[1:] != c[:-1]) | (of[1:] != of[:-1])
-        prefix[fresh & (prefix == depth)] = k
         block = np.cumsum(fresh, dtype=np.int32)
-    return orders, line, prefix
+    merged = np.empty(len(line), np.int64)
+    for s, (order, _) in enumerate(shards):
+        merged[line == s] = order
+    return merged, fresh
 
 
 def apart(group: list[tuple[bytes, int]]) -> list[bytes]:
@@ -220,33 +205,22 @@ def apart(group: list[tuple[bytes, int]]) -> list[bytes]:
 
 def least_ids(strings: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
     """For each string and each of its starts, the least id of the strings that hold the same 50 bytes."""
-    values = np.unique(np.frombuffer(b"".join(strings), np.uint8))
-    dense = np.zeros(256, np.uint16)
-    dense[values] = np.arange(1, len(values) + 1)
+    size = np.array([len(s) for s in strings])
+    count, base = size - LENGTH + 1, np.cumsum(size) - size
+    first = np.cumsum(count) - count
+    owner = np.repeat(np.arange(len(strings), dtype=np.int32), count)
+    starts = np.arange(len(owner)) + np.repeat(base - first, count)
+    packed, depths = symbols(np.frombuffer(b"".join(strings), np.uint8))
     cut = np.linspace(0, len(strings), min(SHARDS, len(strings)) + 1).astype(int)
-    shards, owners, starts = [], [], []
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        size = np.array([len(s) for s in strings[a:b]])
-        end = np.cumsum(size + 1) - 1
-        text = np.zeros(end[-1] + 1, np.uint16)
-        inside = np.ones(len(text), bool)
-        inside[end] = False
-        text[inside] = dense[np.frombuffer(b"".join(strings[a:b]), np.uint8)]
-        shards.append((text, end))
-        owner = np.repeat(np.arange(a, b), size + 1)
-        owners.append(owner)
-        starts.append(np.arange(len(text)) - np.repeat(np.r_[0, end[:-1] + 1], size + 1))
-    orders, line, prefix = merge(shards)
-    owner = np.concatenate([o[sa] for o, sa in zip(owners, orders, strict=True)])[line]
-    start = np.concatenate([s[sa] for s, sa in zip(starts, orders, strict=True)])[line]
-    first = np.flatnonzero(np.r_[True, prefix[1:] < LENGTH])
-    least = np.repeat(np.minimum.reduceat(ids[owner], first), np.diff(np.r_[first, len(line)]))
-    out = [np.zeros(len(s) - LENGTH + 1, np.int64) for s in strings]
-    base = np.cumsum([0, *(len(o) for o in out)])
-    whole = start <= (base[1:] - base[:-1] - 1)[owner]
-    flat = np.empty(base[-1], np.int64)
-    flat[base[owner[whole]] + start[whole]] = least[whole]
-    return [flat[a:b] for a, b in zip(base[:-1], base[1:], strict=True)]
+    edge = np.r_[first, len(owner)][cut]
+    merged, fresh = merge([transform(packed, starts[a:b], depths) for a, b in zip(edge[:-1], edge[1:], strict=True)])
+    number = np.zeros(len(packed), np.int32)  # of the start at each place
+    number[starts] = np.arange(len(starts), dtype=np.int32)
+    merged = number[merged]
+    intervals = np.flatnonzero(fresh)
+    least = np.empty(len(owner), np.int64)
+    least[merged] = np.repeat(np.minimum.reduceat(ids[owner[merged]], intervals), np.diff(np.r_[intervals, len(merged)]))
+    return [least[a : a + n] for a, n in zip(first.tolist(), count.tolist(), strict=True)]
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False, crowd: int = 50_000) -> DataFrame:
@@ -254,14 +228,17 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
 
     A byte goes when it is inside 50 equal bytes that also start in a document of a smaller id; strings are judged on the
     input. Null texts count as empty; documents of fewer than 50 bytes keep all; a null id neither loses nor takes; rows that
-    share an id are one document to each other and lose nothing to one another. An empty table gives no rows. A minimiser that
-    occurs `crowd` times or more is not looked at in one place: its strings of 50 bytes are parted by their own hashes.
+    share an id are one document to each other and lose nothing to one another. An empty table gives no rows. Ids may be of any
+    type that sorts. A minimiser that occurs about `crowd` times or more is not looked at in one place: its strings of 50 bytes
+    are parted by their own hashes.
     """
     data = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    raw = docs.select(F.col(doc_id).cast("long").alias("doc_id"), data.alias("data"))
+    raw, known = ordinals(docs.select(F.col(doc_id).alias("doc_id"), data.alias("data")), "doc_id", "suffix")
+    raw = raw.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no"), "data")
     total = docs.select(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     batches, buckets = max(8, -(-total // BATCH)), max(8, -(-total // BUCKET))
-    rows = raw.withColumn("batch", F.pmod(F.xxhash64("doc_id", "data"), F.lit(batches)).cast("int")).repartition(batches, "batch")
+    parts = int(min(max(8, -(-total // PARTITION)), 1 << 17))
+    rows = raw.withColumn("batch", F.pmod(F.xxhash64("id", "data"), F.lit(batches)).cast("int")).repartition(parts, "batch")
 
     def first(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         ids, texts = _rows(x)
@@ -270,7 +247,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
 
     def repeated(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         some = [_from_six(b) for b in x["h"]]
-        h, n = np.concatenate(some), np.concatenate([np.frombuffer(b, np.uint8) for b in x["shared"]]).astype(np.int64)
+        h, n = np.concatenate(some), np.concatenate([np.frombuffer(b, np.uint8) for b in x["shared"]])
+        n = np.where(n > 0, np.int64(1) << np.maximum(n, 1).astype(np.int64), 1)  # about how often
         order = np.argsort(h)
         s, n = h[order], n[order]
         first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
@@ -296,7 +274,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
         for at, (flat, h, p, a, b, doc) in chunks:
             k = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
             on = wanted[k] == h
-            owner = np.array([ids[j] for j in at], np.int64)[doc[on]].tolist()
+            owner = _owners(ids, at, doc[on]).tolist()
             for hh, o, i, j, one in zip(h[on].tolist(), (p - a)[on].tolist(), a[on].tolist(), (b[on] + LENGTH).tolist(), owner, strict=True):
                 # very many surroundings: each 50 bytes go alone, to a bucket of their own hash
                 for u, v in [(i, j)] if hh not in crowded else [(w, w + LENGTH) for w in range(i, j - LENGTH + 1)]:
@@ -322,7 +300,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
 
     def judged(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         open_ = zstandard.ZstdDecompressor()
-        packs, least, kinds, alone = [], {}, {}, set()
+        packs, held, kinds, alone = [], {}, {}, set()  # held: the least and the greatest id of each string
         for blob in x["pack"]:
             b = open_.decompress(blob)
             n = int(np.frombuffer(b, "<i8", 1)[0])
@@ -330,32 +308,36 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
             cut = np.cumsum(np.r_[8 + 26 * n, np.frombuffer(b, np.uint8, n, 8 + 25 * n).astype(np.int64)]).tolist()
             strings = [b[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
             packs.append((strings, info))
-            for s, h, lo, o in zip(strings, info[:, 0].tolist(), info[:, 1].tolist(), b[8 + 24 * n : 8 + 25 * n], strict=True):
-                had = least.get(s)
+            for s, (h, lo, hi), o in zip(strings, info.tolist(), b[8 + 24 * n : 8 + 25 * n], strict=True):
+                had = held.get(s)
                 if had is None:
-                    least[s] = lo
+                    held[s] = [lo, hi]
                     if o == ALONE:
                         alone.add(s)
                     else:
                         kinds.setdefault(h, []).append((s, o))
-                elif lo < had:
-                    least[s] = lo
+                elif lo < had[0] or hi > had[1]:
+                    held[s] = [min(lo, had[0]), max(hi, had[1])]
         ids: dict[bytes, np.ndarray] = {}
         some: list[bytes] = []
         size = 0
 
         def settle() -> None:
             if some:
-                ids.update(zip(some, least_ids(some, np.array([least[s] for s in some], np.int64)), strict=True))
+                ids.update(zip(some, least_ids(some, np.array([held[s][0] for s in some], np.int64)), strict=True))
                 some.clear()
 
-        for group in kinds.values():
-            if len(group) > 1 and (group := apart(group)):
-                if size + sum(map(len, group)) > MERGE:
+        for group in [*kinds.values(), [(s, ALONE) for s in alone]]:
+            may = set(apart(group)) if len(group) > 1 and group[0][1] != ALONE else ()
+            wanted = [s for s, _ in group if held[s][0] < held[s][1] or s in may]
+            # strings that go alone are all different, so they may be merged in parts
+            for part in [wanted] if not wanted or group[0][1] != ALONE else [wanted[i : i + MERGE // LENGTH] for i in range(0, len(wanted), MERGE // LENGTH)]:
+                more = sum(map(len, part))
+                if size + more > MERGE:
                     settle()
                     size = 0
-                some += group
-                size += sum(map(len, group))
+                some += part
+                size += more
         settle()
         out_batch, out = [], []
         for batch, (strings, info) in zip(x["batch"], packs, strict=True):
@@ -363,12 +345,10 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
             for s, (h, _, hi) in zip(strings, info.tolist(), strict=True):
                 v = ids.get(s)
                 if v is None:
-                    if least[s] < hi:
-                        runs.append((h, xxhash.xxh3_64_intdigest(s), ALONE if s in alone else 0, len(s) - LENGTH + 1, least[s]))
                     continue
                 cut = [0, *(np.flatnonzero(v[1:] != v[:-1]) + 1).tolist(), len(v)]
                 tag = xxhash.xxh3_64_intdigest(s)
-                runs += [(h, tag, i, j, int(v[i])) for i, j in zip(cut[:-1], cut[1:], strict=True) if v[i] < hi]
+                runs += [(h, tag, ALONE if s in alone else i, j, int(v[i])) for i, j in zip(cut[:-1], cut[1:], strict=True) if v[i] < hi]
             if runs:
                 out_batch.append(batch)
                 out.append(np.array([(h, t - (1 << 64) if t >= 1 << 63 else t, i << 32 | j, lo) for h, t, i, j, lo in runs], "<i8").tobytes())
@@ -386,14 +366,16 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
                 known.setdefault(h << 64 | t & ((1 << 64) - 1), []).append((ij >> 32, ij & 0xFFFFFFFF, lo))
             wanted = np.unique(r[:, 0]).astype(np.uint64)
             for at, (flat, h, _, a, b, doc) in _chunked(ids, texts):
-                base = np.cumsum([0, *(len(texts[j]) for j in at)])
+                base = np.cumsum([0, *(n for _, _, n in at)])
                 k = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
                 on = wanted[k] == h
                 for hh, i, j, d in zip(h[on].tolist(), a[on].tolist(), b[on].tolist(), doc[on].tolist(), strict=True):
                     for u, v in [(i, j + LENGTH)] if hh not in crowded else [(w, w + LENGTH) for w in range(i, j + 1)]:
                         for p, q, lo in known.get(hh << 64 | xxhash.xxh3_64_intdigest(flat[u:v]), ()):
-                            if lo < ids[at[d]]:
-                                gone.setdefault(at[d], []).append((u - int(base[d]) + p, u - int(base[d]) + q + LENGTH - 1))
+                            place, offset, _ = at[d]
+                            if lo < ids[place]:
+                                begin = u - int(base[d]) + offset
+                                gone.setdefault(place, []).append((begin + p, begin + q + LENGTH - 1))
         out = []
         for k, (i, t) in enumerate(zip(ids, texts, strict=True)):
             spans: list[list[int]] = []
@@ -403,16 +385,19 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
                 else:
                     spans.append([a, b])
             left = b"".join(t[a:b] for a, b in zip([0, *(s[1] for s in spans)], [*(s[0] for s in spans), len(t)], strict=True))
-            row = (i, len(t), len(t) - len(left), len(spans), hashlib.sha256(left).hexdigest())
+            row = (i or 0, i is None, len(t), len(t) - len(left), len(spans), hashlib.sha256(left).hexdigest())
             out.append((*row, left) if keep_text else row)
-        frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + keep_text])
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        return frame
+        return pd.DataFrame(out, columns=["id", "no", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 + keep_text])
 
     grouped = rows.groupBy("batch")
-    hashes = grouped.applyInPandas(first, "bucket int, batch int, h binary, shared binary")
-    masks = hashes.groupBy("bucket").applyInPandas(repeated, "batch int, bucket int, mask binary")
-    packs = grouped.cogroup(masks.groupBy("batch")).applyInPandas(second, "bucket int, batch int, pack binary")
-    runs = packs.groupBy("bucket").applyInPandas(judged, "batch int, runs binary")
-    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return grouped.cogroup(runs.groupBy("batch")).applyInPandas(third, kinds)
+    inside = int(min(max(8, buckets), 1 << 17))
+    hashes = grouped.applyInPandas(first, "bucket int, batch int, h binary, shared binary").repartition(inside, "bucket")
+    masks = hashes.groupBy("bucket").applyInPandas(repeated, "batch int, bucket int, mask binary").repartition(parts, "batch")
+    packs = grouped.cogroup(masks.groupBy("batch")).applyInPandas(second, "bucket int, batch int, pack binary").repartition(inside, "bucket")
+    runs = packs.groupBy("bucket").applyInPandas(judged, "batch int, runs binary").repartition(parts, "batch")
+    kinds = "id long, no boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+    out = grouped.cogroup(runs.groupBy("batch")).applyInPandas(third, kinds)
+    out = out.select(F.when(~F.col("no"), F.col("id")).alias("doc_id"), *out.columns[2:])
+    if known is None:
+        return out
+    return out.join(known, out.doc_id == known.ordinal, "left").select(F.col("value").alias("doc_id"), *out.columns[1:])

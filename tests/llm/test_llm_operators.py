@@ -343,24 +343,49 @@ def test_suffix_dedup_table(spark, sf, docs):
     assert got == brute_removed(rows)
 
 
-def test_merged_transforms():
+@pytest.mark.parametrize("letters", [b"a", b"ab", b"abcdef", bytes(range(256))])
+def test_merged_transforms(letters):
     rng = np.random.default_rng(2)
-    shards, strings = [], []
-    for _ in range(4):
-        own = [rng.integers(1, 4, rng.integers(1, 40)) for _ in range(12)]
-        end = np.cumsum([len(s) + 1 for s in own]) - 1
-        shards.append((np.concatenate([np.r_[s, 0] for s in own]).astype(np.uint16), end))
-        strings += own
-    orders, line, prefix = suffix_dedup.merge(shards, 10)
-    suffixes = []
-    for (text, _), sa in zip(shards, orders, strict=True):
-        for p in sa:
-            stop = p + int(np.flatnonzero(text[p:] == 0)[0])
-            suffixes.append(tuple(text[p:stop].tolist()))
-    merged = [suffixes[i][:10] for i in line]
-    assert merged == sorted(merged)
-    for a, b, n in zip(merged, merged[1:], prefix[1:], strict=False):
-        assert (a == b) == (n == 10) or a == b
+    pool = [bytes(rng.choice(list(letters), n)) for n in rng.integers(50, 77, 12)]
+    strings = [*dict.fromkeys([*pool, *(p[:60] + q[:10] for p, q in zip(pool, pool[1:], strict=False)), *(b"x" + p[1:] for p in pool)])]
+    text = np.frombuffer(b"".join(strings), np.uint8)
+    base = np.cumsum([0, *map(len, strings)])
+    starts = [np.concatenate([np.arange(base[k], base[k + 1] - 49) for k in range(c, min(c + 9, len(strings)))]) for c in range(0, len(strings), 9)]
+    packed, depths = suffix_dedup.symbols(text)
+    shards = [suffix_dedup.transform(packed, at, depths) for at in starts]
+    window = lambda p: text[p : p + 50].tobytes()
+    for order, _ in shards:
+        assert [window(p) for p in order] == sorted(window(p) for p in order)
+    merged, fresh = suffix_dedup.merge(shards)
+    got = [window(p) for p in merged]
+    assert sorted(merged) == sorted(np.concatenate(starts)) and got == sorted(got)
+    assert [bool(f) for f in fresh[1:]] == [x != y for x, y in zip(got, got[1:], strict=False)]
+
+
+def test_suffix_dedup_merge_decides(spark, monkeypatch):
+    """Whatever goes, goes since an interval of the merged transforms says so."""
+    strings = [words(12, 5).encode()[:70], words(12, 5).encode()[3:70]]
+    least = suffix_dedup.least_ids(strings, np.array([7, 4]))
+    assert [x.tolist() for x in least] == [[7] * 3 + [4] * 18, [4] * 18]
+    monkeypatch.setattr(suffix_dedup, "merge", lambda shards: (np.concatenate([o for o, _ in shards]), np.ones(sum(len(o) for o, _ in shards), bool)))
+    assert [x.tolist() for x in suffix_dedup.least_ids(strings, np.array([7, 4]))] == [[7] * 21, [4] * 18]
+
+
+def test_suffix_dedup_pieces(spark, monkeypatch):
+    """A document longer than a piece loses the same bytes as in one."""
+    text = words(60, 5)
+    rows = [(1, text), (2, words(9, 8) + text[30:200] + words(9, 9)), (3, text[100:])]
+    data = [t.encode() for _, t in rows]
+    whole = [seg for at, seg in suffix_dedup._chunked([1, 2, 3], data)]
+    monkeypatch.setattr(suffix_dedup, "PIECE", 64)
+    parts = list(suffix_dedup._chunked([1, 2, 3], data))
+    strings = lambda found: sorted({flat[i : i + 50] for flat, _, _, a, b, _ in found for p, q in zip(a, b, strict=True) for i in range(p, q + 1)})
+    assert strings(whole) == strings([seg for _, seg in parts]) == sorted({t[i : i + 50] for t in data for i in range(len(t) - 49)})
+    for at, (flat, _, _, a, _, doc) in parts:
+        base = np.cumsum([0, *(n for _, _, n in at)])
+        for i, d in zip(a, doc, strict=True):
+            k, offset, _ = at[d]
+            assert data[k][offset + i - base[d] :][:50] == flat[i : i + 50]
 
 
 # 9: benchmark passages
