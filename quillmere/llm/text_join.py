@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import Remembered, components, mapped, stage
+from quillmere.llm.common import components, mapped, stage
 from quillmere.llm.links import compared, dealt, pair_blocks
 
 TREES, DEPTH = 16, 6
@@ -60,16 +60,9 @@ class Shingler:
 
     def __init__(self, n: int) -> None:
         self.n = n
-        self.hashes = Remembered(lambda ws: [xxhash.xxh64_digest(w.encode("utf-8", "surrogatepass"), 1) for w in ws])
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        parts = [(t or "").lower().split() for t in texts]
-        h = np.frombuffer(b"".join(self.hashes([w for p in parts for w in p])), ">u8").astype(np.uint64)
-        out, at = [], 0
-        for p in parts:
-            out.append(self._shingles(h[at : at + len(p)]))
-            at += len(p)
-        return out
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return self._shingles(np.frombuffer(b"".join(map(xxhash.xxh64_digest, (text or "").lower().split())), ">u8").astype(np.uint64))
 
     def _shingles(self, h: np.ndarray) -> np.ndarray:
         n = min(self.n, h.size)
@@ -190,7 +183,7 @@ def _joined(docs: DataFrame, similarity: float = 0.8, n: int = 5, recall: float
         shingle, sign = Shingler(n), MinHasher(hashes)
 
         def signed(texts: pa.Array) -> list:
-            sets = shingle(texts.to_pylist())
+            sets = list(map(shingle, texts.to_pylist()))
             on = [j for j, s in enumerate(sets) if s.size]
             key: list[bytes | None] = [None] * len(sets)
             sig: list[bytes | None] = [None] * len(sets)
@@ -236,7 +229,7 @@ def _joined(docs: DataFrame, similarity: float = 0.8, n: int = 5, recall: float
 
     def setter():
         shingle = Shingler(n)
-        return lambda texts: [[s.tobytes() for s in shingle(texts.to_pylist())]]
+        return lambda texts: [[shingle(t).tobytes() for t in texts.to_pylist()]]
 
     wanted = maybe.select("key", F.col("rep.doc_id").alias("d"), F.col("rep.thash").alias("h")).distinct()
     # what is wanted grows with the input, so it is never broadcast

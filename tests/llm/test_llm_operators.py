@@ -164,11 +164,47 @@ def test_token_files_dictionary(spark, docs):
     manifest = token_files.write_tokens(docs, path, TOKENIZER, dictionary_bytes=2048)
     assert len(token_files._Files(path).open("dictionary").read()) > 1000
     assert by_start(token_files.read_tokens(spark, path, manifest)) == brute_tokens([(r.doc_id, r.text) for r in docs.collect()])
+    again = new_path(spark, "test")
+    many = token_files.write_tokens(docs, again, TOKENIZER, shard_bytes=4096)
+    assert many.count() > 5 and by_start(token_files.read_tokens(spark, again, many)) == brute_tokens([(r.doc_id, r.text) for r in docs.collect()])
     token_files._Files(path).write("dictionary", b"another")
     with pytest.raises(ValueError, match="dictionary"):
         token_files.read_document(path, manifest.first().shard, 0)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder(name, docs):
+    """Pieces or whole texts: the ids are the library's own for the whole text."""
+    from tokenizers import Tokenizer
+
+    texts = [r.text for r in docs.limit(60).collect()] + ["I'm 3.5 km..., <|endoftext|>. İ. A_.B ΑΣ. x", "a\tb\u00a0c  d\r\ne", "x" * 500 + " ŒUVRE e\u0301 E\u0301.", "don't WE'LL 'sx 12,5", "", None]
+    tok, encode = Tokenizer.from_file(public_tokenizers.path(name)), token_files.Encoder(public_tokenizers.path(name))
+    assert encode.parted == (name == "word_bpe_49k.json")
+    for _ in range(2):
+        got = [np.frombuffer(b, encode.kind).tolist() for b in encode(texts, [1])]
+        assert got == [[*tok.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_token_files_named(spark):
+    path = new_path(spark, "test")
+    df = documents(spark, ODD).withColumn("doc_id", F.concat(F.lit("é"), F.col("doc_id")))
+    got = token_files.read_tokens(spark, path, token_files.write_tokens(df, path, TOKENIZER), keep_ids=True).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted("None" if r[0] is None else f"é{r[0]}" for r in ODD)
+    assert [r.start for r in sorted(got, key=lambda r: r.start)][0] == 0 and all(len(r.ids) == r.n_tokens for r in got)
+
+
+def test_remembered():
+    from quillmere.llm.common import Remembered
+
+    rng, asked = np.random.default_rng(3), []
+    known = Remembered(lambda ws: asked.append(len(ws)) or [w.upper() for w in ws], most=50, longest=6)
+    for _ in range(200):
+        ws = ["w%d" % min(rng.zipf(1.3), 10**7) for _ in range(40)]
+        assert known(ws) == [w.upper() for w in ws]
+        assert max(len(known.often), len(known.once)) <= 90
+    assert sum(asked) < 200 * 40 // 2
+
+
 # 4 and 7: classifiers
 
 
