@@ -449,6 +449,55 @@ def test_decontaminate_table(spark, sf, docs):
     assert want and want <= {(r.doc_id, r.item_id) for r in queries.op9_decontaminate(spark, sf).collect()}
 
 
+def brute_contaminated(rows, items):
+    """Every document against every item, each stretch of twice the item's length; short items side by side."""
+
+    def common(a, b):
+        table = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, table[j + 1] = table[j + 1], last + 1 if x == y else max(table[j], table[j + 1])
+        return table[-1]
+
+    found = lambda t: re.findall(r"\w+", (t or "").lower())
+    out = set()
+    for d, text in rows:
+        t = found(text)
+        for i, item, answer in items:
+            w, a = found(item), found(answer)
+            for s in range(max(1, len(t) - 2 * len(w) + 1) if t and len(w) >= 5 else 0):
+                some = t[s : s + 2 * len(w)]
+                shared = common(w, some)
+                if shared >= 0.8 * len(w) - 1e-9 or shared >= 0.6 * len(w) - 1e-9 and common(a, some) >= 0.8 * len(a) - 1e-9:
+                    out.add((d, i))
+                    break
+            if 0 < len(w) < 5 and any(t[s : s + len(w)] == w for s in range(len(t))):
+                out.add((d, i))
+    return out
+
+
+def test_decontaminate_brute(spark):
+    """Neither more nor fewer pairs than by brute force: verbatim, common, paraphrased, near the rule's edges, short and clean ones."""
+    rng = np.random.default_rng(12)
+    vocabulary = words(60, 91).split()
+    items = [(i, " ".join(rng.choice(vocabulary, n)), None) for i, n in enumerate([5, 6, 9, 14, 14, 20, 27, 3, 1, 4])]
+    items = [(i, t, " ".join(t.split()[-max(1, len(t.split()) // 4) :])) for i, t, _ in items]
+    rows = []
+    for k in range(70):
+        t = items[k % 10][1].split()
+        gone = rng.random(len(t)) < [0, 0.15, 0.25, 0.35, 0.45, 1][k % 6]
+        changed = [rng.choice(vocabulary) if g else w for w, g in zip(t, gone, strict=True)]
+        rows.append((k, " ".join([*words(int(rng.integers(0, 20)), 100 + k).split(), *changed, *rng.choice(vocabulary, int(rng.integers(0, 8)))])))
+    bench = spark.createDataFrame(items, "item_id long, text string, answer string")
+    want = brute_contaminated(rows, items)
+    for at_once in (4000, 3):
+        got = decontaminate.contaminated(documents(spark, rows), bench, answer="answer", items_at_once=at_once).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) > 20
+        kept = decontaminate.drop_contaminated(documents(spark, rows), bench, answer="answer", items_at_once=at_once)
+        assert {r.doc_id for r in kept.collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
 def test_decontaminate_many_items(spark):
     """Each of 1,000 items is found where a fifth of its words is replaced: no item falls out of the latent space."""
     rng = np.random.default_rng(9)
@@ -510,7 +559,7 @@ def test_gram():
     test = rng.normal(size=(40, 3))
     for g in (dense, sparse):
         on, z = g.times(test)
-        assert np.allclose(z, (x.T @ x @ test)[on], atol=1e-5)
+        assert np.allclose(z, (x.T @ x @ test)[on], rtol=1e-12, atol=1e-12) and set(on) == set(np.flatnonzero(x.any(0)))
 
 
 def test_lcs():
