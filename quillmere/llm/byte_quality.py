@@ -8,14 +8,13 @@ and mean into one logistic output, so every byte of the document counts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmere.llm.common import mapped
 from quillmere.llm.training import labelled
 
 WIDTH, CHUNK, BLOCK, FILTERS = 8, 256, 32, 12
@@ -27,7 +26,6 @@ def chunks(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of chunks with the reach before and after, which document each is of); an empty text has one chunk of zeros."""
     data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     n = [max(1, -(-len(b) // CHUNK)) for b in data]
-    flat = np.zeros(REACH + sum(n) * CHUNK + WIDTH, np.uint8)
     rows = np.zeros((sum(n), REACH + CHUNK + WIDTH), np.uint8)
     at = 0
     for b, k in zip(data, n, strict=True):
@@ -35,7 +33,6 @@ def chunks(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         one[REACH : REACH + len(b)] = np.frombuffer(b, np.uint8)
         rows[at : at + k] = np.lib.stride_tricks.sliding_window_view(one, REACH + CHUNK + WIDTH)[:: CHUNK][:k]
         at += k
-    del flat
     return rows, np.repeat(np.arange(len(texts)), n)
 
 
@@ -64,11 +61,11 @@ class Network:
 
 def convolve(rows: np.ndarray, tables: list[np.ndarray], where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
     """Each filter's maximum over each chunk and, if wanted, its place."""
-    two = rows[:, REACH:-1].astype(np.uint16) << 8 | rows[:, REACH + 1 :]
     out = np.empty((len(rows), FILTERS), np.float32)
     place = np.empty((len(rows), FILTERS), np.int64) if where else None
     for i in range(0, len(rows), 128):
-        part = two[i : i + 128]
+        some = rows[i : i + 128]
+        part = some[:, REACH:-1].astype(np.uint16) << 8 | some[:, REACH + 1 :]
         x = np.take(tables[0], part[:, :CHUNK], axis=0)
         for k in range(1, len(tables)):
             x += np.take(tables[k], part[:, 2 * k : 2 * k + CHUNK], axis=0)
@@ -136,30 +133,42 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 6, least_steps: int = 4
 
 def predict(net: Network, tables: list[np.ndarray], texts: list[str | None]) -> np.ndarray:
     rows, doc = chunks(texts)
-    top, _ = convolve(rows, tables)
-    x = pooled(np.c_[np.tanh(top), repeats(rows)], doc)
+    per = [np.c_[np.tanh(convolve(part, tables)[0]), repeats(part)] for part in (rows[i : i + 2048] for i in range(0, len(rows), 2048))]
+    x = pooled(np.concatenate(per), doc)
     return 1 / (1 + np.exp(-np.clip(x @ net.weights + net.bias, -30, 30)))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: Column, learn: Column, most: int = 5000, most_chars: int = 20_000_000) -> Network:
-    """From at most `most` labelled rows (and most_chars characters in all) for which `learn` holds, a condition on labels."""
+    """From at most `most` labelled rows (and most_chars characters in all) for which `learn` holds, a condition on labels.
+
+    Rows without an id or a label are left out (see labelled). Without rows, or with one label only, every score is the same.
+    Reruns give the same network.
+    """
     rows = labelled(docs, labels.where(learn).select("doc_id", label.cast("int").alias("y")), ["y"], most)
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     if total > most_chars:  # whole documents, as many as fit on average
-        rows = rows.orderBy(F.xxhash64("doc_id")).limit(max(1, int(rows.count() * most_chars / total)))
-    data = rows.select("doc_id", "text", "y").toPandas().sort_values("doc_id")
+        rows = rows.orderBy("h").limit(max(1, int(rows.count() * most_chars / total)))
+    data = rows.select("h", "text", "y").toPandas().sort_values("h")
     return train(list(data["text"]), data["y"].to_numpy(np.float64))
 
 
 def score_quality(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score (0 to 1) for every row of docs, from its whole text; null texts count as empty, which is scored like any other."""
 
-    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scorer():
         tables = net.pairs()
-        for x in frames:
-            cut = np.cumsum([0, *(len(t or "") for t in x["text"])]) // 500_000
-            out = np.concatenate([predict(net, tables, list(part)) for _, part in x["text"].groupby(cut[:-1])]) if len(x) else np.zeros(0)
-            yield pd.DataFrame({"doc_id": x["doc_id"], "score": out})
+
+        def scored(values) -> list:
+            texts, out, some, size = values.to_pylist(), [], [], 0
+            for k, t in enumerate(texts):
+                some.append(t)
+                size += len(t or "")
+                if size > 500_000 or k + 1 == len(texts):
+                    out.append(predict(net, tables, some))
+                    some, size = [], 0
+            return [np.concatenate(out)]
+
+        return scored
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(scored, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return mapped(rows, ["doc_id"], ["text"], "score double", scorer, 512)

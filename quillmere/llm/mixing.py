@@ -96,9 +96,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
 
 def repeated(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with docs' own columns."""
+    """The mix itself: each row of docs as often as it is taken, with docs' own columns, whatever their names.
+
+    Nulls, empty texts, repeats and ties as in mix; a row of size 0 is repeated like any other of its hash. No rows give no rows.
+    """
     sized = stage(docs.select(F.col(source).alias("source"), words(text).alias("size"), hash60(doc_id).alias("h")), "mix-sizes")
-    plan = thresholds(sized, targets(sized, weights, share, cap)).select(F.col("source").alias("__source"), "whole", "below")
-    copies = F.col("whole") + F.when(hash60(doc_id) < F.col("below"), 1).otherwise(0)
-    taken = docs.join(plan, docs[source].eqNullSafe(plan["__source"])).withColumn("__copies", copies.cast("int")).where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    plan = thresholds(sized, targets(sized, weights, share, cap)).select("source", "whole", "below")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[source].alias("s"), hash60(doc_id).alias("h"))
+    copies = (F.col("whole") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)).cast("int")
+    taken = rows.join(plan, rows.s.eqNullSafe(plan.source)).select("row", copies.alias("copies")).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -14,9 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmere.llm.common import Remembered, chosen, mapped
 from quillmere.llm.training import Logistic, labelled
 
 WORDS = re.compile(r"\w+|[^\w\s]+")
@@ -60,23 +62,20 @@ class Finder:
     """The known features of texts. What a word stands for is remembered."""
 
     def __init__(self, vocabulary: dict[str, int]) -> None:
-        self.vocabulary, self.known = vocabulary, {}
+        self.known = Remembered(lambda ws: [tuple(vocabulary[x] for x in features(w) if x in vocabulary) for w in ws])
 
     def __call__(self, text: str | None) -> list[int]:
-        known, out = self.known, set()
-        if len(known) > 1 << 20:
-            known.clear()
-        for w in set(WORDS.findall((text or "").lower())):
-            f = known.get(w)
-            if f is None:
-                f = known[w] = tuple(self.vocabulary[x] for x in features(w) if x in self.vocabulary)
-            if f:
-                out.update(f)
+        out: set[int] = set()
+        out.update(*filter(None, self.known(list(set(WORDS.findall((text or "").lower()))))))
         return sorted(out)
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most: int = 20_000, most_features: int = 4096, least_count: int = 8, least_z: float = 6.0, folds: int = 3) -> Chain:
-    """A chain over categories (name: 0/1 column of labels), in their order, from at most `most` labelled documents."""
+    """A chain over categories (name: 0/1 column of labels), in their order, from at most `most` labelled documents.
+
+    Rows without an id or a label are left out (see labelled); a null text counts as empty. Without labelled rows, or without
+    both labels of a category, its model is a constant: its rate among them, or next to nothing. Reruns give the same chain.
+    """
     names = list(categories)
     rows = labelled(docs, labels.select("doc_id", *[c.cast("int").alias(n) for n, c in categories.items()]), names, most)
     total = rows.agg(F.count("*"), *[F.sum(n) for n in names]).first()
@@ -103,17 +102,15 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     best = sums.select("feature", z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "feature").limit(most_features).collect()
     vocabulary = {r[0]: i for i, r in enumerate(best)}
 
-    def found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def finder():
         find = Finder(vocabulary)
-        for x in frames:
-            yield x[["doc_id", *names]].assign(f=[np.array(find(t), np.int32) for t in x["text"]])
+        return lambda texts: [[np.array(find(t), np.int32) for t in texts.to_pylist()]]
 
-    kinds = ", ".join(f"{n} int" for n in names)
-    data = rows.mapInPandas(found, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {kinds}, f array<int>").toPandas()  # bounded by `most`
-    data = data.sort_values("doc_id", ignore_index=True)
+    data = mapped(rows.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int")), ["h", "fold", *names], ["text"], "f array<int>", finder)
+    data = data.toPandas().sort_values("h", ignore_index=True)  # bounded by `most`
     size = [len(f) for f in data["f"]]
     row, col = np.repeat(np.arange(len(data)), size), np.concatenate([np.asarray(f, np.int64) for f in data["f"]]) if sum(size) else np.zeros(0, np.int64)
-    fold = np.array([pd.util.hash_array(np.array([d], np.int64))[0] % folds for d in data["doc_id"]])
+    fold = data["fold"].to_numpy()
     model, val = Logistic(len(vocabulary)), np.ones(len(row))
     earlier, models = np.zeros((len(data), 0)), []
     for k, name in enumerate(names):
@@ -133,25 +130,25 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
 
 def score_chain(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and p_<category> for every row of docs, from its whole text. Null and empty texts have no features and get the models' base rates."""
-    names = [f"p_{c}" for c in chain.categories]
 
-    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scorer():
         find = Finder(chain.vocabulary)
-        for x in frames:
-            p = chain.score([find(t) for t in x["text"]])
-            yield pd.DataFrame({"doc_id": x["doc_id"]} | {n: p[:, i] for i, n in enumerate(names)})
+        return lambda texts: list(chain.score([find(t) for t in texts.to_pylist()]).T)
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(scored, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names))
+    return mapped(rows, ["doc_id"], ["text"], ", ".join(f"p_{c} double" for c in chain.categories), scorer)
 
 
 def drop_toxic(docs: DataFrame, chain: Chain, category: str = "toxic", threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """docs without the rows whose probability of category reaches threshold; other columns stay as they are."""
+    """docs without the rows whose probability of category reaches threshold; other columns stay as they are. Null and empty texts are judged by the base rate."""
     k = chain.categories.index(category)
 
-    def kept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def clean():
         find = Finder(chain.vocabulary)
-        for x in frames:
-            yield x[chain.score([find(t) for t in x[text]])[:, k] < threshold]
 
-    return docs.mapInPandas(kept, docs.schema)
+        def keep(texts: pa.Array) -> list[bool]:
+            return (chain.score([find(t) for t in texts.to_pylist()])[:, k] < threshold).tolist()
+
+        return keep
+
+    return chosen(docs, text, clean)

@@ -10,13 +10,19 @@ from quillmere.llm.common import stage
 
 
 def labelled(docs: DataFrame, labels: DataFrame, columns: list[str], most: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """At most `most` labelled documents (doc_id, text, columns...), those whose ids hash least; equal texts once. Staged.
+    """At most `most` labelled documents (doc_id, columns..., text, h), those whose ids hash least; equal texts once. Staged.
 
-    The sample of labels is bounded by `most`, so it is broadcast and the documents are read once without a shuffle.
+    Null ids and labels are left out. An id with several labels has the least of them; of equal texts the one whose id hashes
+    least stays, so reruns agree. The sample of labels is bounded by `most`, so it is broadcast and the documents are read once
+    without a shuffle. h: a hash of the id and text, by which rows have an order of their own.
     """
-    some = labels.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("i"), *columns).dropna().dropDuplicates(["i"]).orderBy(F.xxhash64("i"), "i").limit(most)
+    one = labels.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("i"), *columns).dropna()
+    one = one.groupBy("i").agg(F.min(F.struct(*columns)).alias("y"))
+    some = one.orderBy(F.xxhash64("i"), "i").limit(most).select("i", "y.*")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(some), F.col("doc_id") == F.col("i")).drop("i")
-    return stage(rows.withColumn("thash", F.xxhash64("text")).dropDuplicates(["thash"]).drop("thash"), "labelled")
+    row = F.struct(F.xxhash64("doc_id").alias("by"), "doc_id", *columns, "text")
+    best = rows.groupBy(F.xxhash64("text").alias("same")).agg(F.min(row).alias("r")).select("r.doc_id", *[f"r.{c}" for c in columns], "r.text")
+    return stage(best.withColumn("h", F.xxhash64("doc_id", "text")), "labelled")
 
 
 class Logistic:

@@ -11,10 +11,11 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quillmere.llm import byte_quality, decontaminate, main_text, mixing, near_vectors, queries, secrets, suffix_dedup, text_join, token_files, toxicity
+from quillmere.llm import byte_quality, decontaminate, main_text, mixing, near_vectors, queries, secrets, suffix_dedup, text_join, token_files, toxicity, training
 from quillmere.llm.common import components, new_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, size long, h long, ids string, score double, comp string"
+LARGER = "/root/testdata/sf0.01"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -261,9 +262,80 @@ def test_quality_whole_text():
     assert byte_quality.repeats(byte_quality.chunks(["word " * 100])[0])[:, 0].max() == 1
 
 
-def test_quality_held_out(spark, sf):
-    got = queries.op7_byte_quality(spark, sf).collect()
-    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.5) for r in got)
+@pytest.fixture(scope="module")
+def marked(spark):
+    """Labels of the larger table: id -> (quality, toxic)."""
+    return {r.doc_id: (r.quality, r.toxic) for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect() if r.doc_id is not None}
+
+
+def held_out(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 3 == 1
+
+
+def test_quality_held_out(spark, marked):
+    """Accuracy on rows whose labels were not learned from."""
+    got = queries.op7_byte_quality(spark, LARGER).collect()
+    assert all(r.held_out == held_out(r.doc_id) and r.predicted == int(r.score >= 0.5) for r in got)
+    known = [(marked[r.doc_id][0], r.predicted) for r in got if r.held_out and r.doc_id in marked]
+    assert len(known) > 80 and sum(a == b for a, b in known) >= 0.97 * len(known)
+
+
+def test_toxicity_held_out(spark, marked):
+    """Toxic rows found and clean ones left alone, on rows whose labels were not learned from."""
+    docs, labels = (spark.read.parquet(f"{LARGER}/{t}.parquet") for t in ("documents", "labels"))
+    chain = toxicity.fit_chain(docs, labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1), toxicity.labels_categories())
+    got = {r.doc_id: r.p_toxic >= 0.5 for r in toxicity.score_chain(docs, chain).collect()}
+    known = [(marked[d][1], got[d]) for d in marked if held_out(d) and d in got]
+    toxic, clean = [p for y, p in known if y], [p for y, p in known if not y]
+    print(len(toxic), sum(toxic), len(clean), sum(clean))
+    assert len(toxic) > 5 and sum(toxic) >= 0.75 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+
+
+def test_chain_plain(spark, classes):
+    """The chain against a plain one: the same features one by one, and each model's sum written out."""
+    docs, labels = classes
+    chain = toxicity.fit_chain(docs, labels, toxicity.labels_categories())
+    rows = docs.select("doc_id", "text").collect()
+    want = []
+    for r in rows:
+        found = {chain.vocabulary[f] for w in re.findall(r"\w+|[^\w\s]+", (r.text or "").lower()) for f in [f"w:{w}", *(f"{k}:{w[:k]}" for k in range(3, 9) if len(w) >= k)] if f in chain.vocabulary}
+        p = []
+        for weights, earlier, bias in chain.models:
+            x = bias + sum(weights[i] for i in found) + sum(d * np.log(q / (1 - q)) for d, q in zip(earlier, np.clip(p, 1e-4, 1 - 1e-4), strict=True))
+            p.append(1 / (1 + np.exp(-x)))
+        want.append((str(r.doc_id), *np.round(p, 9)))
+    got = [(str(r.doc_id), round(r.p_low_quality, 9), round(r.p_toxic, 9)) for r in toxicity.score_chain(docs, chain).collect()]
+    assert sorted(map(str, got)) == sorted(str((w[0], float(w[1]), float(w[2]))) for w in want)
+
+
+def test_quality_plain():
+    """A whole score against a plain one: every filter at every place of every chunk, then maximum and mean."""
+    texts = [words(90, 3), "a b " * 100, "", "é%%%" * 70]
+    net = byte_quality.train([*texts, *(words(40, k) for k in range(8))], np.array([1, 0, 0, 0, *[1] * 8], float), least_steps=20)
+    got = byte_quality.predict(net, net.pairs(), texts)
+    for t, p in zip(texts, got, strict=True):
+        b = t.encode()
+        per = []
+        for c in range(max(1, -(-len(b) // byte_quality.CHUNK))):
+            at = lambda i: b[i] if 0 <= i < len(b) else 0  # noqa: B023, E731
+            top = [max(sum(net.filters[o][at(c * byte_quality.CHUNK + i + o), f] for o in range(byte_quality.WIDTH)) for i in range(byte_quality.CHUNK)) for f in range(byte_quality.FILTERS)]
+            core = range(c * byte_quality.CHUNK, (c + 1) * byte_quality.CHUNK)
+            best = [max(sum(at(i) == at(i - d) and at(i) != 0 for i in core[k : k + byte_quality.BLOCK]) for d in byte_quality.LAGS) / byte_quality.BLOCK for k in range(0, byte_quality.CHUNK, byte_quality.BLOCK)]
+            per.append([*np.tanh(top), max(best), sum(best) / len(best)])
+        x = np.r_[np.max(per, axis=0), np.mean(per, axis=0)]
+        assert abs(p - 1 / (1 + np.exp(-(x @ net.weights + net.bias)))) < 1e-4
+
+
+def test_labelled(spark):
+    """Equal texts, equal ids and unequal labels: the same rows whatever their order."""
+    rows = [(k, words(5, k % 20)) for k in range(100)] + [(3, words(6, 900))]
+    labels = [(k, k % 2, 1) for k in range(100)] + [(k, 1 - k % 2, 0) for k in range(50)] + [(None, 1, 1), (7, None, 1)]
+    got = []
+    for seed in (1, 2):
+        order = np.random.default_rng(seed).permutation(len(rows)), np.random.default_rng(seed + 5).permutation(len(labels))
+        df, lab = documents(spark, [rows[i] for i in order[0]]).repartition(7), spark.createDataFrame([labels[i] for i in order[1]], "doc_id long, a int, b int")
+        got.append(sorted(map(str, training.labelled(df, lab, ["a", "b"], 60).collect())))
+    assert got[0] == got[1] and len(got[0]) <= 21
 
 
 # 5: mixing
