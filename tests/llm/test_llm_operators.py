@@ -119,6 +119,83 @@ def test_main_text_cases(page, want):
     assert main_text.main_text(page).startswith(want) if page and page.endswith("<p ") else main_text.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p>a wor<!-- x -->d<script>1</script>s here</p></article>", "a words here"),
+        ("<article><p>before <span class='ad'>buy <span>now</span> cheap</span> after</p></article>", "before after"),
+        ("<div class='search-algorithms'><p>" + "long text " * 20 + "</p></div>", ("long text " * 20).strip()),
+        ("<article><div class='header-compression'><p>all of it</p></div></article>", "all of it"),
+        ("<div id='page' class='sidebar-right'><p>" + "long text " * 20 + "</p></div>", ("long text " * 20).strip()),  # a hint that leaves nothing
+        ("<main><h1>head</h1><article><p>" + "one " * 40 + "</p></article><article><p>" + "two " * 40 + "</p></article></main>", " ".join(["head", *["one"] * 40, *["two"] * 40])),
+        ("<div><p>" + "one " * 40 + "</p><div class=ad>ad</div><p>short</p><div class=ad>ad</div><p>" + "two " * 40 + "</p></div><p>x</p>", " ".join([*["one"] * 40, "short", *["two"] * 40, "x"])),
+        ("<article><h1><a href=#>Linked head</a></h1><p>text</p></article><section><h2>More</h2><p>teaser text outside</p></section>", "Linked head text"),
+    ],
+)
+def test_main_text_hints(page, want):
+    assert main_text.main_text(page) == want
+
+
+def plain_between(got):
+    """Line blocks one by one, without numpy: lengths, windows, surges and dives."""
+    own = [len(t) if a else (len(t) - n if 2 * (len(t) - n) >= len(t) else 0) for t, n, a in got]
+    marked = any(o for o, (_, _, a) in zip(own, got, strict=True) if a)
+    weight = [o * (8 if a or not marked else 1) for o, (_, _, a) in zip(own, got, strict=True)]
+    runs, k = [], 0
+    while k + 2 < len(got):
+        if sum(weight[k : k + 3]) == 0:
+            k += 1
+            continue
+        e = k
+        while e + 2 < len(got) and sum(weight[e : e + 3]) > 0:
+            e += 1
+        on = [i for i in range(k, min(e + 3, len(got))) if weight[i]]
+        runs.append((on[0], on[-1] + 1, max(sum(weight[i : i + 3]) for i in range(k, e))))
+        k = e
+    if not runs:
+        return ""
+    top = max(r[2] for r in runs)
+    kept = {i for i, r in enumerate(runs) if r[2] >= min(640, top) and r[2] * 8 >= top}
+    art = {i for i, (a, b, _) in enumerate(runs) if any(got[x][2] for x in range(a, b))} if marked else set()
+    out = []
+    for i, (a, b, _) in enumerate(runs):
+        if min(kept | art) <= i <= max(kept | art) and (i in kept or not marked or i in art):
+            loose = sum(own[x] for x in range(a, b) if not got[x][2])
+            mixed = i in art and any(not got[x][2] for x in range(a, b))
+            out += [got[x][0] for x in range(a, b) if got[x][0] and (got[x][2] or not (mixed and loose < 640))]
+    return " ".join(out)
+
+
+def test_main_text_plain(spark):
+    """The same text as a plain line-block version, on the table's pages, as they are and without the marks that name the article."""
+    for r in spark.read.parquet(f"{LARGER}/pages.parquet").collect():
+        for page in (r.html, r.html.replace("article>", "div>"), re.sub("</?(article|nav|footer|b)>", "", r.html)):
+            got = main_text.lines(page)
+            while len(got) < 3:
+                got.append(("", 0, False))
+            assert main_text.main_text(page) == plain_between(got)
+
+
+def test_main_text_built():
+    """Pages built of known parts, with and without a marked article: how much text stays, how much boilerplate leaks."""
+    rng = np.random.default_rng(14)
+    kept = total = leaked = rest = 0
+    for k in range(300):
+        part = lambda n: words(int(n), int(rng.integers(1 << 30)))
+        paragraphs = [part(rng.integers(12, 60)) if rng.random() < 0.85 else part(2) for _ in range(rng.integers(4, 15))]
+        ad, note, side, foot, said = part(9), part(14), part(25), part(10), [part(rng.integers(10, 60)) for _ in range(4)]
+        inner = [f"<p>{p}</p>" for p in paragraphs]
+        inner.insert(len(inner) // 2, f"<div class='advert-box'><p>{ad}</p></div>")
+        tag = ["article", "div", "main"][k % 3]
+        menu = "".join(f"<li><a href='/{i}'>{part(2)}</a></li>" for i in range(8))
+        page = f"<html><head><title>{part(5)}</title></head><body><header>{part(4)}</header><ul>{menu}</ul><div class=cookie-notice>{note}</div><{tag}>{''.join(inner)}</{tag}><aside>{side}</aside>"
+        page += f"<section id=comments>{''.join(f'<p>{s}</p>' for s in said)}</section><form><label>{part(3)}</label><button>{part(1)}</button></form><div class='site-footer'>{foot}</div></body></html>"
+        got = set(main_text.main_text(page).split())
+        want, not_wanted = set(" ".join(paragraphs).split()), set(" ".join([ad, note, side, foot, *said]).split())
+        kept, total, leaked, rest = kept + len(got & want), total + len(want), leaked + len(got & not_wanted), rest + len(not_wanted)
+    assert kept >= 0.999 * total and leaked <= 0.001 * rest
+
+
 def test_main_text_clash(spark):
     df = spark.createDataFrame([(1, "u", "<article>a</article>", "t", 9), (1, None, None, "t", 9)], "page_id long, url string, html string, text string, n_chars long")
     assert sorted((r.page_id, r.text, r.n_chars) for r in main_text.extract(df).collect()) == [(1, "", 0), (1, "a", 1)]
