@@ -30,7 +30,6 @@ PASSAGE, CHUNK = 32, 8
 MORE = 16  # dimensions of the latent space beyond those that the items span
 BLOCKS = 4  # blocks of items that a task searches at once
 SHORT = 5  # items of fewer words are found where all their words stand side by side
-SCALE = 64
 
 
 @dataclass
@@ -164,14 +163,14 @@ class Searcher:
     def __post_init__(self) -> None:
         self.masks = [(places(it.words), places(it.answer)) for it in self.items]
         # what each term adds to the inner product with each item; the last row is of other words
-        product = (self.basis * self.idf[:, None]) @ self.latent.T
-        self.against = np.concatenate([np.ceil(product * SCALE - 0.01).clip(0), np.zeros((1, len(self.items)))]).astype(np.int32)
-        self.peak = self.against.max(axis=1, initial=0).astype(np.int64)
+        product = ((self.basis * self.idf[:, None]) @ self.latent.T).clip(0)
+        scale = 4000 / max(product.max(initial=0), 1e-9)  # a chunk's sum stays within 16 bits
+        self.against = np.concatenate([np.ceil(product * scale - 0.01), np.zeros((1, len(self.items)))]).astype(np.int16)
         size = np.array([len(it.words) for it in self.items], np.int64)
         # The least product of an accepted window: it has so many of the item's words, and these may be those of least weight.
         self.share = least = np.ceil(min(self.copied, self.paraphrased) * size - 1e-9).astype(int)
         weight = [np.sort(self.idf[it.words] ** 2)[:m].sum() for it, m in zip(self.items, least, strict=True)]
-        self.least = np.floor(np.array(weight) * (1 - 1e-4) * SCALE).astype(np.int64)
+        self.least = np.floor(np.array(weight) * (1 - 1e-4) * scale).astype(np.int32)
         # windows, in chunks, that hold a stretch of twice the item's length wherever in its first chunk it begins
         self.chunks = -(-2 * size // CHUNK) + 1  # rises, as items are sorted by length
         self.windows = [(int(k), slice(*np.searchsorted(self.chunks, [k, k + 1]).tolist())) for k in np.unique(self.chunks)]
@@ -194,8 +193,8 @@ class Searcher:
     def near(self, ids: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(document, item, start) for every window that comes near an item; ids of some documents, first place of each.
 
-        A window begins at a multiple of CHUNK. Windows in which all terms together cannot give any item's least product are
-        left at once; in the others a term counts once, with all its places in the item, which only raises the product.
+        A window begins at a multiple of CHUNK. A term counts once in a chunk, with all its places in the item, and a window may
+        reach into the next document; both only raise the product. In windows that pass, a term counts once.
         """
         size = np.diff(np.r_[first, len(ids)])
         count = -(-size // CHUNK)
@@ -203,22 +202,28 @@ class Searcher:
         doc = np.repeat(np.arange(len(first)), count)
         inside = (np.arange(len(doc)) - base[doc]) * CHUNK
         start, stop = first[doc] + inside, (first + size)[doc]
-        total = np.r_[0, np.cumsum(np.add.reduceat(self.peak[ids], start))]
-        for k, of in self.windows:
-            ends = np.minimum(np.arange(len(doc)) + k, (base + count)[doc])
-            maybe = np.flatnonzero(total[ends] - total[:-1] >= self.least[of].min())
-            for c in range(0, len(maybe), 1024):
-                row = maybe[c : c + 1024]
-                at = start[row, None] + np.arange(k * CHUNK)
-                seen = np.sort(np.where(at < stop[row, None], ids[np.minimum(at, len(ids) - 1)], -1), axis=1)
-                seen[:, 1:][seen[:, 1:] == seen[:, :-1]] = -1
-                sums = np.zeros((len(row), of.stop - of.start), np.int64)
-                for q in range(k * CHUNK):
-                    sums += self.against[seen[:, q], of]
-                r, j = np.nonzero(sums >= self.least[of])
-                enough = self.count[seen[r], j[:, None] + of.start].sum(1) >= self.share[of][j]
-                r, j = row[r[enough]], j[enough] + of.start
-                yield from zip(doc[r].tolist(), j.tolist(), inside[r].tolist(), strict=True)
+        most = max(k for k, _ in self.windows)
+        for i in range(0, len(doc), 2048):
+            part = slice(i, i + 2048 + most)
+            at = start[part, None] + np.arange(CHUNK)
+            some = np.sort(np.where(at < stop[part, None], ids[np.minimum(at, len(ids) - 1)], -1), axis=1)
+            some[:, 1:][some[:, 1:] == some[:, :-1]] = -1
+            sums = self.against[some[:, 0]]
+            for k in range(1, CHUNK):
+                sums += self.against[some[:, k]]
+            total = np.zeros((len(self.items), 2049 + most), np.int32)
+            np.cumsum(sums.T, axis=1, dtype=np.int32, out=total[:, 1 : len(sums) + 1])
+            total[:, len(sums) + 1 :] = total[:, len(sums), None]
+            n = min(2048, len(doc) - i)
+            for k, of in self.windows:
+                items, rows = np.nonzero(total[of, k : k + n] - total[of, :n] >= self.least[of, None])
+                for c in range(0, len(rows), 4096):
+                    row, j = i + rows[c : c + 4096], items[c : c + 4096] + of.start
+                    at = start[row, None] + np.arange(k * CHUNK)
+                    seen = np.sort(np.where(at < stop[row, None], ids[np.minimum(at, len(ids) - 1)], -1), axis=1)
+                    seen[:, 1:][seen[:, 1:] == seen[:, :-1]] = -1
+                    enough = self.count[seen, j[:, None]].sum(1) >= self.share[j]
+                    yield from zip(doc[row[enough]].tolist(), j[enough].tolist(), inside[row[enough]].tolist(), strict=True)
 
     def side_by_side(self, ids: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int]]:
         """(document, short item) for every run of a short item's words."""
