@@ -8,8 +8,8 @@ segments, each once, with the least and the greatest id that holds it.
 In a bucket, shards of segments are transformed one by one: for every depth, what stands before the shard's suffixes in the
 order of that many symbols (at each depth only the suffixes that some start of 50 bytes reaches are kept). The shards are then
 merged: their interleave, a shard's number for each suffix, is refined depth by depth by the symbols that the transforms list,
-without sorting suffixes of different shards against each other. Neighbours that no depth parts share all 50 symbols; such runs
-are the repeated intervals, and each interval's least document id says from which id on its bytes go. Nothing is removed that
+without sorting suffixes of different shards against each other. Common prefixes of neighbours follow; runs that share all 50
+symbols are the repeated intervals, and each interval's least document id says from which id on its bytes go. Nothing is removed that
 no interval says; segments of one document that cannot share 50 bytes with another are left out beforehand.
 
 Documents are shuffled once, in batches by a hash; all else travels in packed arrays, a row for each batch and bucket.
@@ -34,7 +34,7 @@ WINDOW = LENGTH - GRAM + 1
 PLACE = np.uint64((1 << 28) - 1)
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Bytes: a batch of documents, a bucket, a partition, documents worked on at once, a piece of a long document, a merge. And shards a merge.
-BATCH, BUCKET, PARTITION, CHUNK, PIECE, MERGE, SHARDS = 4 << 20, 8 << 20, 16 << 20, 1 << 16, 1 << 26, 2 << 20, 4
+BATCH, BUCKET, PARTITION, CHUNK, PIECE, MERGE, SHARDS = 4 << 20, 8 << 20, 16 << 20, 1 << 16, 1 << 26, 2 << 20, 2
 #: In place of a minimiser's place: the string is looked at by itself.
 ALONE = 255
 #: Bytes before and after a minimiser: 26 shared bytes, of which 6 k or more lie before it, reach at least this far on both sides.
@@ -165,27 +165,32 @@ def transform(packed: np.ndarray, starts: np.ndarray, depths: list[tuple[int, in
     return starts, before
 
 
-def merge(shards: list[tuple[np.ndarray, list[np.ndarray]]]) -> tuple[np.ndarray, np.ndarray]:
-    """(all shards' starts in merged order, where a new interval of equal 50 symbols begins).
+def merge(shards: list[tuple[np.ndarray, list[np.ndarray]]]) -> np.ndarray:
+    """All shards' starts in merged order.
 
     The interleave says of which shard each suffix is; a shard's own suffixes stay in the order of its transform. Reading the
     shards' symbols through the interleave and parting it by them, stably, gives the interleave of the next depth.
     """
-    sizes = [len(order) for order, _ in shards]
-    line, block, fresh = np.repeat(np.arange(len(shards), dtype=np.uint8), sizes), np.zeros(sum(sizes), np.int32), np.zeros(sum(sizes), bool)
+    line = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(order) for order, _ in shards])
+    c = np.empty(len(line), np.uint16)
     for k in range(len(shards[0][1])):
-        c = np.empty(len(line), np.uint16)
         for s, (_, before) in enumerate(shards):
             c[line == s] = before[k]
-        order = np.argsort(c, kind="stable")
-        line, c, of = line[order], c[order], block[order]
-        fresh = np.ones(len(line), bool)
-        fresh[1:] = (c[1:] != c[:-1]) | (of[1:] != of[:-1])
-        block = np.cumsum(fresh, dtype=np.int32)
+        line = line[np.argsort(c, kind="stable")]
     merged = np.empty(len(line), np.int64)
     for s, (order, _) in enumerate(shards):
         merged[line == s] = order
-    return merged, fresh
+    return merged
+
+
+def prefixes(packed: np.ndarray, merged: np.ndarray, depths: list[tuple[int, int]]) -> np.ndarray:
+    """How many symbols, in whole steps, each start of the merged order has in common with the one before; 0 for the first."""
+    out, same = np.zeros(len(merged), np.int64), np.arange(1, len(merged))
+    for k, (offset, drop) in enumerate(depths[::-1]):
+        at = merged[same] + offset, merged[same - 1] + offset
+        same = same[packed[at[0]] >> np.uint16(drop) == packed[at[1]] >> np.uint16(drop)]
+        out[same] = depths[::-1][k + 1][0] if k + 1 < len(depths) else LENGTH
+    return out
 
 
 def apart(group: list[tuple[bytes, int]]) -> list[bytes]:
@@ -203,8 +208,8 @@ def apart(group: list[tuple[bytes, int]]) -> list[bytes]:
     return [s for (s, _), own in zip(group, windows, strict=True) if any(seen[w] > 1 for w in own)]
 
 
-def least_ids(strings: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
-    """For each string and each of its starts, the least id of the strings that hold the same 50 bytes."""
+def least_ids(strings: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(for each string's each start the least id of the strings that hold the same 50 bytes, all in one row; the first start of each string)."""
     size = np.array([len(s) for s in strings])
     count, base = size - LENGTH + 1, np.cumsum(size) - size
     first = np.cumsum(count) - count
@@ -213,14 +218,100 @@ def least_ids(strings: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
     packed, depths = symbols(np.frombuffer(b"".join(strings), np.uint8))
     cut = np.linspace(0, len(strings), min(SHARDS, len(strings)) + 1).astype(int)
     edge = np.r_[first, len(owner)][cut]
-    merged, fresh = merge([transform(packed, starts[a:b], depths) for a, b in zip(edge[:-1], edge[1:], strict=True)])
+    merged = merge([transform(packed, starts[a:b], depths) for a, b in zip(edge[:-1], edge[1:], strict=True)])
+    intervals = np.flatnonzero(prefixes(packed, merged, depths) < LENGTH)  # where repeated strings of 50 bytes begin
     number = np.zeros(len(packed), np.int32)  # of the start at each place
     number[starts] = np.arange(len(starts), dtype=np.int32)
     merged = number[merged]
-    intervals = np.flatnonzero(fresh)
     least = np.empty(len(owner), np.int64)
     least[merged] = np.repeat(np.minimum.reduceat(ids[owner[merged]], intervals), np.diff(np.r_[intervals, len(merged)]))
-    return [least[a : a + n] for a, n in zip(first.tolist(), count.tolist(), strict=True)]
+    return least, first
+
+
+def wanted(strings: list[bytes], place: np.ndarray, kind: np.ndarray, many: np.ndarray) -> list[list[int]]:
+    """The strings to merge, group by group: those of one minimiser that several documents hold or that may share 50 bytes with another."""
+    out: list[list[int]] = []
+    if not strings:
+        return out
+    order = np.argsort(kind, kind="stable")
+    cut = np.flatnonzero(np.r_[True, kind[order][1:] != kind[order][:-1]])
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
+        group = order[a:b].tolist()
+        if b - a > 1 and not many[order[a:b]].all():
+            may = set(apart([(strings[k], int(place[k])) for k in group]))
+            group = [k for k in group if many[k] or strings[k] in may]
+        elif not many[group[0]]:
+            continue
+        if group:
+            out.append(group)
+    return out
+
+
+def judge(packs: list[bytes]) -> list[bytes | None]:
+    """For each pack of a bucket what goes in its batch: (minimiser, string's hash, place and end, least id) for every stretch of a string's starts."""
+    open_ = zstandard.ZstdDecompressor()
+    number: dict[bytes, int] = {}
+    of, infos, places = [], [], []
+    for blob in packs:
+        b = open_.decompress(blob)
+        n = int(np.frombuffer(b, "<i8", 1)[0])
+        cut = np.cumsum(np.r_[8 + 26 * n, np.frombuffer(b, np.uint8, n, 8 + 25 * n).astype(np.int64)]).tolist()
+        of.append(np.array([number.setdefault(b[i:j], len(number)) for i, j in zip(cut[:-1], cut[1:], strict=True)], np.int64))
+        infos.append(np.frombuffer(b, "<i8", 3 * n, 8).reshape(n, 3))
+        places.append(np.frombuffer(b, np.uint8, n, 8 + 24 * n))
+    strings, every, info = list(number), np.concatenate(of), np.concatenate(infos)
+    lo, hi = np.full(len(strings), np.iinfo(np.int64).max), np.full(len(strings), np.iinfo(np.int64).min)
+    np.minimum.at(lo, every, info[:, 1])
+    np.maximum.at(hi, every, info[:, 2])
+    kind, place = np.empty(len(strings), np.int64), np.empty(len(strings), np.uint8)
+    kind[every], place[every] = info[:, 0], np.concatenate(places)
+    many, alone = lo < hi, place == ALONE
+    held = np.flatnonzero(~alone)
+    groups = [held[g].tolist() for g in wanted([strings[k] for k in held], place[held], kind[held], many[held])]
+    rest = np.flatnonzero(alone & many).tolist()  # strings that go alone are all different, so they may be merged in parts
+    groups += [rest[i : i + MERGE // LENGTH] for i in range(0, len(rest), MERGE // LENGTH)]
+
+    count, begin = np.zeros(len(strings), np.int64), np.zeros(len(strings), np.int64)  # the stretches of each string
+    start, stop, least, made = [], [], [], 0
+    some: list[int] = []
+    size = 0
+    for g, group in enumerate([*groups, None]):
+        more = sum(len(strings[k]) for k in group) if group else 0
+        if some and (group is None or size + more > MERGE):
+            at = np.array(some)
+            v, first = least_ids([strings[k] for k in some], lo[at])
+            fresh = np.r_[True, v[1:] != v[:-1]]
+            fresh[first] = True
+            cut = np.flatnonzero(fresh)
+            owner = np.searchsorted(first, cut, "right") - 1
+            start.append(cut - first[owner])
+            stop.append(np.r_[cut[1:], len(v)] - first[owner])
+            least.append(v[cut])
+            count[at] = np.bincount(owner, minlength=len(at))
+            begin[at] = made + np.searchsorted(owner, np.arange(len(at)))
+            made += len(cut)
+            some, size = [], 0
+        if group:
+            some += group
+            size += more
+    if not made:
+        return [None] * len(packs)
+    start, stop, least = np.concatenate(start), np.concatenate(stop), np.concatenate(least)
+    out: list[bytes | None] = []
+    for mine, own in zip(of, infos, strict=True):
+        n = count[mine]
+        row = np.repeat(np.arange(len(mine)), n)
+        at = np.repeat(begin[mine] - np.cumsum(n) + n, n) + np.arange(len(row))
+        on = least[at] < own[row, 2]
+        row, at = row[on], at[on]
+        if not len(row):
+            out.append(None)
+            continue
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        tags = np.array([xxhash.xxh3_64_intdigest(strings[k]) for k in mine[row[first]].tolist()], np.uint64).view(np.int64)
+        i = np.where(alone[mine[row]], ALONE, start[at])
+        out.append(np.c_[own[row, 0], np.repeat(tags, np.diff(np.r_[first, len(row)])), i << 32 | stop[at], least[at]].astype("<i8").tobytes())
+    return out
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False, crowd: int = 50_000) -> DataFrame:
@@ -299,71 +390,20 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
         return pd.DataFrame({"bucket": list(by), "batch": [key[0]] * len(by), "pack": packs})
 
     def judged(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        open_ = zstandard.ZstdDecompressor()
-        packs, held, kinds, alone = [], {}, {}, set()  # held: the least and the greatest id of each string
-        for blob in x["pack"]:
-            b = open_.decompress(blob)
-            n = int(np.frombuffer(b, "<i8", 1)[0])
-            info = np.frombuffer(b, "<i8", 3 * n, 8).reshape(n, 3)
-            cut = np.cumsum(np.r_[8 + 26 * n, np.frombuffer(b, np.uint8, n, 8 + 25 * n).astype(np.int64)]).tolist()
-            strings = [b[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
-            packs.append((strings, info))
-            for s, (h, lo, hi), o in zip(strings, info.tolist(), b[8 + 24 * n : 8 + 25 * n], strict=True):
-                had = held.get(s)
-                if had is None:
-                    held[s] = [lo, hi]
-                    if o == ALONE:
-                        alone.add(s)
-                    else:
-                        kinds.setdefault(h, []).append((s, o))
-                elif lo < had[0] or hi > had[1]:
-                    held[s] = [min(lo, had[0]), max(hi, had[1])]
-        ids: dict[bytes, np.ndarray] = {}
-        some: list[bytes] = []
-        size = 0
-
-        def settle() -> None:
-            if some:
-                ids.update(zip(some, least_ids(some, np.array([held[s][0] for s in some], np.int64)), strict=True))
-                some.clear()
-
-        for group in [*kinds.values(), [(s, ALONE) for s in alone]]:
-            may = set(apart(group)) if len(group) > 1 and group[0][1] != ALONE else ()
-            wanted = [s for s, _ in group if held[s][0] < held[s][1] or s in may]
-            # strings that go alone are all different, so they may be merged in parts
-            for part in [wanted] if not wanted or group[0][1] != ALONE else [wanted[i : i + MERGE // LENGTH] for i in range(0, len(wanted), MERGE // LENGTH)]:
-                more = sum(map(len, part))
-                if size + more > MERGE:
-                    settle()
-                    size = 0
-                some += part
-                size += more
-        settle()
-        out_batch, out = [], []
-        for batch, (strings, info) in zip(x["batch"], packs, strict=True):
-            runs = []
-            for s, (h, _, hi) in zip(strings, info.tolist(), strict=True):
-                v = ids.get(s)
-                if v is None:
-                    continue
-                cut = [0, *(np.flatnonzero(v[1:] != v[:-1]) + 1).tolist(), len(v)]
-                tag = xxhash.xxh3_64_intdigest(s)
-                runs += [(h, tag, ALONE if s in alone else i, j, int(v[i])) for i, j in zip(cut[:-1], cut[1:], strict=True) if v[i] < hi]
-            if runs:
-                out_batch.append(batch)
-                out.append(np.array([(h, t - (1 << 64) if t >= 1 << 63 else t, i << 32 | j, lo) for h, t, i, j, lo in runs], "<i8").tobytes())
-        return pd.DataFrame({"batch": out_batch, "runs": out})
+        runs = judge(list(x["pack"]))
+        on = [k for k, r in enumerate(runs) if r]
+        return pd.DataFrame({"batch": x["batch"].to_numpy()[on], "runs": [runs[k] for k in on]})
 
     def third(key: tuple, x: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
         ids, texts = _rows(x)
         gone: dict[int, list[tuple[int, int]]] = {}
         if len(runs):
             r = np.concatenate([np.frombuffer(b, "<i8").reshape(-1, 4) for b in runs["runs"]])
-            known: dict[int, list[tuple[int, int, int]]] = {}  # by hash and minimiser together
+            known: dict[int, list[tuple[int, int, int]]] = {}  # by the string's hash
             crowded = set(r[r[:, 2] >> 32 == ALONE, 0].tolist())
             r[:, 2] &= np.where(r[:, 2] >> 32 == ALONE, 0xFFFFFFFF, -1)
-            for h, t, ij, lo in r.tolist():
-                known.setdefault(h << 64 | t & ((1 << 64) - 1), []).append((ij >> 32, ij & 0xFFFFFFFF, lo))
+            for _, t, ij, lo in r.tolist():
+                known.setdefault(t & ((1 << 64) - 1), []).append((ij >> 32, ij & 0xFFFFFFFF, lo))
             wanted = np.unique(r[:, 0]).astype(np.uint64)
             for at, (flat, h, _, a, b, doc) in _chunked(ids, texts):
                 base = np.cumsum([0, *(n for _, _, n in at)])
@@ -371,7 +411,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
                 on = wanted[k] == h
                 for hh, i, j, d in zip(h[on].tolist(), a[on].tolist(), b[on].tolist(), doc[on].tolist(), strict=True):
                     for u, v in [(i, j + LENGTH)] if hh not in crowded else [(w, w + LENGTH) for w in range(i, j + 1)]:
-                        for p, q, lo in known.get(hh << 64 | xxhash.xxh3_64_intdigest(flat[u:v]), ()):
+                        for p, q, lo in known.get(xxhash.xxh3_64_intdigest(flat[u:v]), ()):
                             place, offset, _ = at[d]
                             if lo < ids[place]:
                                 begin = u - int(base[d]) + offset

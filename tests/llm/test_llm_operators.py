@@ -541,19 +541,23 @@ def test_merged_transforms(letters):
     window = lambda p: text[p : p + 50].tobytes()
     for order, _ in shards:
         assert [window(p) for p in order] == sorted(window(p) for p in order)
-    merged, fresh = suffix_dedup.merge(shards)
+    merged = suffix_dedup.merge(shards)
     got = [window(p) for p in merged]
     assert sorted(merged) == sorted(np.concatenate(starts)) and got == sorted(got)
-    assert [bool(f) for f in fresh[1:]] == [x != y for x, y in zip(got, got[1:], strict=False)]
+    step = 50 - depths[0][0] if len(depths) == 1 else depths[-2][0]
+    shared = lambda x, y: next((i for i in range(50) if x[i] != y[i]), 50)
+    want = [n if n == 50 else n // step * step for n in (shared(x, y) for x, y in zip(got, got[1:], strict=False))]
+    assert suffix_dedup.prefixes(packed, merged, depths)[1:].tolist() == want
 
 
 def test_suffix_dedup_merge_decides(spark, monkeypatch):
     """Whatever goes, goes since an interval of the merged transforms says so."""
     strings = [words(12, 5).encode()[:70], words(12, 5).encode()[3:70]]
-    least = suffix_dedup.least_ids(strings, np.array([7, 4]))
-    assert [x.tolist() for x in least] == [[7] * 3 + [4] * 18, [4] * 18]
-    monkeypatch.setattr(suffix_dedup, "merge", lambda shards: (np.concatenate([o for o, _ in shards]), np.ones(sum(len(o) for o, _ in shards), bool)))
-    assert [x.tolist() for x in suffix_dedup.least_ids(strings, np.array([7, 4]))] == [[7] * 21, [4] * 18]
+    assert suffix_dedup.least_ids(strings, np.array([7, 4]))[0].tolist() == [7] * 3 + [4] * 36
+    docs = documents(spark, [(1, strings[0].decode()), (2, strings[1].decode())])
+    assert sorted(r.n_removed for r in suffix_dedup.deduplicate(docs).collect()) == [0, 67]
+    monkeypatch.setattr(suffix_dedup, "prefixes", lambda packed, merged, depths: np.zeros(len(merged), np.int64))
+    assert suffix_dedup.least_ids(strings, np.array([7, 4]))[0].tolist() == [7] * 21 + [4] * 18
 
 
 def test_suffix_dedup_pieces(spark, monkeypatch):
