@@ -109,7 +109,7 @@ def first_shared(codes: pd.Series, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def over_blocks(rows_of: Callable[[pd.DataFrame], Rows], group: str, key: str, count: str | None = None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """For mapInPandas over pair_blocks' rows sorted by (group, bi, bj): rows (a, b, n).
+    """For mapInPandas over pair_blocks' rows sorted by (group, bi, bj, key): rows (a, b, n).
 
     Rows of the same block are compared in (b, b) only. a is a row's key, b the key of the first row of its component here, n
     the sum of `count` over what it is linked to; rows without links give nothing.
@@ -163,5 +163,5 @@ def over_blocks(rows_of: Callable[[pd.DataFrame], Rows], group: str, key: str, c
 
 def compared(rows: DataFrame, rows_of: Callable[[pd.DataFrame], Rows], group: str, key: str, count: str | None = None) -> DataFrame:
     kind = rows.schema[key].dataType.simpleString()
-    together = rows.repartition(group, "bi", "bj").sortWithinPartitions(group, "bi", "bj")
+    together = rows.repartition(group, "bi", "bj").sortWithinPartitions(group, "bi", "bj", key)  # so the same rows lead a component in many groups
     return together.mapInPandas(over_blocks(rows_of, group, key, count), f"a {kind}, b {kind}, n long")
