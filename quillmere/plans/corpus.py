@@ -186,11 +186,20 @@ def chunks(spark, sf_dir):
     return chunking.build_chunks(x)
 
 
-@query(r"""SELECT doc_id, CASE WHEN len(list_filter(string_split(text, chr(10)), lambda l: length(l) - length(replace(l, '|', '')) >= 2)) >= 2 THEN 'table' ELSE 'flat_text' END AS layout_route,
-  CASE WHEN regexp_matches(lower(text), 'no (visible|readable) text|текст не обнаружен') THEN 'canned_no_text' WHEN doc_id % 2 = 0 AND len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) < 25 THEN 'too_short' END AS rejected FROM documents""")
+@query(r"""WITH d AS (SELECT *, CASE n_chars % 3 WHEN 0 THEN 'rotated_page' WHEN 1 THEN '' END AS configured, CASE n_chars % 5 WHEN 0 THEN 'Flowchart.png' ELSE 'page.png' END AS file_name,
+  regexp_replace(text, '^[ ]*[^ ]+', CASE n_chars % 4 WHEN 0 THEN 'No  visible text' WHEN 1 THEN 'I cannot text' WHEN 2 THEN 'Текст отсутствует' ELSE 'x' END) AS t FROM documents)
+SELECT doc_id, CASE WHEN len(list_filter(string_split(t, chr(10)), lambda l: length(l) - length(replace(l, '|', '')) >= 2)) >= 2 THEN 'table' WHEN regexp_matches(lower(file_name || ' ' || t), 'схема|diagram|flowchart') THEN CASE WHEN configured = 'rotated_page' THEN 'rotated_diagram' ELSE 'diagram' END ELSE coalesce(nullif(configured, ''), 'flat_text') END AS layout_route,
+  CASE WHEN regexp_matches(lower(t), '(^|[^\p{L}\p{N}_])(no\s+(visible|readable|recognizable)\s+text|(there is|i can(not|''t))\s+(no\s+)?(visible\s+)?text|текст\s+(не\s+виден|не\s+обнаружен|отсутствует))($|[^\p{L}\p{N}_])') THEN 'canned_no_text_response'
+    WHEN doc_id % 2 = 0 AND len(regexp_extract_all(t, '[\p{L}\p{N}_]+')) < 25 THEN 'decorative_or_too_short:' || len(regexp_extract_all(t, '[\p{L}\p{N}_]+')) || '_tokens' END AS rejected,
+  'sha256:' || sha256('{"max_pixels":' || n_chars || ',"model":"' || lang || '","rotate":' || CASE WHEN n_chars % 2 = 0 THEN 'true' ELSE 'false' END || ',"task":null}') AS recipe FROM d""")
 def ocr_admission(spark, sf_dir):
-    kind = F.when(F.col("doc_id") % 2 == 0, "embedded_image").otherwise("pdf_page")
-    return table(spark, sf_dir, "documents").select("doc_id", readers.layout_route(F.col("text"), F.lit(None).cast("string")).alias("layout_route"), readers.ocr_rejected(F.col("text"), kind, F.lit("dashscope:ocr"), text.token_count(F.col("text"))).alias("rejected"))
+    n = F.col("n_chars")
+    first = F.when(n % 4 == 0, "No  visible text").when(n % 4 == 1, "I cannot text").when(n % 4 == 2, "Текст отсутствует").otherwise("x")
+    d = table(spark, sf_dir, "documents").withColumn("t", F.regexp_replace("text", F.lit("^[ ]*[^ ]+"), first))
+    kind, configured = F.when(F.col("doc_id") % 2 == 0, "embedded_image").otherwise("pdf_page"), F.when(n % 3 == 0, "rotated_page").when(n % 3 == 1, "")
+    route = readers.layout_route(F.col("t"), configured, F.when(n % 5 == 0, "Flowchart.png").otherwise("page.png"))
+    recipe = readers.recipe_hash({"model": F.col("lang"), "max_pixels": n, "rotate": n % 2 == 0, "task": F.lit(None).cast("string")})
+    return d.select("doc_id", route.alias("layout_route"), readers.ocr_rejected(F.col("t"), kind, F.lit("dashscope:ocr")).alias("rejected"), recipe.alias("recipe"))
 
 
 @query(sql(FILES, select="""SELECT file_hash, 'img' || (doc_id % 3) AS image_id, max(doc_id) AS updated, count(*) AS stores FROM files GROUP BY 1, 2"""))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.functions import text
+from quillmere.operators import embedding
 from quillmere.operators import retrieval as ops
 from quillmere.plans.base import CONTENT, QUESTIONS, TOKENS, Part, sql
 from quillmere.sources.tables import questions, table
@@ -14,7 +15,7 @@ query = Part()
 
 
 def index(docs: DataFrame) -> DataFrame:
-    return ops.postings(docs, {"content_text": F.col("text"), "relative_path": F.concat_ws(" ", "source", "lang")})
+    return ops.tokenized(docs, {"content_text": F.col("text"), "relative_path": F.concat_ws(" ", "source", "lang")})
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,13 +56,13 @@ def question_set(spark, sf_dir):
 
 @query("WITH " + INDEX + " SELECT field, term, df, CAST(sum(tf) AS BIGINT) AS total FROM dfs JOIN postings USING (field, term) GROUP BY field, term, df")
 def inverted_index(spark, sf_dir):
-    x = index(table(spark, sf_dir, "documents"))
+    x = ops.postings(index(table(spark, sf_dir, "documents")))
     return x.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
 
 
 @query("WITH " + INDEX + " SELECT field, n, round(avgdl, 6) AS avgdl FROM fields")
 def field_statistics(spark, sf_dir):
-    return ops.statistics(index(table(spark, sf_dir, "documents")))[0].select("field", "n", F.round("avgdl", 6).alias("avgdl"))
+    return ops.statistics(index(table(spark, sf_dir, "documents"))).select("field", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query("WITH " + QUESTIONS + ", " + SETS + " SELECT query_id, CAST(o AS INTEGER) AS attempt, array_to_string(s, ' ') AS tokens FROM sets WHERE o > 0")
@@ -99,18 +100,45 @@ def vector_mmr(spark, sf_dir):
     return ops.mmr(ops.cosine_topk(v, v.where("vec_id % 20 = 0"), 70), v, 70)
 
 
+def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector leg: the nearest documents of each question under the default embedding model."""
+    model = embedding.default_provider()
+    docs = model.embed(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "vec_id")
+    asked = model.embed(_asked(spark, sf_dir), "query_id", "question").withColumnRenamed("query_id", "vec_id")
+    return ops.cosine_topk(docs, asked, 70, same=False)
+
+
 def _legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both legs of every question over documents: keywords with all tokens, and a second lexical leg on rarer words in place of an embedding model."""
+    """Both legs of every question over documents: vectors, and keywords with all tokens."""
     docs = table(spark, sf_dir, "documents")
-    asked, idx = _asked(spark, sf_dir), index(docs)
-    keyword = ops.keyword_search(idx, asked)
-    rare = asked.withColumn("question", F.array_join(F.slice(F.reverse(F.array_sort(F.transform(text.content_tokens(F.col("question")), lambda t: F.struct(F.length(t).alias("l"), t.alias("t"))))), 1, 2)["t"], " "))
-    second = ops.keyword_search(idx, rare, limit=70)
-    legs = second.select("query_id", "doc_id", F.lit("vector").alias("source"), F.col("keyword_rank").alias("rank")).unionByName(keyword.select("query_id", "doc_id", F.lit("keyword").alias("source"), F.col("keyword_rank").alias("rank")))
+    keyword = ops.keyword_search(index(docs), _asked(spark, sf_dir))
+    vector = _embedded(spark, sf_dir)
+    legs = vector.select("query_id", F.col("vec_id").alias("doc_id"), F.lit("vector").alias("source"), F.col("vector_rank").alias("rank")).unionByName(keyword.select("query_id", "doc_id", F.lit("keyword").alias("source"), F.col("keyword_rank").alias("rank")))
     return legs.join(docs.select("doc_id", F.md5(text.content_key(F.col("text"))).alias("content_key")), "doc_id").withColumn("document_key", F.col("doc_id").cast("string"))
 
 
-@query()
+# A text's tokens are dealt to 64 dimensions by their md5.
+EMBEDDED = ("toks AS (SELECT 'd' AS kind, doc_id AS id, unnest(" + TOKENS.format("text") + ") AS t FROM documents UNION ALL SELECT 'q', query_id, unnest(" + TOKENS.format("question") + ") FROM questions), "
+            "dims AS (SELECT kind, id, CAST('0x' || substr(md5(t), 1, 6) AS BIGINT) % 64 AS d, 1 + ln(CAST(count(*) AS DOUBLE)) AS w FROM toks GROUP BY 1, 2, 3), norms AS (SELECT kind, id, sqrt(sum(w * w)) AS n FROM dims GROUP BY 1, 2), "
+            "cosines AS (SELECT q.id AS query_id, v.id AS doc_id, sum(q.w * v.w) AS p FROM dims q JOIN dims v ON v.kind = 'd' AND q.kind = 'q' AND q.d = v.d GROUP BY 1, 2), "
+            "every AS (SELECT q.id AS query_id, v.id AS doc_id, round(coalesce(p, 0) / (q.n * v.n), 9) AS cosine FROM norms q JOIN norms v ON q.kind = 'q' AND v.kind = 'd' LEFT JOIN cosines c ON c.query_id = q.id AND c.doc_id = v.id), "
+            "embedded AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, doc_id) - 1 AS vector_rank FROM every QUALIFY vector_rank < 70)")
+# Rows of one content, or of one document where it has none, join the first of them.
+MERGED = (r"legs AS (SELECT query_id, doc_id, 0 AS leg, vector_rank AS rank FROM embedded UNION ALL SELECT query_id, doc_id, 1, keyword_rank FROM hits), "
+          r"keyed AS (SELECT l.*, CAST(l.doc_id AS VARCHAR) AS document_key, lower(trim(regexp_replace(d.text, '\s+', ' ', 'g'), ' ')) AS c FROM legs l JOIN documents d USING (doc_id)), "
+          "placed AS (SELECT *, coalesce(md5(c), 'id' || document_key) AS grp, row_number() OVER (PARTITION BY query_id ORDER BY leg, rank, document_key) AS place FROM keyed), "
+          "grouped AS (SELECT query_id, grp, min(place) AS place, arg_min(document_key, place) AS document_key, arg_min(rank, place) FILTER (WHERE leg = 0) AS vector_rank, arg_min(rank, place) FILTER (WHERE leg = 1) AS keyword_rank, "
+          "CASE WHEN bool_or(leg = 0) AND bool_or(leg = 1) THEN 'keyword,vector' WHEN bool_or(leg = 0) THEN 'vector' ELSE 'keyword' END AS sources, list(document_key ORDER BY place)[2:11] AS dropped FROM placed GROUP BY query_id, grp), "
+          "merged AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) - 1 AS merge_rank FROM grouped)")
+BOTH = "WITH " + QUESTIONS + ", " + INDEX + ", " + SETS + ", " + EXACT + ", " + SCORES + ", " + EMBEDDED + ", " + MERGED
+
+
+@query("WITH " + QUESTIONS + ", " + EMBEDDED + " SELECT query_id, doc_id, round(cosine, 6) AS cosine, vector_rank FROM embedded")
+def embedded_search(spark, sf_dir):
+    return _embedded(spark, sf_dir).select("query_id", F.col("vec_id").alias("doc_id"), F.round("cosine", 6).alias("cosine"), "vector_rank")
+
+
+@query(BOTH + " SELECT query_id, CAST(merge_rank AS INTEGER) AS merge_rank, document_key, vector_rank, keyword_rank, sources, array_to_string(dropped, ',') AS dropped FROM merged")
 def merged_candidates(spark, sf_dir):
     return ops.merge_candidates(_legs(spark, sf_dir)).withColumn("dropped", F.array_join("dropped", ","))
 
@@ -160,7 +188,17 @@ def fallback_rerank(spark, sf_dir):
     return ops.top_n(x.withColumn("fallback_score", F.round(score, 6)), "fallback_score", "keyword_rank", 10, "final_rank").select("query_id", "doc_id", "fallback_score", "final_rank")
 
 
-@query()
+HYBRID = (BOTH + ", pv AS (SELECT *, CASE WHEN vector_rank IS NOT NULL THEN row_number() OVER (PARTITION BY query_id, vector_rank IS NOT NULL ORDER BY vector_rank, merge_rank) END AS vp, CASE WHEN keyword_rank IS NOT NULL THEN row_number() OVER (PARTITION BY query_id, keyword_rank IS NOT NULL ORDER BY keyword_rank, merge_rank) END AS kp FROM merged), "
+          "fv AS (SELECT *, coalesce(1 / (60.0::DOUBLE + vp), 0) + coalesce(1 / (60.0::DOUBLE + kp), 0) AS rrf_score FROM pv), "
+          "fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, CASE WHEN vp IS NOT NULL THEN 0 WHEN kp IS NOT NULL THEN 1 ELSE 2 END, coalesce(vp, kp, merge_rank), merge_rank) - 1 AS fusion_rank FROM fv QUALIFY fusion_rank < 100), "
+          "joined AS (SELECT f.*, d.doc_id, lower(d.text) AS hay, lower(d.source || '/' || d.lang) AS path, list_filter(regexp_split_to_array(replace(lower(question), '-', ' '), '\\s+'), lambda t: t <> '') AS toks FROM fused f JOIN documents d ON d.doc_id = CAST(f.document_key AS BIGINT) JOIN questions q ON q.query_id = f.query_id), "
+          "counted AS (SELECT *, " + TERMS.format("hay") + " AS n, " + TERMS.format("path") + " AS m, len(toks) AS k FROM joined), "
+          "final AS (SELECT *, round(CASE WHEN vector_rank >= 0 THEN 1.0::DOUBLE / (vector_rank + 1) ELSE 0 END + CASE WHEN keyword_rank >= 0 THEN 1.6::DOUBLE / (keyword_rank + 1) ELSE 0 END + CASE WHEN n > 0 THEN n * 0.4::DOUBLE + CASE WHEN n = k THEN 1.2 ELSE 0 END ELSE 0 END + CASE WHEN m > 0 THEN m * 0.6::DOUBLE + CASE WHEN m = k THEN 0.9 ELSE 0 END ELSE 0 END + 0.3, 9) AS score FROM counted), "
+          "best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fusion_rank) - 1 AS final_rank FROM final QUALIFY final_rank < 10) "
+          "SELECT query_id, final_rank, doc_id, round(score, 6) AS score, round(rrf_score, 9) AS rrf_score, fusion_rank, sources, '[S' || (final_rank + 1) || ']' AS marker FROM best").replace("best AS (SELECT query_id, doc_id, st,", "firsts AS (SELECT query_id, doc_id, st,").replace("AS keyword_rank FROM best)", "AS keyword_rank FROM firsts)")
+
+
+@query(HYBRID)
 def hybrid_retrieval(spark, sf_dir):
     """Both legs, merged, fused, capped at 100, reranked, ten a question."""
     docs, asked = table(spark, sf_dir, "documents"), _asked(spark, sf_dir)
@@ -168,7 +206,7 @@ def hybrid_retrieval(spark, sf_dir):
     x = fused.withColumn("doc_id", F.col("document_key").cast("long")).join(docs, "doc_id").join(asked.select("query_id", "question"), "query_id")
     score = ops.fallback_score(F.col("question"), F.col("text"), F.concat_ws("/", "source", "lang"), {"vector_rank": F.col("vector_rank"), "keyword_rank": F.col("keyword_rank")})
     out = ops.top_n(x.withColumn("score", F.round(score, 9)), "score", "fusion_rank", 10, "final_rank")
-    return out.select("query_id", "final_rank", "doc_id", "score", F.round("rrf_score", 9).alias("rrf_score"), "fusion_rank", "sources", F.concat(F.lit("[S"), (F.col("final_rank") + 1).cast("string"), F.lit("]")).alias("marker"))
+    return out.select("query_id", "final_rank", "doc_id", F.round("score", 6).alias("score"), F.round("rrf_score", 9).alias("rrf_score"), "fusion_rank", "sources", F.concat(F.lit("[S"), (F.col("final_rank") + 1).cast("string"), F.lit("]")).alias("marker"))
 
 
 QUERIES, ORACLES = query.queries, query.oracles

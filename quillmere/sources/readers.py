@@ -168,16 +168,42 @@ def extract(files: DataFrame, ocr: Ocr | None = None) -> DataFrame:
     return x.mapInPandas(run, "file_id string, relative_path string, status string, method string, message string, ordinal long, source_type string, section string, text string")
 
 
-def ocr_rejected(text: Column, source_type: Column, provider: Column, tokens: Column) -> Column:
-    """Why an OCR text is not admitted, or null."""
-    canned = F.lower(text).rlike("no (visible|readable) text|текст не обнаружен")
-    return F.when(canned, "canned_no_text").when((source_type == "embedded_image") & provider.startswith("dashscope") & (tokens < 25), "too_short")
-
-
-def layout_route(text: Column, configured: Column) -> Column:
-    """table where two lines or more hold two pipes each, else what is configured, else flat_text."""
+# Answers of OCR models that say that there is no text.
+CANNED = (
+    r"\bno\s+(visible|readable|recognizable)\s+text\b",
+    r"\b(there is|i can(not|'t))\s+(no\s+)?(visible\s+)?text\b",
+    r"\bтекст\s+(не\s+виден|не\s+обнаружен|отсутствует)\b",
+)
+DIAGRAM = ("схема", "diagram", "flowchart")
+
+
+def ocr_rejected(text: Column, source_type: Column, provider: Column) -> Column:
+    """Why an OCR text is not admitted, or null: a canned answer, or an embedded picture with fewer than 25 words."""
+    body = F.trim(text)
+    canned = F.lit(False)
+    for pattern in CANNED:
+        canned |= body.rlike(f"(?iU){pattern}")
+    words = F.regexp_count(body, F.lit(r"[\p{L}\p{N}_]+"))
+    short = (source_type == "embedded_image") & provider.startswith("dashscope") & (words < 25)
+    return F.when(canned, "canned_no_text_response").when(short, F.concat(F.lit("decorative_or_too_short:"), words.cast("string"), F.lit("_tokens")))
+
+
+def layout_route(text: Column, configured: Column, file_name: Column | None = None) -> Column:
+    """table where two lines or more hold two pipes each; diagram where the text or file name says so, rotated if the page is; else what is configured, else flat_text."""
     pipes = F.size(F.filter(F.split(text, "\n"), lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit(""))) >= 2))
-    return F.when(pipes >= 2, "table").otherwise(F.coalesce(configured, F.lit("flat_text")))
+    said = F.lower(F.concat_ws(" ", file_name if file_name is not None else F.lit(""), text))
+    drawn = F.lit(False)
+    for word in DIAGRAM:
+        drawn |= F.contains(said, F.lit(word))
+    turned = F.when(configured == "rotated_page", "rotated_diagram").otherwise("diagram")
+    return F.when(pipes >= 2, "table").when(drawn, turned).otherwise(F.coalesce(F.when(configured != "", configured), F.lit("flat_text")))
+
+
+def recipe_hash(recipe: dict[str, Column]) -> Column:
+    """What an OCR result depends on, as the hash of its canonical JSON: sorted keys, no blanks, nulls written."""
+    one = lambda k, c: F.concat(F.lit(f'"{k}":'), F.coalesce(F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2), F.lit("null")))
+    body = F.concat(F.lit("{"), F.concat_ws(",", *[one(k, recipe[k]) for k in sorted(recipe)]), F.lit("}"))
+    return F.concat(F.lit("sha256:"), F.sha2(body, 256))
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
