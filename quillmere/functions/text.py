@@ -7,21 +7,27 @@ from pyspark.sql import functions as F
 
 # Endings taken off a token, longest alternatives first, and query words without content.
 ENDINGS = "(иями|ями|ами|ого|его|ому|ему|ыми|ими|ов|ев|ей|ый|ий|ой|ая|яя|ое|ее|ам|ям|ах|ях|ом|ем|а|я|ы|и|у|ю|е|о|ь)$"
-STOPWORDS = "а без в во где для до есть если имеет из или и как каки каку каков когда кто к ко ли на не но об о от по почему при про найт с со что".split()
+STOPWORDS = [
+    "а", "без", "в", "во", "где", "для", "до", "есть", "если", "имеет", "из", "или", "и", "как", "каки", "каку", "каков", "когда", "кто", "к", "ко", "ли",
+    "на", "не", "но", "об", "о", "от", "по", "почему", "при", "про", "найт", "с", "со", "что",
+]
 REFUSALS = ("No indexed evidence was enough to answer.",)
 MAX_SETS, MAX_DROP = 24, 8
 WORD = r"[\p{L}\p{N}_]+"
 
 
 def stem(token: Column) -> Column:
-    """Endings go one after the other while more than four characters are left; a token holds at most 30 of them here."""
+    """Endings go one after the other while more than four characters are left, as many as the token has letters at most."""
     low = F.replace(F.lower(token), F.lit("ё"), F.lit("е"))
     cut = lambda t: F.when(F.length(t) > 4, F.regexp_replace(t, ENDINGS, "")).otherwise(t)
-    return F.when(low.rlike(r"\p{IsCyrillic}"), F.aggregate(F.sequence(F.lit(1), F.lit(30)), low, lambda t, _: cut(t))).otherwise(low)
+    return F.when(low.rlike(r"\p{IsCyrillic}"), F.aggregate(F.sequence(F.lit(1), F.length(low)), low, lambda t, _: cut(t))).otherwise(low)
 
 
 def tokens(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.replace(F.lower(text), F.lit("-"), F.lit(" ")), F.lit(WORD), F.lit(0)), stem)
+    """Lower-cased words, stemmed; texts without Cyrillic letters have nothing to stem."""
+    low = F.replace(F.lower(text), F.lit("-"), F.lit(" "))
+    found = F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    return F.when(low.rlike(r"\p{IsCyrillic}"), F.transform(found, stem)).otherwise(found)
 
 
 def normalize(text: Column) -> Column:

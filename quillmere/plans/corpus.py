@@ -10,7 +10,7 @@ from quillmere.operators import chunking
 from quillmere.operators import corpus as ops
 from quillmere.plans.base import CATALOG, CONTENT, ELEMENTS, FILES, TOKENS, Part, sql
 from quillmere.sources import readers
-from quillmere.sources.tables import catalog, elements, files, table
+from quillmere.sources.tables import catalog, elements, files, spread, table
 
 query = Part()
 NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
@@ -65,7 +65,7 @@ def heading_sections(spark, sf_dir):
 @query(r"SELECT doc_id, CAST(len(" + TOKENS.format("text") + r") AS INTEGER) AS n_tokens, CAST(len(" + CONTENT.format("text") + r") AS INTEGER) AS n_content, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS INTEGER) AS n_units, md5(array_to_string(" + TOKENS.format("text") + ", ' ')) AS normalized_md5 FROM documents")
 def search_text(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.tokens(t)).alias("n_tokens"), F.size(text.content_tokens(t)).alias("n_content"), text.token_count(t).alias("n_units"), F.md5(text.normalize(t)).alias("normalized_md5"))
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.size(text.tokens(t)).alias("n_tokens"), F.size(text.content_tokens(t)).alias("n_content"), text.token_count(t).alias("n_units"), F.md5(text.normalize(t)).alias("normalized_md5"))
 
 
 @query(r"""SELECT doc_id, 'content_sha256:' || substr(sha256(trim(text, ' ')), 1, 12) AS fingerprint, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '))) AS content_key_md5,

@@ -9,13 +9,13 @@ from quillmere.functions import text
 from quillmere.operators import embedding
 from quillmere.operators import retrieval as ops
 from quillmere.plans.base import CONTENT, QUESTIONS, TOKENS, Part, sql
-from quillmere.sources.tables import questions, table
+from quillmere.sources.tables import questions, spread, table
 
 query = Part()
 
 
 def index(docs: DataFrame) -> DataFrame:
-    return ops.tokenized(docs, {"content_text": F.col("text"), "relative_path": F.concat_ws(" ", "source", "lang")})
+    return ops.tokenized(spread(docs, "doc_id"), {"content_text": F.col("text"), "relative_path": F.concat_ws(" ", "source", "lang")})
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +103,7 @@ def vector_mmr(spark, sf_dir):
 def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vector leg: the nearest documents of each question under the default embedding model."""
     model = embedding.default_provider()
-    docs = model.embed(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "vec_id")
+    docs = model.embed(spread(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", "text").withColumnRenamed("doc_id", "vec_id")
     asked = model.embed(_asked(spark, sf_dir), "query_id", "question").withColumnRenamed("query_id", "vec_id")
     return ops.cosine_topk(docs, asked, 70, same=False)
 

@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """A table of fewer files than there are cores is dealt to all of them: one row group would keep one core busy. Larger ones stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if len(rows.inputFiles()) < cores else rows
+
+
 def files(docs: DataFrame) -> DataFrame:
     """A manifest row for each document, as if it were a text file below its source and language."""
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
@@ -40,4 +46,4 @@ def questions(bench: DataFrame) -> DataFrame:
     return bench.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(content_tokens(F.col("text")), 1, 6), " ").alias("question"), F.substring(collapse(F.col("text")), 1, 80).alias("gold_start"))
 
 
-__all__ = ["blank_to_null", "catalog", "elements", "files", "questions", "table"]
+__all__ = ["blank_to_null", "catalog", "elements", "files", "questions", "spread", "table"]
