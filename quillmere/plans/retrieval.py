@@ -209,4 +209,16 @@ def hybrid_retrieval(spark, sf_dir):
     return out.select("query_id", "final_rank", "doc_id", F.round("score", 6).alias("score"), F.round("rrf_score", 9).alias("rrf_score"), "fusion_rank", "sources", F.concat(F.lit("[S"), (F.col("final_rank") + 1).cast("string"), F.lit("]")).alias("marker"))
 
 
+@query("WITH " + NEAREST + """, c AS (SELECT query_id, vec_id, vector_rank, CASE WHEN vec_id % 3 = 0 THEN CAST(vec_id % 17 AS DOUBLE) END AS score, vec_id % 5 AS fallback FROM ranked WHERE vector_rank < 30),
+m AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score IS NULL, score DESC, fallback DESC, vector_rank) - 1 AS r FROM c), f AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY fallback DESC, vector_rank) - 1 AS r FROM c)
+SELECT query_id, CAST(vec_id AS VARCHAR) AS document_key, r AS final_rank, 'model' AS reranker, NULL AS fallback_reason FROM m WHERE r < 10 UNION ALL SELECT query_id, CAST(vec_id AS VARCHAR), r, 'fallback:deterministic', 'reranker_unsupported:other' FROM f WHERE r < 10""")
+def reranked(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    x = ops.cosine_topk(v, v.where("vec_id % 20 = 0"), 30)
+    c = x.select("query_id", F.col("vec_id").cast("string").alias("document_key"), F.col("vector_rank").alias("rank"), (F.col("vec_id") % 5).cast("double").alias("fallback_score"))
+    scored = lambda rows: rows.where("cast(document_key as long) % 3 = 0").select("query_id", "document_key", (F.col("document_key").cast("long") % 17).cast("double").alias("score"))
+    both = ops.rerank(c, 10, "model", scored).unionByName(ops.rerank(c, 10, "other"))
+    return both.select("query_id", "document_key", "final_rank", "reranker", "fallback_reason")
+
+
 QUERIES, ORACLES = query.queries, query.oracles

@@ -216,6 +216,23 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
+def read_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with their physical line numbers, errors) of an artefact of JSON lines: what can't be read is an error row and no exception.
+
+    Blank lines count but give no rows. A missing path is one error. Artefacts of one run are read whole, file by file.
+    """
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    errors = "path string, line long, message string"
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        rows = spark.createDataFrame([], f"line long, {schema}")
+        return rows, spark.createDataFrame([(path, None, "required artifact missing")], errors)
+    each = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "t")).where(F.trim("t") != "")
+    parsed = each.select((F.col("n") + 1).cast("long").alias("line"), F.from_json("t", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    bad = F.col("r").isNull() | F.col("r._bad").isNotNull()
+    failed = parsed.where(bad).select(F.lit(path).alias("path"), "line", F.lit("not valid JSON").alias("message"))
+    return parsed.where(~bad).select("line", "r.*").drop("_bad"), failed
+
+
 def load_catalog(spark: SparkSession, path: str) -> DataFrame:
     """An authority catalogue of JSON: a list of entries or a mapping by path. The last entry of a path wins; other shapes are errors."""
     raw = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))

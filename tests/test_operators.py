@@ -277,3 +277,60 @@ def test_gold_short_items(spark, tmp_path):
     spark.createDataFrame([(1, "one two"), (2, long), (3, "f g h i j k l")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(10, "say one  two three"), (11, long), (12, "e f g h i j k l m"), (13, "two one")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted((r.query_id, r.id) for r in evaluation.gold(spark, str(tmp_path)).collect()) == [(1, 10), (2, 11), (3, 12)]
+
+
+def test_metric_names():
+    from quillmere.operators import audit
+
+    assert audit.metric_names(" ") == ["faithfulness", "answer_relevancy"]
+    assert audit.metric_names("Response-Relevancy, id_based_context_recall") == ["answer_relevancy", "id_context_recall"]
+    assert audit.metric_names("off", allow_none=True) == []
+    with pytest.raises(ValueError, match="unsupported metrics: bleu"):
+        audit.metric_names("bleu,faithfulness")
+
+
+def test_collection_identity(spark, tmp_path):
+    from quillmere.operators import embedding
+
+    docs = spark.createDataFrame([(1, "one two two"), (2, None), (3, "three"), (3, "three")], "chunk_id long, embedding_text string")
+    model = embedding.default_provider(8)
+    rows = embedding.index_vectors(docs, model)
+    assert sorted((r.chunk_id, r.error) for r in rows.collect() if r.error) == [(2, "no vector"), (3, "repeated id 3"), (3, "repeated id 3")]
+    good, path = rows.where("error is null"), str(tmp_path / "c")
+    embedding.write_collection(good, path, model.identity)
+    embedding.write_collection(good, path, model.identity)
+    assert spark.read.parquet(f"{path}/vectors").count() == 2 and embedding.read_identity(spark, path) == model.identity
+    with pytest.raises(ValueError, match="configuration names"):
+        embedding.write_collection(good, path, embedding.default_provider(16).identity)
+    embedding.write_collection(good, path, embedding.default_provider(16).identity, reset=True)
+    assert embedding.read_identity(spark, path).embedding_dimensions == 16
+
+
+def test_read_lines(spark, tmp_path):
+    from quillmere.sources import readers
+
+    (tmp_path / "a.jsonl").write_text('{"id": 1}\n\n{"id": \n{"id": 4}\n')
+    rows, errors = readers.read_lines(spark, str(tmp_path / "a.jsonl"), "id long")
+    assert sorted(map(tuple, rows.collect())) == [(1, 1), (4, 4)] and [(r.line, r.message) for r in errors.collect()] == [(3, "not valid JSON")]
+    rows, errors = readers.read_lines(spark, str(tmp_path / "none.jsonl"), "id long")
+    assert rows.count() == 0 and errors.first().message == "required artifact missing"
+
+
+def test_settings():
+    from quillmere.sources import settings
+
+    env = settings.parse_env("# c\nexport A='x y'\nB= \nC=7\nD=seven\nE=on\n")
+    assert (settings.text(env, "A"), settings.text(env, "B", "d"), settings.whole(env, "C"), settings.whole(env, "D", 3), settings.whole(env, "C", least=9), settings.flag(env, "E"), settings.flag(env, "B", True)) == ("x y", "d", 7, 3, 9, True, True)
+
+
+def test_missing_scores_count_nothing(spark):
+    row = spark.createDataFrame([("b", "a", "p", 0)], "q string, t string, p string, r int")
+    got = row.select(retrieval.fallback_score(F.col("q"), F.col("t"), F.col("p"), {"vector_rank": F.col("r")})).first()[0]
+    assert got == pytest.approx(1.3)
+
+
+def test_stem_long_word(spark):
+    from quillmere.functions import text
+
+    word = "слово" + "ами" * 40
+    assert spark.createDataFrame([(word,)], "w string").select(text.stem(F.col("w"))).first()[0] == "слов"
