@@ -7,9 +7,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import byte_quality, decontaminate, main_text, mixing, near_vectors, secrets, suffix_dedup, text_join, token_files, toxicity, twins
+from quillmere.llm import alignment, byte_quality, decontaminate, main_text, mixing, near_vectors, packing, resampling, secrets, suffix_dedup, text_join, token_files, toxicity, twins
 from quillmere.llm.common import new_path, table
 
+
 def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -57,5 +58,17 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_near_vectors, op2_main_text, op3_token_files, op4_toxicity, op5_mix, op6_secrets, op7_byte_quality, op8_suffix_dedup, op9_decontaminate, op10_jaccard_join)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_near_vectors, op2_main_text, op3_token_files, op4_toxicity, op5_mix, op6_secrets, op7_byte_quality, op8_suffix_dedup, op9_decontaminate, op10_jaccard_join, op11_importance_resampling, op12_best_fit_packing, op13_token_alignment)}
 ORACLES: dict[str, str] = twins.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -46,4 +46,18 @@ nodes AS (SELECT doc_id AS id FROM documents), {REACH},
 c AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id), m AS (SELECT a, count(*) AS m FROM links GROUP BY a), k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS class_id FROM n)
 SELECT id AS doc_id, coalesce(class_id, id) AS class_id, coalesce(m, 0) AS n_links, component_id, id = component_id AS kept FROM c LEFT JOIN m ON m.a = c.id LEFT JOIN k ON k.doc_id = c.id"""
 
-ORACLES = {"op1_near_vectors": OP1, "op5_mix": OP5, "op6_secrets": OP6, "op10_jaccard_join": OP10}
+OP11 = r"""WITH x AS (SELECT TRUE AS doc, row_number() OVER () AS row, doc_id, text FROM documents UNION ALL SELECT FALSE, -row_number() OVER (), NULL, text FROM benchmark),
+w AS (SELECT doc, row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM x),
+f AS (SELECT doc, row, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM w),
+k AS (SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY b) AS t FROM range(256) r(b)),
+u AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)),
+c AS (SELECT f, xor(list_reduce(list_transform(range(-1, CAST(len(h) // 2 AS BIGINT)), lambda i: CASE WHEN i < 0 THEN 4294967295 ELSE CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT) END), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM u, k),
+n AS (SELECT bucket, count(*) FILTER (WHERE doc) AS s, count(*) FILTER (WHERE NOT doc) AS t FROM f JOIN c USING (f) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS gain FROM n),
+m AS (SELECT row, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM f JOIN c USING (f) JOIN g USING (bucket) WHERE doc GROUP BY row),
+v AS (SELECT doc_id, row, coalesce(n, 0) AS n_features, len(w) AS words, coalesce(CAST((total - ((total % n) + n) % n) // n AS BIGINT), 0) AS weight, CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN m USING (row) WHERE doc),
+o AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM v),
+r AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER (PARTITION BY words >= 20) AS fit FROM o)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= 25 * fit // 100 THEN place END AS rank FROM r"""
+
+ORACLES = {"op1_near_vectors": OP1, "op5_mix": OP5, "op6_secrets": OP6, "op10_jaccard_join": OP10, "op11_importance_resampling": OP11}
