@@ -75,7 +75,9 @@ def content_key(text: Column) -> Column:
 
 
 def single_line(text: Column, limit: int) -> Column:
-    return F.substring(collapse(text), 1, limit)
+    """White space as single blanks; a longer text ends with an ellipsis behind its first limit - 1 characters."""
+    one = collapse(text)
+    return F.when(F.length(one) <= limit, one).otherwise(F.concat(F.rtrim(F.substring(one, 1, limit - 1)), F.lit("...")))
 
 
 def preview(text: Column, limit: int) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillmere.functions.text import single_line
+
 # What the contract allows.
 BEHAVIOURS = ("cite_answer", "refuse_if_not_found", "surface_conflict")
 LANES = ("indexed_answerability", "conflict_version_behavior", "refusal_out_of_corpus_behavior", "known_missing_document_coverage")
@@ -167,8 +169,19 @@ def artefact_rows(examples: DataFrame, metrics: list[DataFrame], scores: DataFra
     return out
 
 
-def packet_report(packets: DataFrame) -> Column:
-    """A packet as Markdown: a heading, its status, behaviour and lane, its quotes as a list, and its notes. Columns: id, gold_status, expected_behavior, lane, evidence, notes."""
-    item = lambda a, label: F.when(F.size(a) > 0, F.concat(F.lit(f"\n{label}:\n\n"), F.array_join(F.transform(a, lambda e: F.concat(F.lit("- "), F.regexp_replace(F.trim(e), r"\s+", " "))), "\n"), F.lit("\n"))).otherwise("")
-    line = lambda k: F.concat(F.lit(f"- {k}: `"), F.coalesce(F.col(c := {"status": "gold_status", "behavior": "expected_behavior", "lane": "lane"}[k]), F.lit("None")), F.lit("`\n"))  # noqa: E731, F841
-    return F.concat(F.lit("## "), F.col("id"), F.lit("\n\n"), line("status"), line("behavior"), line("lane"), item(F.col("evidence"), "Evidence"), item(F.col("notes"), "Notes"))
+def packet_report() -> Column:
+    """A packet as Markdown. Columns: id, gold_status, expected_behavior, lane, question, current_reference_answer, current_reference_context_ids and review_notes (arrays), evidence (array of chunk_id, citation_id, relative_path, text)."""
+    said = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    line = lambda label, c, mark="": F.concat(F.lit(f"- {label}: {mark}"), said(c), F.lit(f"{mark}\n"))
+    quote = lambda e: F.concat(F.lit("- `"), said(e["chunk_id"]), F.lit("`\n  - citation: `"), said(e["citation_id"]), F.lit("`\n  - source: `"), said(e["relative_path"]), F.lit("`\n  - text: "), single_line(F.coalesce(e["text"], F.lit("")), 500))
+    some = lambda c, one: F.when(F.size(c) > 0, F.array_join(F.transform(c, one), "\n")).otherwise("- none")
+    ids = F.when(F.size("current_reference_context_ids") > 0, F.array_join("current_reference_context_ids", ", ")).otherwise("")
+    head = [line("status", F.col("gold_status"), "`"), line("behavior", F.col("expected_behavior"), "`"), line("lane", F.col("lane"), "`"), line("question", F.col("question")), line("current answer", F.col("current_reference_answer")), line("reference_context_ids", ids, "`")]
+    notes = some(F.col("review_notes"), lambda n: F.concat(F.lit("- "), n))
+    return F.concat(F.lit("## "), said(F.col("id")), F.lit("\n\n"), *head, F.lit("\n### Review Notes\n"), notes, F.lit("\n\n### Evidence\n"), some(F.col("evidence"), quote), F.lit("\n"))
+
+
+def write_packets(packets: DataFrame, path: str) -> None:
+    """Packets as Markdown in order of id, a file for each range of ids."""
+    body = packets.select("id", packet_report().alias("value")).repartitionByRange("id").sortWithinPartitions("id")
+    body.select("value").write.mode("overwrite").text(path)

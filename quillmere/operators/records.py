@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 # Fields that every event may carry, and those of each kind.
@@ -81,13 +85,27 @@ def live_sessions(sessions: DataFrame, users: DataFrame, now: Column) -> DataFra
 
 
 def first_claims(claims: DataFrame, stale_minutes: int = 30) -> DataFrame:
-    """Claims that win: the first of a key, and each later one that comes at least stale_minutes after the last winner. claims: key, claimed_at, event_id.
+    """Claims that win: the first of a key, and each later one that comes more than stale_minutes after the last winner. claims: key, claimed_at, event_id.
 
-    The rule looks at the last winner, so it runs over each key's claims in order; a key's claims are one message's retries.
+    Each task reads its keys' claims in order and remembers the last winner alone, however many claims a key has.
     """
-    us = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("claimed_at").cast("timestamp")).alias("at"), "event_id")))
-    wins = F.aggregate("cs", F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("won")), lambda a, c: F.when(a["last"].isNull() | (c["at"] - a["last"] >= stale_minutes * 60_000_000), F.struct(c["at"].alias("last"), F.concat(a["won"], F.array(c["event_id"])).alias("won"))).otherwise(a))
-    return claims.groupBy("key").agg(us.alias("cs")).select("key", F.explode(wins["won"]).alias("event_id"))
+    stale = stale_minutes * 60_000_000
+    kinds = [to_arrow_type(claims.schema[c].dataType) for c in ("key", "event_id")]
+
+    def won(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for b in batches:
+            keep = []
+            for k, at in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if last is None or k != key or at - last > stale:
+                    key, last = k, at
+                    keep.append(True)
+                else:
+                    keep.append(False)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())).cast(t) for c, t in zip(b.columns, kinds, strict=False)], ["key", "event_id"])
+
+    rows = claims.select("key", "event_id", F.unix_micros(F.col("claimed_at").cast("timestamp")).alias("at"))
+    return rows.repartition("key").sortWithinPartitions("key", "at", "event_id").mapInArrow(won, StructType([claims.schema["key"], claims.schema["event_id"]]))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, columns: list[str], replace: Column) -> DataFrame:

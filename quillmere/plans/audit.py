@@ -139,11 +139,18 @@ def vector_index(spark, sf_dir):
     return x.select("doc_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v), 6).alias("total"), F.when(F.col("embedding").isNotNull(), used).alias("used"), "error", F.array_join(embedding.mismatch(found, model.identity), ",").alias("differs"))
 
 
-@query(r"""SELECT '## d' || doc_id || chr(10) || chr(10) || '- status: `' || CASE n_chars % 2 WHEN 0 THEN 'resolved' ELSE 'missing' END || '`' || chr(10) || '- behavior: `cite_answer`' || chr(10) || '- lane: `' || lang || '`' || chr(10) || CASE WHEN n_chars % 2 = 0 THEN chr(10) || 'Evidence:' || chr(10) || chr(10) || '- ' || trim(regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g'), ' ') || chr(10) ELSE '' END AS packet FROM documents""")
+@query(r"""WITH d AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS one, source = (SELECT min(source) FROM documents) AS bare FROM documents)
+SELECT '## d' || doc_id || chr(10) || chr(10) || '- status: `' || CASE WHEN bare THEN 'missing' ELSE 'ready_for_review' END || '`' || chr(10) || '- behavior: `cite_answer`' || chr(10) || '- lane: `' || lang || '`' || chr(10) || '- question: What does ' || source || ' say?' || chr(10) || '- current answer: ' || lang || chr(10) || '- reference_context_ids: `' || CASE WHEN bare THEN '' ELSE 'c' || doc_id || ', f' || doc_id END || '`' || chr(10)
+  || chr(10) || '### Review Notes' || chr(10) || CASE WHEN bare THEN '- no evidence' ELSE '- none' END || chr(10) || chr(10) || '### Evidence' || chr(10) || CASE WHEN bare THEN '- none' ELSE '- `c' || doc_id || '`' || chr(10) || '  - citation: `' || source || '#' || doc_id || '`' || chr(10) || '  - source: `' || source || '/' || doc_id || '.txt`' || chr(10) || '  - text: ' || CASE WHEN length(one) > 500 THEN rtrim(substr(one, 1, 499), ' ') || '...' ELSE one END END || chr(10) AS packet FROM d""")
 def packet_report(spark, sf_dir):
-    n = F.col("n_chars")
-    x = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.when(n % 2 == 0, "resolved").otherwise("missing").alias("gold_status"), F.lit("cite_answer").alias("expected_behavior"), F.col("lang").alias("lane"), F.when(n % 2 == 0, F.array(F.substring("text", 1, 60))).otherwise(F.array().cast("array<string>")).alias("evidence"), F.array().cast("array<string>").alias("notes"))
-    return x.select(audit.packet_report(x).alias("packet"))
+    docs = table(spark, sf_dir, "documents")
+    bare = F.col("source") == docs.agg(F.min("source")).first()[0]
+    i = F.col("doc_id").cast("string")
+    named = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    chunk = F.struct(named("c", i).alias("chunk_id"), named(F.col("source"), "#", i).alias("citation_id"), named(F.col("source"), "/", i, ".txt").alias("relative_path"), F.col("text").alias("text"))
+    x = docs.select(named("d", i).alias("id"), F.when(bare, "missing").otherwise("ready_for_review").alias("gold_status"), F.lit("cite_answer").alias("expected_behavior"), F.col("lang").alias("lane"), named("What does ", F.col("source"), " say?").alias("question"), F.col("lang").alias("current_reference_answer"),
+                    F.when(~bare, F.array(named("c", i), named("f", i))).alias("current_reference_context_ids"), F.when(bare, F.array(F.lit("no evidence"))).alias("review_notes"), F.when(~bare, F.array(chunk)).alias("evidence"))
+    return x.select(audit.packet_report().alias("packet"))
 
 
 @query(r"""WITH d AS (SELECT *, split_part(text, ' ', 2) AS w FROM documents), m AS (SELECT doc_id, lower(source || '.txt' || chr(10) || lang || '/' || source) AS hay, lower(trim(regexp_replace(CASE n_chars % 3 WHEN 0 THEN '' WHEN 1 THEN '  ' || upper(lang) || ' ' ELSE w END, '\s+', ' ', 'g'), ' ')) AS q, row_number() OVER (ORDER BY n_chars, source || doc_id) - 1 AS place, n_chars FROM d)

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from quillmere.operators import records as ops
 from quillmere.plans.base import Part
-from quillmere.sources.tables import table
+from quillmere.sources.tables import shared_path, table
+from quillmere.streaming import claims as streamed
 from quillmere.streaming import events as streams
+from quillmere.streaming.claims import keyed_state
 
 query = Part()
 NAMES = {"signup": "app.started", "purchase": "query.completed", "error": "dependency.unavailable", "view": "eval.completed", "click": "web_query.completed"}
@@ -76,12 +75,38 @@ def live_sessions(spark, sf_dir):
     return ops.live_sessions(s, u, now).select("session", "user_id")
 
 
-@query("""WITH RECURSIVE c AS (SELECT user_id AS key, event_id, ts FROM events), f AS (SELECT key, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS k FROM c) WHERE k = 1
-  UNION ALL SELECT key, event_id, ts FROM (SELECT c.*, row_number() OVER (PARTITION BY c.key ORDER BY c.ts, c.event_id) AS k FROM f JOIN c ON c.key = f.key AND c.ts >= f.ts + INTERVAL 30 MINUTES) WHERE k = 1) SELECT key, event_id FROM f""")
+CLAIMS = """WITH RECURSIVE c AS (SELECT user_id AS key, event_id, ts FROM events), f AS (SELECT key, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS k FROM c) WHERE k = 1
+  UNION ALL SELECT key, event_id, ts FROM (SELECT c.*, row_number() OVER (PARTITION BY c.key ORDER BY c.ts, c.event_id) AS k FROM f JOIN c ON c.key = f.key AND c.ts > f.ts + INTERVAL 30 MINUTES) WHERE k = 1) SELECT key, event_id FROM f"""
+
+
+@query(CLAIMS)
 def response_claims(spark, sf_dir):
     return ops.first_claims(table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("claimed_at"), "event_id"))
 
 
+@query(CLAIMS)
+def streamed_claims(spark, sf_dir):
+    """The same winners from a stream that is started anew for each of four slices of arrival: claims arrive up to two hours late, and some twice."""
+    claims = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("claimed_at"), "event_id", "event_type")
+    late = F.pmod(F.xxhash64("event_id"), F.lit(7200))
+    arrival = lambda more: F.unix_seconds("claimed_at") + late + more
+    sent = claims.withColumn("arrival", arrival(0)).unionByName(claims.where("event_type = 'purchase'").withColumn("arrival", arrival(1800)))
+    first, last = sent.agg(F.min("arrival"), F.max("arrival")).first()
+    slices = 4
+    number = F.least(F.lit(slices - 1), F.floor((F.col("arrival") - first) * slices / F.lit(max(1, last - first))))
+    at = shared_path(spark, "claims")
+    sent.withColumn("slice", number.cast("int")).select("key", "claimed_at", "event_id", "slice").write.partitionBy("slice").parquet(f"{at}/slices")
+    tick = spark.sql(f"SELECT 0L AS key, timestamp_seconds({last + 86_400}) AS claimed_at, CAST(NULL AS BIGINT) AS event_id")
+    with keyed_state(spark):
+        for k in range(slices):
+            rows = spark.read.parquet(f"{at}/slices/slice={k}").select("key", "claimed_at", "event_id")
+            (rows.unionByName(tick) if k == slices - 1 else rows).write.mode("append").parquet(f"{at}/arrived")
+            stream = spark.readStream.schema("key long, claimed_at timestamp, event_id long").parquet(f"{at}/arrived")
+            save = lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/won/batch={n}")
+            streamed.claims(stream).writeStream.outputMode("append").foreachBatch(save).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/won").select("key", "event_id")
+
+
 @query("""WITH o AS (SELECT c_custkey AS user_id, c_mktsegment AS status, c_name AS name FROM customer WHERE c_custkey % 3 <> 0), w AS (SELECT c_custkey AS user_id, 'NEW' AS status, 'n' || c_custkey AS name FROM customer WHERE c_custkey % 2 = 0)
 SELECT coalesce(o.user_id, w.user_id) AS user_id, CASE WHEN o.user_id IS NULL OR (w.user_id IS NOT NULL AND o.status = 'BUILDING') THEN w.status ELSE o.status END AS status, CASE WHEN o.user_id IS NULL OR (w.user_id IS NOT NULL AND o.status = 'BUILDING') THEN w.name ELSE o.name END AS name FROM o FULL JOIN w ON o.user_id = w.user_id""")
 def user_upsert(spark, sf_dir):
@@ -103,8 +128,7 @@ def streamed_counts(spark, sf_dir):
     """Hourly counts from a stream that reads the table as it would read arriving files, until nothing is left."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()  # a cluster names a shared folder; one machine need not
-    at = f"{shared.rstrip('/')}/counts-{uuid.uuid4().hex[:12]}"
+    at = shared_path(spark, "counts")
     counts = streams.windowed_counts(stream, late="3650 days")
     save = lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/out")
     counts.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()

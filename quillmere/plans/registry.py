@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillmere.plans import answers, audit, corpus, evaluation, packets, records, retrieval
+from quillmere.plans import answers, audit, corpus, evaluation, operations, packets, records, retrieval
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for part in (corpus, retrieval, answers, evaluation, packets, records, audit):
+for part in (corpus, retrieval, answers, evaluation, packets, records, audit, operations):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that the cluster names in spark.checkpoint.dir; only a local master may go without one. It is deleted when the driver ends."""
+    conf = spark.sparkContext.getConf()
+    where = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = f"file://{tempfile.gettempdir()}"
+    path = f"{where.rstrip('/')}/quillmere-{name}-{uuid.uuid4().hex[:12]}"
+
+    def drop() -> None:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone already; the folder is temporary anyway
+            return
+
+    atexit.register(drop)
+    return path
+
+
 def spread(rows: DataFrame, key: str) -> DataFrame:
     """A table of fewer files than there are cores is dealt to all of them: one row group would keep one core busy. Larger ones stay as they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
@@ -46,4 +71,4 @@ def questions(bench: DataFrame) -> DataFrame:
     return bench.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(content_tokens(F.col("text")), 1, 6), " ").alias("question"), F.substring(collapse(F.col("text")), 1, 80).alias("gold_start"))
 
 
-__all__ = ["blank_to_null", "catalog", "elements", "files", "questions", "spread", "table"]
+__all__ = ["blank_to_null", "catalog", "elements", "files", "questions", "shared_path", "spread", "table"]

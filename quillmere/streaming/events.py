@@ -1,4 +1,4 @@
-"""Event streams: checked, routed and quarantined in micro-batches; claims that only the first of each key wins."""
+"""Event streams: checked, routed and quarantined in micro-batches, and counted by window."""
 
 from __future__ import annotations
 
@@ -23,11 +23,6 @@ def write_events(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def claims(stream: DataFrame, minutes: int = 30) -> DataFrame:
-    """The first claim of each key within the watermark; state older than that goes."""
-    return stream.withColumn("claimed_at", F.col("claimed_at").cast("timestamp")).withWatermark("claimed_at", f"{minutes} minutes").dropDuplicatesWithinWatermark(["key"])
-
-
 def windowed_counts(stream: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Events by type and time window; what comes later than `late` is dropped."""
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
