@@ -63,10 +63,11 @@ def thresholds(sized: DataFrame, src: DataFrame) -> DataFrame:
     state = src.withColumn("whole", whole.cast("long")).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("low", F.lit(0).cast("long")).withColumn("open", F.col("left") > 0)
     state = stage(state, "mix-state")
     for level in range(HASH_BITS // LEVEL_BITS):
-        width = 1 << (HASH_BITS - LEVEL_BITS * (level + 1))
+        bits = HASH_BITS - LEVEL_BITS * (level + 1)
+        width = 1 << bits
         at = state.where("open").select(F.col("source").alias("s"), "low")
         inside = (sized.h >= at.low) & (sized.h < at.low + F.lit(width << LEVEL_BITS))
-        hist = sized.join(at, sized.source.eqNullSafe(at.s) & inside).groupBy("s", F.floor(F.col("h") / width).cast("long").alias("bucket"))
+        hist = sized.join(at, sized.source.eqNullSafe(at.s) & inside).groupBy("s", F.shiftright("h", bits).alias("bucket"))
         hist = hist.agg(F.sum("size").alias("size"), F.min("h").alias("h0"), F.max("h").alias("h1"))
         run = F.sum("size").over(Window.partitionBy("s").orderBy("bucket"))
         hist = hist.join(state.select(F.col("source").alias("s2"), "left"), F.col("s").eqNullSafe(F.col("s2"))).withColumn("upto", run)

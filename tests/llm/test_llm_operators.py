@@ -436,6 +436,16 @@ def brute_mix(rows):
     return total, {s: float(2 * total[s]) if s in full else weight[s] * rate for s in names}
 
 
+def test_mix_hashes_at_edges(spark):
+    """Hashes next to the edges of buckets of all levels fall on the right side of every threshold."""
+    edges = sorted({h for bits in (48, 36, 24, 12) for k in (1, 2, 3, 1 << (60 - bits)) for h in ((k << bits) - 1, k << bits, (k << bits) + 1) if h < 1 << 60} | {0, (1 << 60) - 1})
+    sized = spark.createDataFrame([("a", 1, h) for h in edges], "source string, size long, h long").cache()
+    for left in range(1, len(edges) + 1, 5):
+        src = spark.createDataFrame([("a", len(edges), float(left))], "source string, source_size long, target double")
+        plan = mixing.thresholds(sized, src).first()
+        assert len(edges) * plan.whole + sum(h < plan.below for h in edges) == left
+
+
 @pytest.mark.parametrize("n", [0, 1, 3, 40])
 def test_mix(spark, n):
     rows = [(i, words(i % 9 + 1, i), f"s{i % 5}" if i % 4 else None) for i in range(n)] + ([(3, None, "z"), (3, "a b", "s1"), (None, "c", "s1")] if n > 3 else [])
