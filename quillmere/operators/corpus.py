@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmere.functions.text import coverage
+from quillmere.operators.ranks import first_rows, rank_within, staged
 
+ID_MAP = ["chunk_id", "file_id", "locator", "hash", "ord"]
 PRIORITY = {"active": 3, "draft": 2, "archived": 1}
 
 
@@ -43,6 +45,14 @@ def provenance(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("file_hash").agg(F.array_sort(F.collect_set("relative_path")).alias("provenance_paths"))
 
 
+def provenance_bounded(manifest: DataFrame, most: int = 100) -> DataFrame:
+    """file_hash, how many distinct paths hold it, and the first `most` of them in order: no row grows with the number of copies."""
+    paths = manifest.select("file_hash", "relative_path").distinct()
+    counts = paths.groupBy("file_hash").agg(F.count("*").alias("n_paths"))
+    some = first_rows(paths, ["file_hash"], ["relative_path"], most).groupBy("file_hash").agg(F.array_sort(F.collect_list("relative_path")).alias("first_paths"))
+    return counts.join(some, counts.file_hash.eqNullSafe(some.file_hash)).select(counts.file_hash, "n_paths", "first_paths")
+
+
 def is_heading(line: Column) -> Column:
     """A numbered line of at most 140 characters that ends with none of . ; ,"""
     t = F.trim(line)
@@ -92,17 +102,18 @@ def ledger_summary(rows: DataFrame) -> DataFrame:
 def id_map(old: DataFrame, new: DataFrame) -> DataFrame:
     """Old to new chunk ids, one to one, in three tiers: same file, locator and content; same file and content; same content.
 
-    Within a tier the k-th old row of a key takes the k-th free new row. Rows are (chunk_id, file_id, locator, hash, ord).
+    Within a tier the k-th old row of a key takes the k-th free new row. Rows are (chunk_id, file_id, locator, hash, ord). Each
+    tier works on what the one before has left, written once; a content that most rows share is ranked over several tasks.
     """
-    done, left, free = None, old, new
+    left, free = staged(old.select(*ID_MAP), "old-chunks"), staged(new.select(*ID_MAP), "new-chunks")
+    done = None
     for name, keys in (("file_locator_hash", ["file_id", "locator", "hash"]), ("file_hash", ["file_id", "hash"]), ("content_hash", ["hash"])):
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("ord", "chunk_id"))
-        a = left.select(F.col("chunk_id").alias("old_chunk_id"), *keys, rank.alias("k"))
-        b = free.select(F.col("chunk_id").alias("new_chunk_id"), *keys, rank.alias("k"))
-        got = a.join(b, [*keys, "k"]).select("old_chunk_id", "new_chunk_id", F.lit(name).alias("match_strategy"))
+        a = rank_within(left, keys, ["ord", "chunk_id"], "k").select(F.col("chunk_id").alias("old_chunk_id"), *keys, "k")
+        b = rank_within(free, keys, ["ord", "chunk_id"], "k").select(F.col("chunk_id").alias("new_chunk_id"), *keys, "k")
+        got = staged(a.join(b, [*keys, "k"]).select("old_chunk_id", "new_chunk_id", F.lit(name).alias("match_strategy")), "id-map")
         done = got if done is None else done.unionByName(got)
-        left = left.join(got, left.chunk_id == got.old_chunk_id, "left_anti")
-        free = free.join(got, free.chunk_id == got.new_chunk_id, "left_anti")
+        left = staged(left.join(got, left.chunk_id == got.old_chunk_id, "left_anti"), "old-chunks")
+        free = staged(free.join(got, free.chunk_id == got.new_chunk_id, "left_anti"), "new-chunks")
     gone = left.select(F.col("chunk_id").alias("old_chunk_id"), F.lit(None).cast(new.schema["chunk_id"].dataType).alias("new_chunk_id"), F.lit("unmatched").alias("match_strategy"))
     fresh = free.select(F.lit(None).cast(old.schema["chunk_id"].dataType).alias("old_chunk_id"), F.col("chunk_id").alias("new_chunk_id"), F.lit("new_only").alias("match_strategy"))
     return done.unionByName(gone).unionByName(fresh)

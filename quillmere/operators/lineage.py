@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from quillmere.operators.ranks import over_parts
 
 # Metadata that traces may carry, and where ids and scores are looked for.
 SHOWN = (
@@ -120,8 +121,7 @@ def evidence_payload(evidence: Column) -> Column:
 
 def pending_users(users: DataFrame) -> DataFrame:
     """Users that wait for approval, with their place: the longest first, then by address."""
-    place = F.row_number().over(Window.orderBy("created", "email")) - 1
-    return users.where(F.col("status") == "pending").withColumn("place", place)
+    return over_parts(users.where(F.col("status") == "pending"), [], ["created", "email"], "place")
 
 
 def session_token_hash(token: Column) -> Column:
