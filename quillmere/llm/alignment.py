@@ -8,81 +8,109 @@ offset at which both sides end: there a group closes, and each offset at which a
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
-from quillmere.llm.common import Remembered, stage
+from quillmere.llm.common import stage
 from quillmere.llm.token_files import LETTERS, PRINTED
 
 #: Tokens of one side in a row, tokens of both that are swept at once, and links after which another part begins.
-BLOCK, SWEEP, PART = 4096, 1 << 19, 1 << 20
-#: Where a text may not be parted before its blanks and line ends: several in a row, at its ends, or separators that libraries see differently.
-WHOLE = re.compile("\\s[ \n]|^[ \n]|\\s$|[\x1c-\x1f]")
+BLOCK, SWEEP, PART = 4096, 1 << 18, 1 << 22
+#: A word or stretch of white space of more characters is a long one; characters of texts that are encoded together.
+LONG, TEXTS = 1000, 1 << 22
+#: Fixed value: what parts texts for byte-level vocabularies.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bits of an offset within its document, and of a token id in a pair of them.
 OFFSET_BITS, ID_BITS = 40, 24
 EMPTY = np.zeros(0, np.int64)
 
 
 class Side:
-    """Tokens of space+text as bytes of their ids and of their lengths; None where the tokens' joined bytes are not the text's.
-
-    A text that is plain in its blanks is parted before each blank and line end: neither kind of tokenizer joins what stands
-    before one with what stands behind it (`parted` says so of its vocabulary). The parts' tokens are remembered.
-    """
+    """A vocabulary and its tokens' bytes."""
 
     def __init__(self, table: list[bytes]) -> None:
-        self.table = table
+        self.table = np.array([*table, b""], object)[:-1]
         self.lengths = np.array([len(t) for t in table])
-        self.id_kind = np.dtype("<u2" if len(table) <= 1 << 16 else "<u4")
-        self.length_kind = np.dtype("u1" if self.lengths.max() < 256 else "<u2")
-        self.known = Remembered(self._learn, 1 << 16)
         self.parted = True
+        self.kinds = np.dtype("<u2" if len(table) <= 1 << 16 else "<u4"), np.dtype("u1" if self.lengths.max() < 256 else "<u2")
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """ids of texts, each of which begins with its own blank or line end."""
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """ids of texts, with a space before each."""
         raise NotImplementedError
 
-    def _packed(self, ids: list[int], text: str) -> tuple[bytes, bytes] | bool:
-        if b"".join([self.table[i] for i in ids]) != text.encode():
-            return False
-        a = np.array(ids, self.id_kind)
-        return a.tobytes(), self.lengths[a].astype(self.length_kind).tobytes()
-
-    def _learn(self, parts: list[str]) -> list[tuple[bytes, bytes] | bool]:
-        texts = [p if p.startswith("\n") else " " + p for p in parts]
-        return list(map(self._packed, self.encode(texts), texts))
-
-    def __call__(self, texts: list[str | None]) -> list[tuple[bytes, bytes] | None]:
-        out: list[tuple[bytes, bytes] | None] = [None] * len(texts)
-        parts, ends, at = [], [], []
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            if not self.parted or WHOLE.search(t):
-                whole = " " + t
-                out[i] = self._packed(self.encode([whole])[0], whole) or None
-            else:
-                parts += t.replace("\n", " \n").split(" ")
-                ends.append(len(parts))
-                at.append(i)
-        known = self.known(parts)
-        for i, a, b in zip(at, [0, *ends], ends, strict=False):
-            some = known[a:b]
-            if all(some):
-                out[i] = b"".join([x[0] for x in some]), b"".join([x[1] for x in some])
-        return out
+    def encode_parts(self, parts: list[str]) -> np.ndarray:
+        """ids of parts that are put together to a text; each begins with its own blank or line end, the first one with a space."""
+        return self.encode(["".join(parts)[1:]])[0]
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        return b"".join(self.table[ids].tolist())
+
+    def packed(self, ids: np.ndarray) -> tuple[bytes, bytes]:
+        return ids.astype(self.kinds[0]).tobytes(), self.lengths[ids].astype(self.kinds[1]).tobytes()
+
+
+def encoded(sides: list[Side], texts: list[str | None]) -> list[list[tuple[bytes, bytes]] | None]:
+    """Each text's tokens by both sides, None for one without tokens.
+
+    Texts whose words are parted by single spaces and line ends are cut before each of these; neither kind of tokenizer joins
+    what stands before one with what stands behind it (`parted` says so of its vocabulary). The distinct parts of all texts,
+    one after the other, are a text too: it is encoded instead, and the tokens of its parts are dealt to where they occur. Other
+    texts are encoded whole, and so are all where a part does not end with a token.
+    """
+    out: list[list[tuple[bytes, bytes]] | None] = [None] * len(texts)
+    plain = [i for i, t in enumerate(texts) if t and all(s.parted for s in sides) and "▁" not in t and " ".join(words := t.split()) == t.replace("\n", " ") and len(max(words, key=len)) <= LONG]
+    if plain:
+        parts = [texts[i].replace("\n", " \n").split(" ") for i in plain]
+        every = list(chain.from_iterable(parts))
+        known = dict.fromkeys(every)
+        known = dict(zip(known, range(len(known)), strict=True))
+        at = np.fromiter(map(known.__getitem__, every), np.int64, len(every))
+        each = [w if w.startswith("\n") else " " + w for w in known]
+        text = "".join(each)
+        data = text.encode()
+        ends = np.cumsum(list(map(len, each if text.isascii() else map(str.encode, each))))
+        bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        dealt = []
+        for s in sides:
+            ids = s.encode_parts(each)
+            upto = np.cumsum(s.lengths[ids])
+            k = np.searchsorted(upto, ends)
+            if s.joined(ids) != data or not (upto[k] == ends).all():
+                break
+            first = np.concatenate([[0], k[:-1] + 1])
+            n = (k + 1 - first)[at]
+            total = np.concatenate([[0], np.cumsum(n)])
+            ids = ids[np.repeat(first[at] - total[:-1], n) + np.arange(total[-1])]
+            dealt.append([s.packed(ids[x:y]) for x, y in zip(total[bounds[:-1]], total[bounds[1:]], strict=True)])
+        if len(dealt) == len(sides):
+            for i, tokens in zip(plain, zip(*dealt, strict=True), strict=True):
+                out[i] = list(tokens)
+    rest = [i for i, t in enumerate(texts) if t and out[i] is None]
+    for s in sides:
+        for i, ids in zip(rest, s.encode([texts[i] for i in rest]), strict=True):
+            good = s.joined(ids) == b" " + texts[i].encode()
+            out[i] = [*(out[i] or []), *([s.packed(ids)] if good else [])]
+    return [x if x and len(x) == len(sides) else None for x in out]
 
 
 class ByteLevel(Side):
-    """A byte-level vocabulary of the tokenizers library; special tokens' strings in texts are plain text."""
+    """A byte-level vocabulary of the tokenizers library; special tokens' strings in texts are plain text.
+
+    Where the file's merges stand in the order of their ids and texts are parted by the usual pattern, the ids are merge ranks,
+    and tiktoken gives the same ids sooner. Its time grows with the square of what the pattern leaves in one piece, so texts
+    with very long words or stretches of white space go to the library itself.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -92,9 +120,30 @@ class ByteLevel(Side):
         byte_of = {LETTERS.get(b, chr(b)): b for b in {*LETTERS, *PRINTED}}
         entries = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())]
         super().__init__([bytes(byte_of[c] for c in e) if all(c in byte_of for c in e) else e.encode() for e in entries])
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        merges = [m.split(" ") if isinstance(m, str) else m for m in said["model"]["merges"]]
+        before, model = said["pre_tokenizer"] or {}, said["model"]
+        first = len(byte_of)
+        ranked = all(entries[first + k] == x + y for k, (x, y) in enumerate(merges)) and {*entries[:first]} == {*byte_of}
+        plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")) and not said["normalizer"] and not said["truncation"]
+        self.ranks = None
+        if ranked and plain and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space"):
+            import tiktoken
+
+            self.ranks = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={self.table[i]: i for i in range(first + len(merges))}, special_tokens={})
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = [None] * len(texts)
+        if self.ranks:
+            for i, t in enumerate(texts):
+                words = list(map(len, t.split()))
+                if max(words, default=0) < LONG and len(t) - sum(words) - len(words) < LONG:
+                    out[i] = self.ranks.encode_to_numpy(" " + t, disallowed_special=()).astype(np.int64)
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(rest, self.tok.encode_batch_fast([" " + texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, np.int64)
+        return out
 
 
 class Pieces(Side):
@@ -106,11 +155,28 @@ class Pieces(Side):
         self.model = SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
         super().__init__([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)])
-        self.parted = not any(re.search("[^▁]▁|\n", p) for i, p in enumerate(names) if not self.model.is_byte(i))
+        self.parted = not any(re.search("[^▁]▁|[^▁].*\n|\n.", p) for i, p in enumerate(names) if not self.model.is_byte(i))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(ids, np.int64) for ids in self.model.encode(texts, num_threads=1)] if texts else []
+
+    def encode_parts(self, parts: list[str]) -> np.ndarray:
+        cuts = [0]  # short texts are encoded sooner; each begins with a space
+        for i in range(32, len(parts)):
+            if i - cuts[-1] >= 32 and parts[i].startswith(" "):
+                cuts.append(i)
+        texts = ["".join(parts[a:b])[1:] for a, b in zip(cuts, [*cuts[1:], len(parts)], strict=True)]
+        return np.array(list(chain.from_iterable(self.model.encode(texts, num_threads=1))), np.int64)
+
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        made = self.model.encode([t[1:] if t.startswith(" ") else t for t in texts], num_threads=1)
-        return [ids if t.startswith(" ") else ids[1:] for ids, t in zip(made, texts, strict=True)]  # before a line end stands the space that the model has put there
+def _stretches(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(offset, length) of stretches of at most TEXTS bytes of texts, or of one text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TEXTS, side="right")))
+        yield at, to - at
+        at = to
 
 
 def events(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -123,19 +189,18 @@ def events(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides, key = [ByteLevel(path_a), Pieces(path_b)], TaskContext.get().partitionId() << 33
-        for b in (x.slice(i, 32) for x in batches for i in range(0, x.num_rows, 32)):
+        for b in (x.slice(i, n) for x in batches for i, n in _stretches(x.column(1))):
             rows, of = [], []
-            texts = b.column(1).to_pylist()
-            for i, tokens in enumerate(zip(*[s(texts) for s in sides], strict=True)):
+            for i, tokens in enumerate(encoded(sides, b.column(1).to_pylist())):
                 rows.append((key, -1, 0, b"", b""))
                 of.append(i)
-                for k, (s, (ids, sizes)) in enumerate(zip(sides, tokens, strict=True) if all(tokens) else ()):
-                    w, z, first = s.id_kind.itemsize, s.length_kind.itemsize, 0
+                for k, (s, (ids, sizes)) in enumerate(zip(sides, tokens, strict=True) if tokens else ()):
+                    w, z, first = s.kinds[0].itemsize, s.kinds[1].itemsize, 0
                     for at in range(0, len(ids) // w, BLOCK):
                         some = sizes[at * z : (at + BLOCK) * z]
                         rows.append((key, first, k, ids[at * w : (at + BLOCK) * w], some))
                         of.append(None)
-                        first += int(np.frombuffer(some, s.length_kind).sum(dtype=np.int64))
+                        first += int(np.frombuffer(some, s.kinds[1]).sum(dtype=np.int64))
                 key += 1
             made = [pa.array(c, type=to_arrow_type(schema[n].dataType)) for n, c in zip(("key", "first", "side", "ids", "lengths"), zip(*rows, strict=True), strict=True)]
             yield pa.RecordBatch.from_arrays([*made[:3], b.column(0).take(pa.array(of, pa.int32())), *made[3:]], schema.names)
@@ -221,12 +286,10 @@ class Sweep:
 
 def summed(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and the sums of their numbers."""
-    if len(pairs) == 1:
-        return pairs[0]
     keys, n = (np.concatenate([p[k] for p in pairs]) if pairs else EMPTY for k in (0, 1))
     keys, of = np.unique(keys, return_inverse=True)
     total = np.zeros(len(keys), np.int64)
-    np.add.at(total, of, n)
+    np.add.at(total, of.ravel(), n)
     return keys, total
 
 
@@ -242,13 +305,13 @@ def sweep(ends: DataFrame, path_a: str, path_b: str, links: bool = False) -> Dat
     """
     columns = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pair_a array<int>, pair_b array<int>, pair_n array<int>, part long" + ", group_ends array<long>, link_a array<int>, link_b array<int>" * links
     schema = StructType([ends.schema["doc_id"], *StructType.fromDDL(columns)])
+    sides = [ByteLevel(path_a), Pieces(path_b)]
+    sizes, id_kinds, length_kinds = tuple(len(s.table) for s in sides), [s.kinds[0] for s in sides], [s.kinds[1] for s in sides]
+    del sides
     kinds = [to_arrow_type(f.dataType) for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = [ByteLevel(path_a), Pieces(path_b)]
-        id_kinds, length_kinds = [s.id_kind for s in sides], [s.length_kind for s in sides]
-        machine = Sweep((len(sides[0].table), len(sides[1].table)), links)
-        del sides
+        machine = Sweep(sizes, links)
         part, linked = TaskContext.get().partitionId() << 33, 0
         docs: list[dict] = []
         ids, found, held = ([], []), ([], []), 0
@@ -260,7 +323,7 @@ def sweep(ends: DataFrame, path_a: str, path_b: str, links: bool = False) -> Dat
             ids, found, held = ([], []), ([], []), 0
             if not done:
                 return None
-            pairs, parts = [summed(d["pairs"]) for d in done], []
+            pairs, parts = [d["pairs"][0] if len(d["pairs"]) == 1 else summed(d["pairs"]) for d in done], []  # those of one sweep are distinct
             for d in done:
                 parts.append(part + (linked // PART))
                 linked += d["links"]
@@ -293,10 +356,10 @@ def sweep(ends: DataFrame, path_a: str, path_b: str, links: bool = False) -> Dat
 
 
 def pair_counts(swept: DataFrame) -> DataFrame:
-    """(part, a, b, n): how often each pair of ids is linked in each part; rows of a part may repeat a pair."""
+    """(part, a, b, n): how often each pair of ids is linked in each part; a part that several tasks read repeats pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, some = None, []
+        part, some, held = None, [], 0
 
         def out() -> pa.RecordBatch:
             keys, n = summed(some)
@@ -310,11 +373,13 @@ def pair_counts(swept: DataFrame) -> DataFrame:
                 if parts[i] != part:
                     if some:
                         yield out()
-                    part, some = int(parts[i]), []
+                    part, some, held = int(parts[i]), [], 0
                 x, y = offsets[i], offsets[j]
                 some.append((a[x:y] << ID_BITS | b[x:y], n[x:y]))
-                if len(some) > 8:
+                held += y - x
+                if held > SWEEP:
                     some = [summed(some)]
+                    held = 0
         if some:
             yield out()
 
