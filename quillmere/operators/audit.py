@@ -40,7 +40,7 @@ def quoted(value: Column) -> Column:
 
 def metric_findings(spark, metrics: Iterable[str]) -> DataFrame:
     """A finding for each metric that experiments do not support."""
-    rows = [("error", None, "unsupported_experiment_metric", f"Experiment evaluators do not support {m.strip()}") for m in metrics if m.strip() and m.strip() not in EXPERIMENT_METRICS]
+    rows = [("error", None, "unsupported_phoenix_metric", f"Phoenix evaluator path does not support {m.strip()}") for m in metrics if m.strip() and m.strip() not in EXPERIMENT_METRICS]
     return spark.createDataFrame(rows, "severity string, row_id string, code string, message string")
 
 
@@ -74,9 +74,11 @@ def findings(rows: DataFrame) -> DataFrame:
     return found.select("pos", "n", "f.severity", "row_id", "f.code", "f.message")
 
 
-def missing_columns(rows: DataFrame, required: Iterable[str]) -> list[str]:
-    """Required columns that audit rows lack."""
-    return sorted(set(required) - set(rows.columns))
+def missing_columns(rows: DataFrame, required: Iterable[str], row_id: str = "id") -> DataFrame:
+    """A finding for each audit row of a table that lacks required columns; it names them all."""
+    lacks = sorted(set(required) - set(rows.columns))
+    found = rows.select(F.lit("error").alias("severity"), F.nullif(F.trim(F.col(row_id).cast("string")), F.lit("")).alias("row_id"), F.lit("missing_audit_columns").alias("code"), F.lit(f"Audit row is missing required columns: {', '.join(lacks)}").alias("message"))
+    return found if lacks else found.limit(0)
 
 
 def metric_names(raw: str | None, default: tuple[str, ...] = DEFAULT_METRICS, allow_none: bool = False) -> list[str]:

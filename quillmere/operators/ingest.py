@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from quillmere.functions.text import tokens
 from quillmere.operators import chunking, corpus
 from quillmere.operators.embedding import Provider, default_provider, index_vectors
+from quillmere.operators.retrieval import term_counts
 from quillmere.operators.runs import NAME
 
 MANIFEST = "file_id string, relative_path string, file_hash string, size_bytes long, recipe string, status string, chunk_count long, locator_count long, required_metadata_count long, segment string"
@@ -94,11 +95,9 @@ def changes(files: DataFrame, old: DataFrame, recipe: str) -> DataFrame:
 
 def postings_of(chunks: DataFrame) -> DataFrame:
     """(file_id, chunk_id, length, term, tf): a chunk's terms are counted within its row, so nothing is shuffled."""
-    listed = chunks.select("file_id", "chunk_id", F.array_sort(tokens(F.col("text"))).alias("ts"))
-    terms = listed.select("file_id", "chunk_id", F.size("ts").alias("length"), "ts", F.explode(F.array_distinct("ts")).alias("term"))
-    first = F.array_position("ts", F.col("term"))
-    last = F.col("length") - F.array_position(F.reverse("ts"), F.col("term")) + 1  # equal terms stand together
-    return terms.select("file_id", "chunk_id", "length", "term", (last - first + 1).cast("long").alias("tf"))
+    ts = tokens(F.col("text"))
+    rows = chunks.select(F.col("file_id").alias("field"), F.col("chunk_id").alias("doc_id"), ts.alias("ts"), F.size(ts).alias("length")).where("length > 0")
+    return term_counts(rows).select(F.col("field").alias("file_id"), F.col("doc_id").alias("chunk_id"), "length", "term", "tf")
 
 
 def run_ingestion(files: DataFrame, root: str, run: str, chunker: Chunker | None = None, provider: Provider | None = None, recipe: str = "400:50", on_step: Callable[[str], None] = lambda step: None) -> dict:

@@ -32,16 +32,24 @@ def own_ideal_ndcg(scored: DataFrame, k: int) -> DataFrame:
 
 
 def hint_score(text: Column, hints: Column) -> Column:
-    """How many hints the lower-cased text holds."""
-    return F.size(F.filter(hints, lambda h: F.contains(F.lower(text), F.lower(h))))
+    """1 where the text holds any of the hints, whatever its case, else 0. Blank hints hold nowhere."""
+    return F.when(F.exists(F.filter(hints, lambda h: F.trim(h) != ""), lambda h: F.contains(F.lower(text), F.lower(h))), 1.0).otherwise(0.0)
 
 
 def citation_verdict(behaviour: Column, refused: Column, cited: Column, conflict: Column) -> Column:
     return F.when(behaviour == "refuse_if_not_found", refused & ~cited).when(behaviour == "cite_answer", cited & ~refused).when(behaviour == "surface_conflict", cited & conflict).otherwise(False)
 
 
-def mentions_conflict(answer: Column) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(F.lower(answer), F.lit(m)) for m in ("противореч", "конфликт", "disagree", "conflict")])
+# What an answer says when it refuses, names a conflict, or decides between versions.
+REFUSING = ("I could not find this clearly in the indexed documents.", "не удалось найти", "не найдено", "нет в проиндексированных документах")
+CONFLICTING = ("противореч", "конфликт", "disagree", "conflict")
+DECIDING = ("действует новая", "действует стар", "действует только", "актуальна новая", "актуален новый", "единственная версия", "new version applies", "old version applies", "only valid version")
+
+
+def says(answer: Column, marks: tuple[str, ...]) -> Column:
+    """Whether an answer holds any of the marks, whatever its case; a null answer holds none."""
+    low = F.lower(F.coalesce(answer, F.lit("")))
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(m.lower())) for m in marks])
 
 
 def failure_class(behaviour: Column, c: dict[str, Column], threshold: float = 0.5) -> Column:

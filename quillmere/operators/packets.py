@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillmere.functions.text import collapse
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -41,6 +43,12 @@ def packets(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     return out.withColumn("gold_status", status)
 
 
+def chunk_locator(c: dict[str, Column], text: Column) -> Column:
+    """Where a chunk stands, and the first 300 characters of its text on one line."""
+    names = ("chunk_id", "citation_id", "file_id", "relative_path", "file_name", "chunk_index", "page_number", "section_heading", "source_locator")
+    return F.struct(*[c.get(k, F.lit(None).cast("string")).alias(k) for k in names], F.substring(collapse(text), 1, 300).alias("evidence_quote"))
+
+
 def blockers(packet_rows: DataFrame) -> DataFrame:
     """Packets that a strict run refuses."""
     return packet_rows.where(F.col("gold_status").isin("unresolved", "file_only", "missing"))

@@ -93,7 +93,8 @@ def corpus_version_parts(spark, sf_dir):
     return x.groupBy("part").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(rows, lambda s: F.concat_ws(":", s["file_id"], s["file_hash"])), "\n"), 256).alias("h"))
 
 
-@query()
+@query(f"""WITH h AS (SELECT doc_id, sha1(from_hex('{NAMESPACE.replace("-", "")}') || encode(text)) AS h FROM documents), d AS (SELECT doc_id, h, (CAST('0x' || substr(h, 17, 2) AS INTEGER) & 63) | 128 AS v FROM h)
+SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || printf('%02x', v) || substr(h, 19, 2) || '-' || substr(h, 21, 12) AS stable_id FROM d""")
 def stable_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", ids.uuid5(NAMESPACE, F.col("text")).alias("stable_id"))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillmere.plans import answers, audit, corpus, evaluation, operations, packets, records, retrieval, scale
+from quillmere.plans import answers, audit, contract, corpus, evaluation, operations, packets, records, retrieval, scale
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for part in (corpus, retrieval, answers, evaluation, packets, records, audit, operations, scale):
+for part in (corpus, retrieval, answers, evaluation, packets, records, audit, operations, scale, contract):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
