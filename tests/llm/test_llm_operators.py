@@ -4,7 +4,7 @@ import hashlib
 import html
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -94,6 +94,25 @@ def test_near_vectors_table(spark, sf):
 # 2: pages
 
 
+def test_main_text_windows_decide_on_bare_pages(spark):
+    """On pages without a class, id, role, article or other tag that names a part, lengths alone find the article.
+
+    What the article is comes from a pattern over the pages as they were.
+    """
+    pages = [r.html for r in spark.read.parquet(f"{LARGER}/pages.parquet").select("html").collect() if r.html]
+    kept = wanted = out = leaked = every = 0
+    for page in pages:
+        inner = re.sub(r"(?s)<(script|style)\b.*?</\1>", " ", re.search(r"(?s)<article[^>]*>(.*?)</article>", page)[1])
+        want = Counter(html.unescape(re.sub(r"<[^>]+>", " ", inner)).split())
+        bare = re.sub(r"(?i)</?(article|main)\b[^>]*>", "", re.sub(r"""\s(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "", page))
+        bare = re.sub(r"(?i)<(/?)(nav|footer|header|aside|section|form)\b[^>]*>", r"<\1div>", bare)
+        got = Counter(main_text.main_text(bare).split())
+        kept, wanted, out, leaked = kept + (want & got).total(), wanted + want.total(), out + got.total(), leaked + (got - want).total()
+        every += got != Counter(" ".join(line for line, _, _ in main_text.lines(bare)).split())
+    assert kept >= 0.95 * wanted and leaked <= 0.05 * out
+    assert every == len(pages)  # all lines together would be another text on every page
+
+
 def test_main_text_table(spark, sf):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in queries.op2_main_text(spark, sf).collect():
