@@ -27,6 +27,17 @@ def with_authority(manifest: DataFrame, catalog: DataFrame) -> DataFrame:
     return x.withColumns({"status": F.coalesce("status", F.lit("active")), "authoritative_rank": F.coalesce("authoritative_rank", F.lit(0))})
 
 
+def authority_metadata(manifest: DataFrame, catalog: DataFrame) -> DataFrame:
+    """manifest (relative_path, inferred_category, extension, ...) with all that the catalogue says of a path, and its defaults where it says nothing."""
+    blank = lambda c: F.nullif(F.trim(F.col(f"c.{c}")), F.lit(""))
+    x = manifest.alias("m").join(catalog.alias("c"), F.col("m.relative_path") == F.col("c.relative_path"), "left")
+    return x.select(
+        "m.*", F.coalesce(blank("department"), "m.inferred_category", F.lit("")).alias("department"), F.coalesce(blank("document_type"), F.nullif("m.extension", F.lit("")), F.lit("unknown")).alias("document_type"),
+        F.coalesce(blank("status"), F.lit("active")).alias("authority_status"), F.col("c.effective_from").alias("effective_from"), F.col("c.effective_to").alias("effective_to"), F.col("c.owner").alias("document_owner"),
+        F.coalesce("c.authoritative_rank", F.lit(0)).alias("authoritative_rank"), F.coalesce("c.supersedes", F.array().cast("array<string>")).alias("supersedes"), F.col("c.version_group").alias("version_group"),
+    )
+
+
 def canonical_files(manifest: DataFrame, catalog: DataFrame) -> DataFrame:
     """One row for each file_hash: the path to keep (best status, rank, first path), and how many paths share the bytes.
 

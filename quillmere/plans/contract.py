@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from quillmere.functions import ids, text
 from quillmere.operators import audit, corpus, lineage, metrics, packets, retrieval
 from quillmere.plans.base import CONTENT, ELEMENTS, TOKENS, Part, sql
-from quillmere.sources.tables import elements, table
+from quillmere.sources import readers
+from quillmere.sources.tables import elements, shared_path, table
 
 query = Part()
 
@@ -100,4 +101,19 @@ def contract_gaps(spark, sf_dir):
     return rows.unionByName(lacks.select(F.lit("missing_reference").alias("code"), F.col("row").alias("row_id"), F.lit(None).cast("string").alias("message")))
 
 
+@query("""WITH c AS (SELECT n_nationkey, n_regionkey AS r, n_name || '.txt' AS path FROM nation WHERE n_regionkey < 4), f AS (SELECT c_custkey, c_mktsegment, n_name || '.txt' AS path FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT c_custkey, CASE WHEN r = 0 OR r IS NULL THEN c_mktsegment ELSE 'dept ' || r END AS department, CASE WHEN r = 1 THEN 'order' ELSE '.txt' END AS document_type, CASE r WHEN 2 THEN 'draft' WHEN 3 THEN 'archived' ELSE 'active' END AS authority_status, CASE WHEN r = 2 THEN '2024-01-01' END AS effective_from, CASE WHEN r = 3 THEN 'owner' END AS document_owner, coalesce(r, 0) AS authoritative_rank, CASE WHEN r = 3 THEN 'old,older' ELSE '' END AS supersedes, CASE WHEN r = 1 THEN 'g' END AS version_group
+FROM f LEFT JOIN c USING (path)""")
+def authority_metadata(spark, sf_dir):
+    """Customers' files under a catalogue of nations, written as JSON and read as such: five regions say different things of them."""
+    nation, at = table(spark, sf_dir, "nation"), shared_path(spark, "catalog")
+    r = F.col("n_regionkey")
+    path = F.concat("n_name", F.lit(".txt"))
+    entry = F.struct(path.alias("relative_path"), F.when(r == 2, "draft").when(r == 3, "archived").when(r == 1, " ").alias("status"), r.alias("authoritative_rank"), F.when(r > 0, F.concat(F.lit("dept "), r.cast("string"))).otherwise("").alias("department"), F.when(r == 1, "order").alias("document_type"), F.when(r == 2, "2024-01-01").alias("effective_from"), F.when(r == 3, "owner").alias("owner"), F.when(r == 3, F.array(F.lit("old"), F.lit("older"))).alias("supersedes"), F.when(r == 1, "g").alias("version_group"))
+    nation.where(r < 4).agg(F.to_json(F.struct(F.collect_list(entry).alias("documents"))).alias("value")).coalesce(1).write.text(at)  # 25 nations at most
+    manifest = table(spark, sf_dir, "customer").join(nation, F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", path.alias("relative_path"), F.col("c_mktsegment").alias("inferred_category"), F.lit(".txt").alias("extension"))
+    x = corpus.authority_metadata(manifest, readers.load_catalog(spark, at))
+    return x.select("c_custkey", "department", "document_type", "authority_status", "effective_from", "document_owner", "authoritative_rank", F.array_join("supersedes", ",").alias("supersedes"), "version_group")
+
+
 QUERIES, ORACLES = query.queries, query.oracles

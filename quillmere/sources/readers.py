@@ -233,15 +233,24 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
     return parsed.where(~bad).select("line", "r.*").drop("_bad"), failed
 
 
+# The fields of a catalogue's entry.
+ENTRY = "relative_path string, status string, authoritative_rank int, version_group string, department string, document_type string, effective_from string, effective_to string, owner string, supersedes array<string>"
+
+
 def load_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """An authority catalogue of JSON: a list of entries or a mapping by path. The last entry of a path wins; other shapes are errors."""
-    raw = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
-    entry = "struct<relative_path:string,status:string,authoritative_rank:int,version_group:string>"
+    """An authority catalogue of JSON: a list of entries, a mapping by path, or either below `documents`. The last entry of a path wins; other shapes are errors.
+
+    A catalogue is kept by hand, so its file is read whole.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.trim("value").alias("w"))
+    raw = raw.select(F.coalesce(F.when(F.col("w").startswith("{"), F.trim(F.get_json_object("w", "$.documents"))), F.col("w")).alias("v"))
+    names = [c.split()[0] for c in ENTRY.split(", ")]
+    entry = f"struct<{', '.join(c.replace(' ', ':', 1) for c in ENTRY.split(', '))}>"
     listed = raw.where(F.col("v").startswith("[")).select(F.posexplode(F.from_json("v", f"array<{entry}>")).alias("n", "e")).select("n", "e.*")
-    named = raw.where(F.col("v").startswith("{")).select(F.posexplode(F.map_entries(F.from_json("v", f"map<string,{entry}>"))).alias("n", "e")).select("n", F.col("e.key").alias("relative_path"), "e.value.status", "e.value.authoritative_rank", "e.value.version_group")
-    bad = raw.where(~F.col("v").rlike(r"^[\[{]")).select(F.lit(0).alias("n"), F.raise_error(F.lit("a catalogue is a list or a mapping")).cast("string").alias("relative_path"), F.lit("").alias("status"), F.lit(0).alias("authoritative_rank"), F.lit("").alias("version_group"))
-    x = listed.unionByName(named).unionByName(bad).where(F.trim("relative_path") != "")
-    return x.groupBy(F.trim("relative_path").alias("relative_path")).agg(F.max_by(F.struct("status", "authoritative_rank", "version_group"), "n").alias("r")).select("relative_path", "r.*")
+    named = raw.where(F.col("v").startswith("{")).select(F.posexplode(F.map_entries(F.from_json("v", f"map<string,{entry}>"))).alias("n", "e")).select("n", F.col("e.key").alias("relative_path"), *[f"e.value.{c}" for c in names[1:]])
+    bad = raw.where(~F.col("v").rlike(r"^[\[{]")).select(F.raise_error(F.lit("a catalogue is a list or a mapping")).cast("string").alias("relative_path"), F.lit(0).alias("n"))
+    x = listed.unionByName(named).unionByName(bad, allowMissingColumns=True).where(F.trim("relative_path") != "")
+    return x.groupBy(F.trim("relative_path").alias("relative_path")).agg(F.max_by(F.struct(*names[1:]), "n").alias("r")).select("relative_path", "r.*")
 
 
 def markdown_row(*columns: Column) -> Column:
