@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,20 +22,21 @@ def count(text: str) -> int:
 
 
 def row_windows(text: str, size: int) -> list[tuple[str, int, int]]:
-    """(text, first row, last row) of a table: its header line, then as many rows as fit; a row that doesn't fit alone stands alone."""
+    """(text, first row, last row) of a table: its header line and the rows between two cuts.
+
+    Token counts are summed along the rows; a cut stands where the sum since the last one would outgrow what the header leaves
+    of size. A row that is too long by itself stands alone. Tables of two rows or less, and those that fit, stay whole.
+    """
     rows = [r.strip() for r in text.splitlines() if r.strip()]
     if len(rows) <= 2 or count(text) <= size:
         return [(text, 0, 0)]
-    head, out, have, first = rows[0], [], [], 2
-    base = used = count(head)
-    for n, row in enumerate(rows[1:], 2):
-        more = count(row)
-        if have and used + more > size:
-            out.append(("\n".join([head, *have]), first, n - 1))
-            have, used, first = [], base, n
-        have.append(row)
-        used += more
-    return [*out, ("\n".join([head, *have]), first, len(rows))]
+    head, body = rows[0], rows[1:]
+    total = [0, *accumulate(map(count, body))]
+    cuts = [0]
+    while cuts[-1] < len(body):
+        fits = bisect_right(total, total[cuts[-1]] + size - count(head)) - 1
+        cuts.append(max(fits, cuts[-1] + 1))
+    return [("\n".join([head, *body[a:b]]), a + 2, b + 1) for a, b in pairwise(cuts)]
 
 
 def _pieces(text: str, size: int, level: int = 0) -> Iterator[str]:

@@ -116,4 +116,29 @@ def authority_metadata(spark, sf_dir):
     return x.select("c_custkey", "department", "document_type", "authority_status", "effective_from", "document_owner", "authoritative_rank", F.array_join("supersedes", ",").alias("supersedes"), "version_group")
 
 
+_LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуыхцяеюь"[:26]
+_STEM = "list_reduce(list_prepend(w, list_transform(range(length(w)), lambda i: '')), lambda t, x: CASE WHEN length(t) > 4 THEN regexp_replace(t, '" + text.ENDINGS + "', '') ELSE t END)"
+
+
+@query(f"WITH t AS (SELECT doc_id, regexp_extract_all(replace(translate(lower(text), '{_LATIN}', '{_CYRILLIC}'), '-', ' '), " + r"'[\p{L}\p{N}_]+') AS ws FROM documents), w AS (SELECT doc_id, i, ws[i] AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM t)), "
+       f"d AS (SELECT w, CASE WHEN regexp_matches(w, '[а-яё]') THEN {_STEM} ELSE w END AS s FROM (SELECT DISTINCT w FROM w)) SELECT doc_id, count(*) AS n, md5(string_agg(s, ' ' ORDER BY i)) AS stems_md5 FROM w JOIN d USING (w) GROUP BY doc_id")
+def stemmed_tokens(spark, sf_dir):
+    """Stems of all texts in another alphabet, letter for letter, so that endings of inflected words occur."""
+    x = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.translate(F.lower("text"), _LATIN, _CYRILLIC)).alias("ts")).where(F.size("ts") > 0)
+    return x.select("doc_id", F.size("ts").cast("long").alias("n"), F.md5(F.array_join("ts", " ")).alias("stems_md5"))
+
+
+@query("""WITH v AS (SELECT source AS query_id, doc_id, CASE WHEN text LIKE '%.' THEN length(lang) END AS given, n_chars FROM documents), a AS (SELECT query_id, doc_id, coalesce(given, row_number() OVER (PARTITION BY query_id ORDER BY n_chars * 100000000 + doc_id) - 1) AS rank FROM v),
+f AS (SELECT query_id, doc_id, 0 AS leg, rank FROM a WHERE rank < 3), s AS (SELECT query_id, doc_id, 1 AS leg, rank FROM a), u AS (SELECT * FROM f UNION ALL SELECT s.* FROM s LEFT JOIN f USING (query_id, doc_id) WHERE f.doc_id IS NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY leg, rank, CAST(doc_id AS VARCHAR)) - 1 AS final_rank FROM u) SELECT query_id, doc_id, leg, final_rank FROM r WHERE final_rank < 10""")
+def leg_ranks(spark, sf_dir):
+    """Ranks that a leg gives, or its order where it gives none; then the first of them topped up by the rest, ten a source."""
+    docs = table(spark, sf_dir, "documents")
+    given = F.when(F.col("text").endswith("."), F.length("lang"))
+    legs = docs.select(F.col("source").alias("query_id"), F.col("doc_id").cast("string").alias("document_key"), given.alias("rank"), (F.col("n_chars") * 100_000_000 + F.col("doc_id")).alias("order"))
+    ranked = packets.annotated(legs, F.col("order"), "rank").drop("order")
+    out = retrieval.backfill(ranked.where("rank < 3"), ranked, 10)
+    return out.select("query_id", F.col("document_key").cast("long").alias("doc_id"), "leg", "final_rank")
+
+
 QUERIES, ORACLES = query.queries, query.oracles
