@@ -1,10 +1,10 @@
 """N-gram Jaccard join by an LSH forest of MinHash signatures, then exact Jaccard.
 
-Every document has one label per tree, a run of MinHash values; a node of a tree is a prefix that labels share. Matching begins
-at whole labels and prefixes are shortened while the node that they lead to stays small, down to the length at which the trees
-together reach the target recall for a pair at the threshold: most documents meet there. Where a node at that length is
-crowded, its documents keep whole labels and get further trees instead, as many as give the same recall, so work does not grow
-with the square of what many documents only partly share. Pairs that meet are weighed by all their MinHash values (pairs five
+Every document has one label per tree, a run of MinHash values; a node of a tree is a prefix that labels share. Prefixes are as
+long as the target recall for a pair at the threshold allows with all trees together: most documents meet there. Where a node
+at that length is crowded, its documents keep whole labels in that tree and get further trees, as many as give the same recall
+at whole labels, so work does not grow with the square of what many documents only partly share. A document thus has one of two
+prefix lengths in each tree. Pairs that meet are weighed by all their MinHash values (pairs five
 standard deviations below the threshold are dropped), then verified by their sets of shingles.
 """
 

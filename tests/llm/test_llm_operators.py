@@ -383,8 +383,7 @@ def test_toxicity_held_out(spark, marked):
     got = {r.doc_id: r.p_toxic >= 0.5 for r in toxicity.score_chain(docs, chain).collect()}
     known = [(marked[d][1], got[d]) for d in marked if held_out(d) and d in got]
     toxic, clean = [p for y, p in known if y], [p for y, p in known if not y]
-    print(len(toxic), sum(toxic), len(clean), sum(clean))
-    assert len(toxic) > 5 and sum(toxic) >= 0.75 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+    assert len(toxic) > 5 and sum(toxic) >= 0.8 * len(toxic) and sum(clean) <= 0.02 * len(clean)
 
 
 def test_chain_plain(spark, classes):
@@ -791,13 +790,31 @@ def test_jaccard_join(spark):
     rows += [(100 + i, " ".join([*base[: i % 40], f"v{i}", *base[i % 40 + 1 :]])) for i in range(80)]  # a group of near copies
     assert joined(documents(spark, rows)) == brute_join(rows)
     assert joined(documents(spark, rows), block=16, block_shingles=500) == brute_join(rows)
+    assert joined(documents(spark, rows), crowd=4) == brute_join(rows)  # the group of near copies gets further trees
     assert text_join.jaccard_join(documents(spark, [])).count() == 0
     nulls = text_join.jaccard_join(documents(spark, [(None, "a b c d e f"), (5, "a b c d e f"), (None, None)])).collect()
     assert sorted(str((r.doc_id, r.n_links, r.component_id)) for r in nulls) == sorted(map(str, [(None, 1, 5), (5, 1, 5), (None, 0, None)]))
 
 
 def test_jaccard_join_table(spark, sf, docs):
-    assert joined(docs) == brute_join([(r.doc_id, r.text) for r in docs.collect()])
+    want = brute_join([(r.doc_id, r.text) for r in docs.collect()])
+    assert joined(docs) == want
+    assert joined(docs, crowd=3) == want
+
+
+def test_large_and_text_ids(spark):
+    """Ids next to each other near 2^60, beside null ones, stay exact; ids of text keep their order."""
+    rows = [((1 << 60) + i, words(40, i // 2)) for i in range(6)] + [(None, words(40, 9)), (None, None)]
+    df = documents(spark, rows)
+    want = sorted(str((i, None if i is None else (1 << 60) + (i - (1 << 60)) // 2 * 2)) for i, _ in rows)
+    assert sorted(str((r.doc_id, r.component_id)) for r in text_join.jaccard_join(df).collect()) == want
+    assert sorted(str(r.doc_id) for r in text_join.one_of_each(df).collect()) == sorted(str(i) for i, _ in rows if i is None or i % 2 == 0)
+    gone = {r.doc_id: r.n_removed for r in suffix_dedup.deduplicate(df).collect() if r.doc_id is not None}
+    assert {i for i, n in gone.items() if n} == {i for i, _ in rows if i is not None and i % 2}
+    text = df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert sorted(str((r.doc_id, r.component_id)) for r in text_join.jaccard_join(text).collect()) == sorted(str((None if i is None else f"d{i}", None if i is None else f"d{(1 << 60) + (i - (1 << 60)) // 2 * 2}")) for i, _ in rows)
+    assert sorted(map(str, (r.doc_id for r in mixing.mix(text).collect()))) == sorted("None" if i is None else f"d{i}" for i, _ in rows)
+    assert sorted(map(str, (r.doc_id for r in secrets.scan_secrets(df).collect()))) == sorted(str(i) for i, _ in rows)
 
 
 def test_one_of_each(spark):
