@@ -180,3 +180,32 @@ def test_index_reads_fewer_blocks_and_finds_the_same(spark, tmp_path):
             assert all(read[q][0] < share * read[q][1] for q, share in ((0, 0.9), (2, 0.5))), read
     index.build(docs.limit(0), str(tmp_path))
     assert index.search(spark, str(tmp_path), asked)[0].count() == 0
+
+
+def shuffled_rows(spark, action):
+    """Rows that the stages of an action wrote to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        x = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")())
+        return {(x.apply(i).stageId(), x.apply(i).attemptId()): x.apply(i).shuffleWriteRecords() for i in range(x.size())}
+
+    before = stages()
+    got = action()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return got, sum(n for k, n in stages().items() if k not in before)
+
+
+def test_keyword_search_moves_counts_not_pairs_of_questions_and_documents(spark):
+    from quillmere.operators import retrieval
+
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    docs = retrieval.tokenized(spark.createDataFrame([(i, " ".join(words[: 2 + i % 5] * (1 + i % 3)), None) for i in range(400)] + [(400, "", None), (401, None, None)], "doc_id long, text string, other string"), {"text": F.col("text"), "other": F.col("other")})
+    asked = spark.createDataFrame([(q, " ".join([*words[q % 6 :], *words[: q % 6]])) for q in range(40)] + [(40, "nowhere"), (41, ""), (42, "alpha nowhere")], "query_id long, question string")
+    one, moved = shuffled_rows(spark, lambda: sorted(map(tuple, retrieval.keyword_search(docs, asked, 5).collect())))
+    assert moved < 12_000  # 40 questions of 6 words that nearly all of 400 documents hold are 70,000 pairs
+    assert one == sorted(map(tuple, retrieval.keyword_search(docs, asked, 5, block=7).collect()))
+    modes = {r[0]: (r[4], r[1]) for r in one if r[3] == 0}
+    assert set(modes) == {*range(40), 42} and all(m[0] == "strict" for q, m in modes.items() if q < 40 and q % 6 == 0)
+    assert modes[42][0] == "relaxed" and all(sum(r[0] == q for r in one) == 5 for q in modes)
+    assert retrieval.keyword_search(docs, asked.where("query_id = 41")).count() == 0
