@@ -209,3 +209,34 @@ def test_keyword_search_moves_counts_not_pairs_of_questions_and_documents(spark)
     assert set(modes) == {*range(40), 42} and all(m[0] == "strict" for q, m in modes.items() if q < 40 and q % 6 == 0)
     assert modes[42][0] == "relaxed" and all(sum(r[0] == q for r in one) == 5 for q in modes)
     assert retrieval.keyword_search(docs, asked.where("query_id = 41")).count() == 0
+
+
+def test_nearest_vectors_take_bounded_memory(spark, monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from quillmere.operators import retrieval
+
+    rng = np.random.default_rng(0)
+    ids, vectors = rng.permutation(8000), rng.integers(-2, 3, (8000, 8)).astype(float)
+    vectors[:, 0] += 0.5  # none is zero
+    asked = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids[:1500], vectors[:1500], strict=True)], "vec_id long, embedding array<double>")
+    caught = []
+    real = type(asked).mapInPandas
+    monkeypatch.setattr(type(asked), "mapInPandas", lambda self, f, schema: caught.append(f) or real(self, f, schema))
+    retrieval.cosine_topk(asked, asked, 5)
+    frames = [pd.DataFrame({"vec_id": ids[a:b], "embedding": list(vectors[a:b])}) for a, b in ((0, 7000), (7000, 7003), (7003, 8000))]
+    tracemalloc.start()
+    got = pd.concat(caught[0](iter(frames)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # all cosines of 1500 and 7000 vectors at once are 84 MB, and their order as much again, several times
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    for at in (0, 700, 1499):
+        cos = np.round(unit @ unit[at], 9)
+        cos[at] = -2
+        best = np.lexsort((ids, -cos))[:5]
+        mine = got[got["query_id"] == ids[at]].sort_values(["cosine", "vec_id"], ascending=[False, True])
+        assert mine["vec_id"].tolist() == ids[best].tolist() and mine["cosine"].tolist() == cos[best].tolist()
