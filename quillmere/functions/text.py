@@ -17,10 +17,12 @@ WORD = r"[\p{L}\p{N}_]+"
 
 
 def stem(token: Column) -> Column:
-    """Endings go one after the other while more than four characters are left, as many as the token has letters at most."""
+    """Endings go one after the other while more than four characters are left, so as many as the token has letters beyond four at most."""
     low = F.replace(F.lower(token), F.lit("ё"), F.lit("е"))
     cut = lambda t: F.when(F.length(t) > 4, F.regexp_replace(t, ENDINGS, "")).otherwise(t)
-    return F.when(low.rlike(r"\p{IsCyrillic}"), F.aggregate(F.sequence(F.lit(1), F.length(low)), low, lambda t, _: cut(t))).otherwise(low)
+    again = lambda a: F.when(a["t"] == a["was"], a).otherwise(F.struct(cut(a["t"]).alias("t"), a["t"].alias("was")))  # noqa: E731  nothing more is tried once nothing goes
+    whole = F.struct(low.alias("t"), F.lit("").alias("was"))
+    return F.when((F.length(low) > 4) & low.rlike(r"\p{IsCyrillic}"), F.aggregate(F.sequence(F.lit(5), F.length(low)), whole, lambda a, _: again(a), lambda a: a["t"])).otherwise(low)
 
 
 def tokens(text: Column) -> Column:

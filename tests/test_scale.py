@@ -240,3 +240,20 @@ def test_nearest_vectors_take_bounded_memory(spark, monkeypatch):
         best = np.lexsort((ids, -cos))[:5]
         mine = got[got["query_id"] == ids[at]].sort_values(["cosine", "vec_id"], ascending=[False, True])
         assert mine["vec_id"].tolist() == ids[best].tolist() and mine["cosine"].tolist() == cos[best].tolist()
+
+
+def test_stems_need_no_more_cuts_than_letters_beyond_four(spark):
+    import re
+
+    from quillmere.functions import text
+
+    def plain(t):
+        while len(t) > 4 and (cut := re.sub(text.ENDINGS, "", t, count=1)) != t:
+            t = cut
+        return t
+
+    words = ["ами", "мама", "мамам", "аяяяя", "еееееееее", "иямиямиями", "программами", "ыыыы", "ооооо", "дома", "словарями", "abcdeами", "английскими", ""]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.stem(F.col("w")).alias("s"))
+    assert all(r.s == plain(r.w) for r in df.collect())
+    plan = spark.range(1).select(text.stem(F.col("id").cast("string")).alias("s"))
+    assert "sequence(5, length" in plan._jdf.queryExecution().analyzed().toString()
