@@ -257,3 +257,21 @@ def test_stems_need_no_more_cuts_than_letters_beyond_four(spark):
     assert all(r.s == plain(r.w) for r in df.collect())
     plan = spark.range(1).select(text.stem(F.col("id").cast("string")).alias("s"))
     assert "sequence(5, length" in plan._jdf.queryExecution().analyzed().toString()
+
+
+def test_hints_leave_a_task_as_few_rows_as_are_wanted(spark):
+    from quillmere.operators import retrieval
+
+    r = random.Random(5)
+    texts = [(None if i == 3 else i + 2**60, r.choice([None, "", " ".join(r.choices(["as", "basin", "sin", "a.in", "tin"], k=4))])) for i in range(600)]
+    items = [(7, ["as", "as", "sin"]), (8, []), (9, ["in", "zz"]), (9, ["tin"]), (None, ["bas"])]
+    docs = spark.createDataFrame(texts, "doc_id long, t string").repartition(3)
+    got = retrieval.most_hints(docs, items, 4).collect()
+    assert len(got) <= 3 * 4 * len(items)  # each document holds some hint, and was a row for each item
+    held = lambda ws, t: sum(w in (t or "") for w in ws)
+    for item in (7, 8, None):
+        ws = next(w for i, w in items if i == item)
+        want = sorted(((-held(ws, t), d is not None, d or 0) for d, t in texts if held(ws, t)))[:4]
+        assert sorted((-x.score, x.doc_id is not None, x.doc_id or 0) for x in got if x.item_id == item)[:4] == want
+    assert {x.score for x in got if x.item_id == 9} == {1}
+    assert retrieval.most_hints(docs, [(1, [])], 4).count() == 0
