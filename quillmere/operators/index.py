@@ -26,6 +26,8 @@ from quillmere.operators.retrieval import B, K1, statistics, term_counts
 
 #: Documents in a slot, on average, and the folders that terms are dealt to.
 SLOT, BUCKETS = 256, 16
+#: Tokens of the texts whose postings one task writes, on average: about 50 MB of them.
+TOKENS_AT_ONCE = 1 << 20
 #: Scores are compared with bounds that were summed in another order.
 SLACK = 1e-6
 
@@ -34,21 +36,27 @@ def _weight(tf: Column, length: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avgdl))
 
 
-def build(docs: DataFrame, root: str, slot: int = SLOT, buckets: int = BUCKETS) -> None:
-    """Write the index of tokenized documents (field, doc_id, length, ts); an index that is there is replaced."""
+def build(docs: DataFrame, root: str, slot: int = SLOT, buckets: int = BUCKETS, at_once: int = TOKENS_AT_ONCE) -> None:
+    """Write the index of tokenized documents (field, doc_id, length, ts); an index that is there is replaced.
+
+    Each bucket has as many files as its share of all tokens needs, a term's blocks in one of them, so no task's input grows with
+    the texts but for that of a term which all documents hold.
+    """
     spark = docs.sparkSession
     put = lambda df, name: df.write.mode("overwrite").parquet(f"{root}/{name}")
     put(statistics(docs), "fields")
     fields = spark.read.parquet(f"{root}/fields")
     band = F.floor(4 * F.log2(F.col("total").cast("double"))).cast("int")
-    sizes = {r.band: r.n for r in docs.groupBy(band.alias("band")).agg(F.approx_count_distinct("doc_id").alias("n")).collect()}  # four a doubling
+    bands = docs.groupBy(band.alias("band")).agg(F.approx_count_distinct("doc_id").alias("n"), F.sum("length").alias("tokens")).collect()  # four a doubling
+    sizes, files = {r.band: r.n for r in bands}, max(1, -(-sum(r.tokens for r in bands) // (buckets * at_once)))
     within = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for b, n in sizes.items() for x in (b, max(1, -(-n // slot)))]), band), F.lit(1)) if sizes else F.lit(1)
     place = band.cast("long") * (1 << 40) + F.pmod(F.xxhash64("doc_id"), within)
     each = term_counts(docs.withColumn("slot", place), ("slot",)).join(F.broadcast(fields.select("field", "avgdl")), "field")  # a row for each field
     weight = _weight(F.col("tf"), F.col("length"), F.col("avgdl"))
     blocks = each.groupBy("field", "term", "slot").agg(F.count("*").cast("int").alias("n"), F.max(weight).alias("most"), F.collect_list(F.struct("doc_id", "tf", "length")).alias("docs"))
     dealt = blocks.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
-    dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "field").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings")
+    file = (F.col("bucket") * files + F.pmod(F.xxhash64("term", F.lit("file")), F.lit(files))).cast("int")
+    dealt.repartitionById(buckets * files, file).sortWithinPartitions("bucket", "term", "field").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings")
     spark.range(1).select(F.lit(buckets).alias("buckets"), F.lit(dealt.schema.json()).alias("postings")).write.mode("overwrite").parquet(f"{root}/shape")
     put(_postings(spark, root)[0].groupBy("field", "term").agg(F.sum("n").cast("long").alias("df")), "terms")
 

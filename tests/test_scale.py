@@ -259,6 +259,19 @@ def test_stems_need_no_more_cuts_than_letters_beyond_four(spark):
     assert "sequence(5, length" in plan._jdf.queryExecution().analyzed().toString()
 
 
+def test_no_task_writes_all_of_a_bucket(spark, tmp_path):
+    from quillmere.operators import index, retrieval
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j) % 300}" for j in range(40))) for i in range(200)], "doc_id long, text string")
+    tokenized = retrieval.tokenized(docs, {"body": F.col("text")})
+    index.build(tokenized, str(tmp_path / "one"), buckets=2)
+    index.build(tokenized, str(tmp_path / "some"), buckets=2, at_once=500)
+    files = lambda root: sorted(p.parent.name for p in (tmp_path / root / "postings").glob("bucket=*/*.parquet"))
+    assert files("one") == ["bucket=0", "bucket=1"] and files("some") == ["bucket=0"] * 8 + ["bucket=1"] * 8  # 8,000 tokens
+    held = lambda root: sorted((r.term, r.slot, r.n) for r in index._postings(spark, str(tmp_path / root))[0].collect())
+    assert held("one") == held("some")
+
+
 def test_hints_leave_a_task_as_few_rows_as_are_wanted(spark):
     from quillmere.operators import retrieval
 
