@@ -31,9 +31,14 @@ class Provider:
 
 
 def hashed(texts: DataFrame, key: str, text: str, dimensions: int = 64) -> DataFrame:
-    """The default model, in built-in functions: a text's tokens are dealt to dimensions by their md5; 1 + ln of each one's count. Texts without tokens have no vector."""
+    """The default model, in built-in functions: a text's tokens are dealt to dimensions by their md5; 1 + ln of each one's count. Texts without tokens have no vector.
+
+    Texts are dealt by key before their tokens are counted, so both counts find a key's rows together: no row for each key and
+    dimension is shuffled, and a task counts the keys of its part alone.
+    """
     place = F.pmod(F.conv(F.substring(F.md5(F.col("t")), 1, 6), 16, 10).cast("int"), F.lit(dimensions))
-    each = texts.select(F.col(key).alias("k"), F.explode(tokens(F.col(text))).alias("t")).groupBy("k", place.alias("d")).agg((1 + F.log(F.count("*").cast("double"))).alias("w"))
+    dealt = texts.select(F.col(key).alias("k"), F.col(text).alias("x")).repartition("k")
+    each = dealt.select("k", F.explode(tokens(F.col("x"))).alias("t")).groupBy("k", place.alias("d")).agg((1 + F.log(F.count("*").cast("double"))).alias("w"))
     held = each.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("d", "w"))).alias("m"))  # one entry for each dimension at most
     zeros = F.sequence(F.lit(0), F.lit(dimensions - 1))
     return held.select(F.col("k").alias(key), F.transform(zeros, lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0))).alias("embedding"))

@@ -34,7 +34,8 @@ def ingestion_run(spark, sf_dir):
     again = ingest.run_ingestion(now, root, "third")
     rows = ingest.manifest(spark, root)
     old = ingest.manifest(spark, root, "first").select("file_id", F.lit(True).alias("there"))
-    terms = ingest.active(spark, root, "postings").groupBy("file_id").agg(F.countDistinct("term").alias("terms"))
+    held = ingest.active(spark, root, "postings").select("file_id", "term").repartition("file_id")  # a file's terms meet once, so no task holds those of all its files first
+    terms = held.groupBy("file_id").agg(F.countDistinct("term").alias("terms"))
     vectors = ingest.active(spark, root, "vectors").groupBy("file_id").agg(F.count_if(F.col("error").isNotNull()).alias("without_vector"))
     x = rows.join(old, "file_id", "left").join(terms, "file_id", "left").join(vectors, "file_id", "left").fillna(0, ["terms", "without_vector"])
     action = F.when(F.col("segment") == "first", "kept").when(F.col("there"), "changed").otherwise("new")

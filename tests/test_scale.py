@@ -1,6 +1,7 @@
 """Hash trees, ranks and ordered texts under hot keys, legs that fail by question, and the persisted index."""
 
 import hashlib
+import math
 import random
 
 import pytest
@@ -272,6 +273,18 @@ def test_no_task_writes_all_of_a_bucket(spark, tmp_path):
     assert held("one") == held("some")
 
 
+def test_default_vectors_shuffle_each_text_once(spark):
+    from quillmere.operators import embedding
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, "c"), (1, "b"), (None, "a")], "doc_id long, text string")
+    made = embedding.hashed(docs, "doc_id", "text", 8)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # and not a row for each key and dimension
+    got = {r.doc_id: r.embedding for r in made.collect()}
+    place = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:6], 16) % 8
+    want = lambda ts: [1 + math.log(n) if (n := sum(place(t) == d for t in ts)) else 0.0 for d in range(8)]
+    assert got == {1: pytest.approx(want("abab")), 3: pytest.approx(want("c")), None: pytest.approx(want("a"))}
+
+
 def test_hints_leave_a_task_as_few_rows_as_are_wanted(spark):
     from quillmere.operators import retrieval
 
