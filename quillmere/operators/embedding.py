@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from quillmere.functions.text import tokens
 
@@ -31,17 +36,28 @@ class Provider:
 
 
 def hashed(texts: DataFrame, key: str, text: str, dimensions: int = 64) -> DataFrame:
-    """The default model, in built-in functions: a text's tokens are dealt to dimensions by their md5; 1 + ln of each one's count. Texts without tokens have no vector.
+    """The default model: a text's tokens are dealt to dimensions by their md5; 1 + ln of each one's count. Texts without tokens have no vector. Texts may also be given as their tokens.
 
-    Texts are dealt by key before their tokens are counted, so both counts find a key's rows together: no row for each key and
-    dimension is shuffled, and a task counts the keys of its part alone.
+    Tokens are counted within their row, each distinct one of some rows hashed once; what is shuffled, to add up the texts of a
+    key, is a row of counts for each text. So neither texts nor tokens move, and a task holds one row a key of its part.
     """
-    place = F.pmod(F.conv(F.substring(F.md5(F.col("t")), 1, 6), 16, 10).cast("int"), F.lit(dimensions))
-    dealt = texts.select(F.col(key).alias("k"), F.col(text).alias("x")).repartition("k")
-    each = dealt.select("k", F.explode(tokens(F.col("x"))).alias("t")).groupBy("k", place.alias("d")).agg((1 + F.log(F.count("*").cast("double"))).alias("w"))
-    held = each.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("d", "w"))).alias("m"))  # one entry for each dimension at most
-    zeros = F.sequence(F.lit(0), F.lit(dimensions - 1))
-    return held.select(F.col("k").alias(key), F.transform(zeros, lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0))).alias("embedding"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.fill_null(pc.greater(pc.list_value_length(batch.column(1)), 0), False))  # in Spark, a test on their number would make the tokens twice
+            ts = batch.column(1)
+            row = np.repeat(np.arange(len(ts)), pc.list_value_length(ts))
+            codes = ts.flatten().dictionary_encode()
+            place = np.array([int(hashlib.md5(t.encode()).hexdigest()[:6], 16) % dimensions for t in codes.dictionary.to_pylist()], np.int64)
+            n = np.bincount(row * dimensions + place[codes.indices.to_numpy()], minlength=len(ts) * dimensions)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(n), dimensions).cast(pa.list_(pa.int64()))], ["k", "n"])
+
+    ts = F.col(text) if isinstance(texts.schema[text].dataType, ArrayType) else tokens(F.col(text))
+    tokenized = texts.select(F.col(key).alias("k"), ts.alias("ts"))
+    each = tokenized.mapInArrow(counted, StructType([StructField("k", texts.schema[key].dataType), *StructType.fromDDL("n array<long>")]))
+    held = each.groupBy("k").agg(*[F.sum(F.get("n", F.lit(d))).alias(f"n{d}") for d in range(dimensions)])
+    weights = [F.when(F.col(f"n{d}") > 0, 1 + F.log(F.col(f"n{d}").cast("double"))).otherwise(0.0) for d in range(dimensions)]
+    return held.select(F.col("k").alias(key), F.array(*weights).alias("embedding"))
 
 
 def default_provider(dimensions: int = 64) -> Provider:

@@ -301,3 +301,31 @@ def test_hints_leave_a_task_as_few_rows_as_are_wanted(spark):
         assert sorted((-x.score, x.doc_id is not None, x.doc_id or 0) for x in got if x.item_id == item)[:4] == want
     assert {x.score for x in got if x.item_id == 9} == {1}
     assert retrieval.most_hints(docs, [(1, [])], 4).count() == 0
+
+
+def test_default_vectors_count_tokens_within_their_row(spark):
+    from quillmere.functions import text
+    from quillmere.operators import embedding
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 37}" for j in range(500))) for i in range(60)] + [(60, "--"), (61, None), (7, "w1 w1")], "doc_id long, text string")
+    made = embedding.hashed(docs, "doc_id", "text", 8)
+    assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()  # no row for each token
+    of_tokens = embedding.hashed(docs.select("doc_id", text.tokens(F.col("text")).alias("ts")), "doc_id", "ts", 8)
+    got = sorted(map(tuple, made.collect()))
+    assert got == sorted(map(tuple, of_tokens.collect())) and [r[0] for r in got] == [*range(60)]
+    place = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:6], 16) % 8
+    ts = [f"w{7 * j % 37}" for j in range(500)] + ["w1", "w1"]
+    assert got[7][1] == pytest.approx([1 + math.log(n) if (n := sum(place(t) == d for t in ts)) else 0.0 for d in range(8)])
+
+
+def test_both_legs_read_the_same_tokens(spark, sf, monkeypatch):
+    from quillmere.functions import text
+    from quillmere.operators import embedding, retrieval
+    from quillmere.plans import retrieval as plans
+
+    made = []
+    real = text.tokens
+    for module in (embedding, retrieval):
+        monkeypatch.setattr(module, "tokens", lambda c: made.append(str(c)) or real(c))
+    assert plans._legs(spark, sf).count() > 0
+    assert len([c for c in made if "text" in c]) == 1  # the questions' tokens are others
