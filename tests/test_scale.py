@@ -329,3 +329,35 @@ def test_both_legs_read_the_same_tokens(spark, sf, monkeypatch):
         monkeypatch.setattr(module, "tokens", lambda c: made.append(str(c)) or real(c))
     assert plans._legs(spark, sf).count() > 0
     assert len([c for c in made if "text" in c]) == 1  # the questions' tokens are others
+
+
+@pytest.mark.parametrize("most", [500_000, 2])
+def test_wanted_terms_are_counted_within_their_row(spark, monkeypatch, most):
+    from collections import Counter
+
+    from quillmere.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "TERMS_AT_ONCE", most)
+    rows = [(i, f"f{i % 2}", [f"w{i * j % 23}" for j in range(1, 2 + i % 40)]) for i in range(3000)] + [(None, "f0", ["w1"])]
+    docs = spark.createDataFrame(rows, "doc_id long, field string, ts array<string>").withColumn("length", F.size("ts"))
+    terms = spark.createDataFrame([("w1", 10), ("w0", 11), ("w22", 12), ("none", 13)], "term string, id long")
+    made = retrieval.wanted_counts(docs, terms)
+    if most > 4:
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    ids = {"w1": 10, "w0": 11, "w22": 12}
+    want = sorted((d, f, len(ts), k, n) for d, f, ts in rows if d is not None for k, n in [(-1, 1), *Counter(ids[t] for t in ts if t in ids).items()])
+    assert sorted(map(tuple, made.select("doc_id", "field", "length", "id", "tf").collect())) == want
+
+
+def test_counts_are_ranked_in_as_many_tasks_as_they_need(spark, monkeypatch):
+    from quillmere.operators import retrieval
+
+    docs = retrieval.tokenized(spark.createDataFrame([(i % 390, "alpha " * (1 + i % 7) + "beta") for i in range(400)], "doc_id long, text string"), {"text": F.col("text")})
+    asked = spark.createDataFrame([(1, "alpha beta")], "query_id long, question string")
+    one = sorted(map(tuple, retrieval.keyword_search(docs, asked, 50).collect()))
+    parts = []
+    real = type(docs).repartition
+    monkeypatch.setattr(type(docs), "repartition", lambda self, n, *c: parts.append(n) or real(self, n, *c))
+    monkeypatch.setattr(retrieval, "COUNTS_AT_ONCE", 64)
+    assert sorted(map(tuple, retrieval.keyword_search(docs, asked, 50).collect())) == one and len({r[1] for r in one}) == len(one) == 50
+    assert max(p for p in parts if isinstance(p, int)) >= 400 * 3 // 64
