@@ -361,3 +361,27 @@ def test_counts_are_ranked_in_as_many_tasks_as_they_need(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "COUNTS_AT_ONCE", 64)
     assert sorted(map(tuple, retrieval.keyword_search(docs, asked, 50).collect())) == one and len({r[1] for r in one}) == len(one) == 50
     assert max(p for p in parts if isinstance(p, int)) >= 400 * 3 // 64
+
+
+@pytest.mark.parametrize("most", [50_000, 1])
+def test_gold_is_found_in_one_pass(spark, tmp_path, monkeypatch, most):
+    from quillmere.operators import metrics
+    from quillmere.plans import evaluation
+
+    if most == 1:  # as if there were too many items for a task
+        monkeypatch.setattr(evaluation, "_small", lambda x: False)
+    r = random.Random(3)
+    words = ["a", "b", "cc", "dé", "e-f"]
+    items = [(i, " ".join(r.choices(words, k=7 + i % 3))) for i in range(60)]
+    blank = lambda: r.choice([" ", "  ", "\n", "\t \n"])
+    texts = [(i, "".join(w + blank() for w in r.choices(words, k=i % 90))) for i in range(400)] + [(400 + i, r.choice(["", "\n", "x "]) + t.replace(" ", blank()) + r.choice(["", "x", " x"])) for i, t in items] + [(900, None), (901, ""), (None, items[0][1])]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((x.query_id, x.id) for x in evaluation.gold(spark, str(tmp_path)).collect())
+    assert got == sorted((q, d) for q, t in items for d, x in texts if d is not None and x and t in " ".join(x.split())) and len(got) >= 60
+    asked = spark.createDataFrame(items, "query_id long, gold_start string")
+    if most > 1:
+        made = metrics.holding(spark.createDataFrame(texts, "doc_id long, text string"), asked)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan  # texts neither move nor are read again
+        assert metrics.holding(spark.createDataFrame(texts, "doc_id long, text string"), asked.limit(0)).count() == 0
