@@ -9,12 +9,12 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from quillmere.functions import text
-from quillmere.operators import corpus, embedding, legs, versions
+from quillmere.operators import corpus, legs, versions
 from quillmere.operators import retrieval as ops
-from quillmere.operators.ranks import ordered_text, rank_within
+from quillmere.operators.ranks import ordered_text, rank_within, staged
 from quillmere.plans.base import ELEMENTS, FILES, QUESTIONS, TOKENS, Part, sql
-from quillmere.plans.retrieval import EMBEDDED, EXACT, INDEX, SCORES, SETS, _asked, index
-from quillmere.sources.tables import elements, files, spread, table
+from quillmere.plans.retrieval import EMBEDDED, EXACT, INDEX, SCORES, SETS, _asked, index, vectors
+from quillmere.sources.tables import elements, files, table
 
 query = Part()
 
@@ -110,10 +110,10 @@ FROM x LEFT JOIN placed ON placed.query_id = x.query_id AND p = 1""")
 def degraded_legs(spark, sf_dir):
     """Both legs and reranking of every question, with an embedding provider and a reranker that each fail for a third of them."""
     docs, asked = table(spark, sf_dir, "documents"), _asked(spark, sf_dir)
-    vectors = embedding.default_provider().embed(spread(docs, "doc_id"), "doc_id", "text").withColumnRenamed("doc_id", "vec_id")
+    indexed = staged(index(docs), "tokens")
     tokens = asked.select("query_id", text.tokens(F.col("question")).alias("tokens"))
-    vector, states = legs.vector_leg(tokens, vectors, _embedder, ["tokens"], retries=1, pause=0.001)
-    keyword = ops.keyword_search(index(docs), asked)
+    vector, states = legs.vector_leg(tokens, vectors(indexed), _embedder, ["tokens"], retries=1, pause=0.001)
+    keyword = ops.keyword_search(indexed, asked)
     candidates = keyword.join(docs.select("doc_id", "text"), "doc_id").join(asked.select("query_id", "question"), "query_id").select("query_id", "question", F.col("doc_id").cast("string").alias("document_key"), "text", F.col("keyword_score").alias("fallback_score"), F.col("keyword_rank").alias("rank"))
     ranked = legs.rerank_calls(candidates, _reranker, 10, "lengths", retries=1, pause=0.001)
     first = ranked.where("final_rank = 0").select("query_id", F.col("document_key").cast("long").alias("first_document"))

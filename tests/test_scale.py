@@ -385,3 +385,15 @@ def test_gold_is_found_in_one_pass(spark, tmp_path, monkeypatch, most):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Join" not in plan  # texts neither move nor are read again
         assert metrics.holding(spark.createDataFrame(texts, "doc_id long, text string"), asked.limit(0)).count() == 0
+
+
+def test_degraded_legs_read_the_same_tokens(spark, sf, monkeypatch):
+    from quillmere.operators import embedding, retrieval
+    from quillmere.plans import scale
+
+    made = []
+    real = retrieval.tokens
+    for module in (embedding, retrieval):
+        monkeypatch.setattr(module, "tokens", lambda c: made.append(str(c)) or real(c))
+    assert scale.degraded_legs(spark, sf).count() > 0
+    assert len([c for c in made if "text" in c]) == 1
